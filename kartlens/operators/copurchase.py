@@ -72,18 +72,23 @@ def pair_counts(
     min_pairs: int,
     by_lines: bool,
     item_bound: int,
+    support: DataFrame | None = None,
     slice_width: int = SLICE_WIDTH,
 ) -> DataFrame:
     """(anchor_id, co_id, n) for pairs with n >= ``min_pairs``, where n counts
     line pairs (``by_lines``) or distinct orders. ``item_bound`` bounds the
-    number of distinct items (the catalog size)."""
+    number of distinct items (the catalog size). For the distinct count,
+    ``support`` may pass the ``item_support`` frame already built for the
+    anchor totals, so the pruning reuses it instead of aggregating again."""
     per_order = Window.partitionBy("order_id")
     wide = basket_rows.withColumn("k", F.count(F.lit(1)).over(per_order))
     if by_lines:
         wide = wide.withColumn("maxm", F.max("m").over(per_order))
         reach = wide.groupBy("item").agg(F.sum(F.col("m") * F.col("maxm")).alias("reach"))
     else:
-        reach = wide.groupBy("item").agg(F.count(F.lit(1)).alias("reach"))
+        reach = (support if support is not None else item_support(basket_rows)).select(
+            "item", F.col("orders").alias("reach")
+        )
     qualifying = reach.where(F.col("reach") >= min_pairs).select("item")
     pruned = wide.join(bounded_broadcast(qualifying, item_bound), "item", "left_semi")
 
@@ -137,9 +142,9 @@ def share_counts(tables: Tables, min_pairs: int = 30, level_name: str = "product
     """(anchor_id, co_id, number_of_co_purchases, total_anchor_orders,
     percentage_of_anchor_orders) for pairs in >= ``min_pairs`` orders."""
     rows = baskets(tables, level_name)
-    bound = tables.catalog_rows()
-    counts = pair_counts(rows, min_pairs, by_lines=False, item_bound=bound)
-    totals = item_support(rows).select(F.col("item").alias("anchor_id"), F.col("orders").alias("total_anchor_orders"))
+    support = item_support(rows)
+    counts = pair_counts(rows, min_pairs, by_lines=False, item_bound=tables.catalog_rows(), support=support)
+    totals = support.select(F.col("item").alias("anchor_id"), F.col("orders").alias("total_anchor_orders"))
     return counts.join(totals, "anchor_id").select(
         "anchor_id",
         "co_id",

@@ -41,10 +41,20 @@ OVERALL_LABEL = "All products"
 
 
 def behavior_scatter(
-    tables: Tables, min_events: int = 30, min_orders: int = 30, baseline: Decimal | float | str | None = None
+    tables: Tables,
+    min_events: int = 30,
+    min_orders: int = 30,
+    baseline: Decimal | float | str | None = None,
+    repurchase: DataFrame | None = None,
+    order_size: DataFrame | None = None,
 ) -> DataFrame:
-    """Reorder speed (cycle lift) against order size (size lift)."""
-    rep = repurchase_lift(tables, "product", min_events, ordered=False).select(
+    """Reorder speed (cycle lift) against order size (size lift).
+    ``repurchase`` / ``order_size`` may be the materialized Q4 / Q9 tables."""
+    if repurchase is None:
+        repurchase = repurchase_lift(tables, "product", min_events, ordered=False)
+    if order_size is None:
+        order_size = order_size_lift(tables, "product", min_orders, baseline, ordered=False)
+    rep = repurchase.select(
         "product_id",
         "product_name",
         "product_avg_repurchase_cycle",
@@ -52,7 +62,7 @@ def behavior_scatter(
         "zscore_repurchase_cycle",
         "number_of_repurchase_events",
     )
-    size = order_size_lift(tables, "product", min_orders, baseline, ordered=False).select(
+    size = order_size.select(
         "product_id", "avg_order_size", "order_size_lift", "zscore_order_size", "number_of_orders"
     )
     return rep.join(size, "product_id")
@@ -69,13 +79,16 @@ def _scaled(value: Column, low: Column, high: Column) -> Column:
 def _scores(tables: Tables, **kw) -> DataFrame:
     """Scatter rows plus both 0-10 scores as ``decimal(18,2)``."""
     scatter = behavior_scatter(tables, **kw)
+    # One scalar subquery carrying all four bounds, evaluated once.
     bounds = scatter.agg(
-        F.min("repurchase_cycle_lift"),
-        F.max("repurchase_cycle_lift"),
-        F.min("order_size_lift"),
-        F.max("order_size_lift"),
-    )
-    lo_speed, hi_speed, lo_size, hi_size = (bounds.select(c).scalar() for c in bounds.columns)
+        F.struct(
+            F.min("repurchase_cycle_lift").alias("lo_speed"),
+            F.max("repurchase_cycle_lift").alias("hi_speed"),
+            F.min("order_size_lift").alias("lo_size"),
+            F.max("order_size_lift").alias("hi_size"),
+        )
+    ).scalar()
+    lo_speed, hi_speed, lo_size, hi_size = (bounds.getField(f) for f in ("lo_speed", "hi_speed", "lo_size", "hi_size"))
     return scatter.select(
         "product_id",
         "product_name",
