@@ -11,7 +11,11 @@ equi-join on that unique row number, which hashes evenly:
 * previous row = row ``gid - 1`` in the same partition, or the last row of
   the previous non-empty partition for a partition's first row; it
   belongs to the same key iff the keys are equal;
-* rank within key = global row index - first global index of the key + 1.
+* rank within key = global row index - first global index of the key + 1;
+* running sum within key = global running sum - global sum before the
+  key's first row. The global running sum is a window over one range
+  partition at a time (balanced by the sort) plus the totals of all
+  earlier partitions.
 
 The only single-task work is over the per-partition summary (one row per
 partition of the sort), whose size is the partition count, not the data.
@@ -62,10 +66,11 @@ class Sequence:
         self.key = key
         self.numbered, self.parts = _numbered(df, key, order)
 
-    def frame(self, carry: str | None = None, *, position: bool = False) -> DataFrame:
+    def frame(self, carry: str | None = None, *, position: bool = False, running: str | None = None) -> DataFrame:
         """The input rows plus ``prev_<carry>`` (the previous row's value in
-        the same key, null for the key's first row) and/or ``position``
-        (1-based rank of the row within its key)."""
+        the same key, null for the key's first row), ``position`` (1-based
+        rank of the row within its key) and/or ``running_<running>``
+        (inclusive running sum of a non-null numeric column within the key)."""
         key = self.key
         out = self.numbered
         extra: list[str] = []
@@ -90,4 +95,27 @@ class Sequence:
             firsts = self.numbered.groupBy(key).agg(F.min("_idx").alias("_key_first_idx"))
             out = out.join(firsts, key).withColumn("position", F.col("_idx") - F.col("_key_first_idx") + 1)
             extra.append("position")
+        if running is not None:
+            out = out.join(self._running(running), "_gid")
+            extra.append(f"running_{running}")
         return out.select(*self.columns, *extra)
+
+    def _running(self, col: str) -> DataFrame:
+        """(_gid, running_<col>)."""
+        key = self.key
+        in_part = Window.partitionBy("_pid").orderBy("_gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        local = self.numbered.withColumn("_local", F.sum(col).over(in_part))
+        # Totals of earlier partitions: one row per partition of the sort.
+        before = (
+            self.numbered.groupBy("_pid")
+            .agg(F.sum(col).alias("_part_total"))
+            .withColumn(
+                "_before", F.sum("_part_total").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+            )
+            .fillna(0, subset=["_before"])
+            .select("_pid", "_before")
+        )
+        glob = local.join(F.broadcast(before), "_pid").withColumn("_global", F.col("_before") + F.col("_local"))
+        # Global sum before each key's first row; hot keys: partial aggregate.
+        base = glob.groupBy(key).agg(F.min_by(F.col("_global") - F.col(col), F.col("_idx")).alias("_key_base"))
+        return glob.join(base, key).select("_gid", (F.col("_global") - F.col("_key_base")).alias(f"running_{col}"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartlens.functions.rounding import as_double, difference2, mean2, ratio2, stddev2
+from kartlens.functions.sequence import Sequence
 from kartlens.model import Tables
 from kartlens.operators.levels import by_level, level
 
@@ -95,3 +96,43 @@ def repurchase_lift(
     cols.append("number_of_repurchase_events")
     out = stats.select(*cols)
     return out.orderBy(F.col("repurchase_cycle_lift").desc(), *lvl.label()) if ordered else out
+
+
+def same_product_events(tables: Tables) -> DataFrame:
+    """X1 events: (product_id, cycle_days), one per order in which a customer
+    bought a product they had bought in an earlier order, with the days
+    since that earlier order (the README's definition of the cycle).
+
+    Days are the running sum of ``days_since_prior_order`` over the
+    customer's orders (first order: day 0). Both sequences, orders per
+    customer and purchases per (customer, product), go through
+    ``Sequence``, so a customer with a huge history is split across tasks.
+    """
+    orders = tables.orders.select(
+        "order_id", "user_id", "order_number", F.coalesce(F.col(GAP), F.lit(0.0)).alias("gap")
+    ).where(F.col("user_id").isNotNull())
+    days = Sequence(orders, key="user_id", order=("order_number", "order_id")).frame(running="gap")
+    purchases = (
+        tables.lines.join(days.select("order_id", "user_id", "order_number", F.col("running_gap").alias("day")), "order_id")
+        .select(F.struct("user_id", "product_id").alias("_buyer_product"), "product_id", "order_number", "order_id", "day")
+        .distinct()
+    )
+    seq = Sequence(purchases, key="_buyer_product", order=("order_number", "order_id"))
+    return (
+        seq.frame("day")
+        .where(F.col("prev_day").isNotNull())
+        .select("product_id", (F.col("day") - F.col("prev_day")).alias("cycle_days"))
+    )
+
+
+def same_product_cycle(tables: Tables, level_name: str = "department", min_support: int = 30, ordered: bool = True) -> DataFrame:
+    """Mean days between a customer's consecutive orders of the same
+    product, by level, for groups with at least ``min_support`` events."""
+    lvl = level(level_name)
+    events = by_level(tables, same_product_events(tables), lvl)
+    stats = events.groupBy(*lvl.keys).agg(
+        mean2(F.col("cycle_days")).alias("_avg"), F.count(F.lit(1)).alias("number_of_repurchase_events")
+    )
+    stats = lvl.attach(tables, stats.where(F.col("number_of_repurchase_events") >= min_support))
+    out = stats.select(*lvl.label(), as_double(F.col("_avg")).alias("avg_same_product_cycle"), "number_of_repurchase_events")
+    return out.orderBy(F.col("avg_same_product_cycle").asc(), *lvl.label()) if ordered else out

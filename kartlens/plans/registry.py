@@ -89,6 +89,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "kpi_cards": lambda t: dashboard.kpi_cards(t, **_metrics(t)),
     "top_coproducts": lambda t: dashboard.top_coproducts(t, PAIR_T, TOP_K),
     # X1-X4
+    "true_repurchase_cycle_by_department": lambda t: repurchase.same_product_cycle(t, "department", T),
     "order_size_by_department_once": lambda t: ordersize.order_size_once(t, "department", T),
     "copurchase_share_symmetric": lambda t: copurchase.copurchase_share(t, PAIR_T, symmetric=True),
     "repurchase_cycle_by_aisle": lambda t: repurchase.repurchase_cycle(t, "aisle", T),
