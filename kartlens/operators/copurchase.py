@@ -14,9 +14,10 @@ Plan, shared by both:
 1. ``baskets``: one row per (order, item) with multiplicity m
    (partial + final aggregate; a hot order is spread by item before the
    shuffle).
-2. Per order, over a window on order_id: the width k (distinct items) and
-   the largest multiplicity. After step 1 a window group has at most one
-   row per distinct item, so it is bounded by the catalog.
+2. One exchange on order_id, reused by every consumer: per order the width
+   k (distinct items) and the largest multiplicity (hash aggregate, no
+   sort). After step 1 an order has at most one row per distinct item, so
+   its partition share is bounded by the catalog.
 3. Exact support pruning before the quadratic step (Apriori property): a
    pair can reach the threshold T only if each of its items can. For the
    distinct count an item needs >= T orders. For the line count an item a
@@ -25,8 +26,8 @@ Plan, shared by both:
    The qualifying set is a subset of the catalog, so it is broadcast under
    the catalog bound and the order partitioning of step 2 survives.
 4. Self-join on order_id with a.item < b.item. Orders up to ``slice_width``
-   items join in place (both sides already hash-partitioned by order_id:
-   no exchange). Wider orders are cut into ceil(k / slice_width) slices
+   items join in place (sort-merge, both sides already hash-partitioned
+   by order_id: no exchange). Wider orders are cut into ceil(k / slice_width) slices
    by a hash of the anchor-side item, and the co-side rows are repeated
    once per slice, so one very wide order is spread over many tasks instead
    of producing all its k^2/2 pairs in one.
@@ -80,17 +81,23 @@ def pair_counts(
     number of distinct items (the catalog size). For the distinct count,
     ``support`` may pass the ``item_support`` frame already built for the
     anchor totals, so the pruning reuses it instead of aggregating again."""
-    per_order = Window.partitionBy("order_id")
-    wide = basket_rows.withColumn("k", F.count(F.lit(1)).over(per_order))
+    # One exchange on order_id that every consumer below reads (reused):
+    # the window, the per-order widths and the wide-order rows. After the
+    # dedupe an order has at most one row per distinct item.
+    by_order = basket_rows.repartition("order_id")
+    widths = by_order.groupBy("order_id").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("maxm"))
+
     if by_lines:
-        wide = wide.withColumn("maxm", F.max("m").over(per_order))
-        reach = wide.groupBy("item").agg(F.sum(F.col("m") * F.col("maxm")).alias("reach"))
+        reach = (
+            by_order.join(widths.hint("shuffle_hash"), "order_id")
+            .groupBy("item")
+            .agg(F.sum(F.col("m") * F.col("maxm")).alias("reach"))
+        )
     else:
         reach = (support if support is not None else item_support(basket_rows)).select(
             "item", F.col("orders").alias("reach")
         )
-    qualifying = reach.where(F.col("reach") >= min_pairs).select("item")
-    pruned = wide.join(bounded_broadcast(qualifying, item_bound), "item", "left_semi")
+    qualifying = bounded_broadcast(reach.where(F.col("reach") >= min_pairs).select("item"), item_bound)
 
     weight = (F.col("a.m") * F.col("b.m")) if by_lines else F.lit(1)
 
@@ -100,13 +107,28 @@ def pair_counts(
             F.col("a.item").alias("anchor_id"), F.col("b.item").alias("co_id"), weight.alias("w")
         )
 
-    narrow = pruned.where(F.col("k") <= slice_width)
-    in_place = join_pairs(narrow, narrow, ["order_id"])
-
-    hot = pruned.where(F.col("k") > slice_width).withColumn("slices", F.ceil(F.col("k") / F.lit(slice_width)))
-    hot_a = hot.withColumn("slice", F.pmod(F.xxhash64("item"), F.col("slices")))
-    hot_b = hot.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    sliced = join_pairs(hot_a, hot_b, ["order_id", "slice"])
+    # Orders up to slice_width items: sort + window on the shared exchange,
+    # then a sort-merge self-join on order_id that needs no further exchange
+    # or sort (a broadcast would ship every basket to every task instead).
+    narrow = (
+        by_order.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("order_id")))
+        .where(F.col("k") <= slice_width)
+        .join(qualifying, "item", "left_semi")
+    )
+    in_place = join_pairs(narrow, narrow.hint("merge"), ["order_id"])
+
+    # Wider orders: picked by a hash join with their widths (no sort), cut
+    # into slices by a hash of the anchor-side item, the co side repeated
+    # once per slice, and joined on (order_id, slice) so each slice is its
+    # own task.
+    wide = (
+        by_order.join(widths.where(F.col("k") > slice_width).hint("shuffle_hash"), "order_id")
+        .join(qualifying, "item", "left_semi")
+        .withColumn("slices", F.ceil(F.col("k") / F.lit(slice_width)))
+    )
+    wide_a = wide.withColumn("slice", F.pmod(F.xxhash64("item"), F.col("slices")))
+    wide_b = wide.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
+    sliced = join_pairs(wide_a, wide_b, ["order_id", "slice"])
 
     return (
         in_place.unionByName(sliced)
