@@ -97,6 +97,9 @@ def pair_counts(
         reach = (support if support is not None else item_support(basket_rows)).select(
             "item", F.col("orders").alias("reach")
         )
+    # Unique items, so an inner join prunes exactly like a semi join; unlike a
+    # semi join it is never pushed below the shared exchange, which would
+    # give that branch its own copy of the dedupe and order exchanges.
     qualifying = bounded_broadcast(reach.where(F.col("reach") >= min_pairs).select("item"), item_bound)
 
     weight = (F.col("a.m") * F.col("b.m")) if by_lines else F.lit(1)
@@ -113,7 +116,7 @@ def pair_counts(
     narrow = (
         by_order.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("order_id")))
         .where(F.col("k") <= slice_width)
-        .join(qualifying, "item", "left_semi")
+        .join(qualifying, "item")
     )
     in_place = join_pairs(narrow, narrow.hint("merge"), ["order_id"])
 
@@ -123,7 +126,7 @@ def pair_counts(
     # own task.
     wide = (
         by_order.join(widths.where(F.col("k") > slice_width).hint("shuffle_hash"), "order_id")
-        .join(qualifying, "item", "left_semi")
+        .join(qualifying, "item")
         .withColumn("slices", F.ceil(F.col("k") / F.lit(slice_width)))
     )
     wide_a = wide.withColumn("slice", F.pmod(F.xxhash64("item"), F.col("slices")))
