@@ -106,3 +106,19 @@ def test_reference_steps_write_tables_and_extract(spark):
     assert len(csv_rows) == 1
     # a second run overwrites instead of failing
     run_reference_steps(t, out, 30, 30, 30)
+
+
+def test_streaming_ingest_loads_each_file_once(spark):
+    from kartlens.streaming.ingest import ingest_available
+
+    src = tempfile.mkdtemp(prefix="kartlens-land-")
+    out = tempfile.mkdtemp(prefix="kartlens-tbl-") + "/prior"
+    ckpt = tempfile.mkdtemp(prefix="kartlens-ck-")
+    header = "order_id,product_id,add_to_cart_order,reordered\n"
+    _write(src, "part1.csv", header + "1,10,1,0\n1,11,2,0\n")
+    ingest_available(spark, src, "order_products__prior", out, ckpt)
+    assert spark.read.parquet(out).count() == 2
+    _write(src, "part2.csv", header + "2,10,1,1\n")
+    ingest_available(spark, src, "order_products__prior", out, ckpt)
+    ingest_available(spark, src, "order_products__prior", out, ckpt)  # nothing new
+    assert rows(spark.read.parquet(out), "order_id", "product_id") == [(1, 10), (1, 11), (2, 10)]

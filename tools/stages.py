@@ -26,7 +26,11 @@ def main(argv: list[str]) -> None:
     from kartlens.plans import registry
     from kartlens.session import DEFAULTS, ensure_checkpoint_dir
 
-    sf_dir, names = argv[0], argv[1:]
+    sf_dir, names = argv[0], [a for a in argv[1:] if not a.startswith("--")]
+    if names == ["all"]:
+        from kartlens.plans import registry as _r
+
+        names = list(_r.QUERIES)
     log_dir = tempfile.mkdtemp(prefix="run-")
     builder = SparkSession.builder.master("local[8]").appName("kartlens-stages")
     for k, v in {**DEFAULTS, "spark.sql.shuffle.partitions": "16", "spark.driver.memory": "8g",
@@ -70,7 +74,12 @@ def main(argv: list[str]) -> None:
                 }
     for name, secs in marks:
         own = {sid: s for sid, s in stages.items() if job_group.get(sid) == name}
-        print(f"== {name}: {secs}s, {len(own)} stages, stage wall sum {sum(s['ms'] for s in own.values())} ms")
+        writes = [s["shuffle_write"] for s in own.values() if s["shuffle_write"]]
+        dup = sorted({w for w in writes if writes.count(w) > 1})
+        print(f"== {name}: {secs}s, {len(own)} stages, stage wall sum {sum(s['ms'] for s in own.values())} ms"
+              + (f"  POSSIBLE DUPLICATE SHUFFLES (bytes): {dup}" if dup else ""))
+        if "--brief" in sys.argv:
+            continue
         for sid, s in sorted(own.items(), key=lambda kv: -kv[1]["ms"])[:12]:
             print(f"  stage {sid:4d} {s['ms']:6d} ms tasks {s['tasks']:4d} "
                   f"shuffle r/w {s['shuffle_read']:>10}/{s['shuffle_write']:>10}  {s['name']}")
