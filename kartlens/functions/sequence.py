@@ -5,7 +5,7 @@ task; a customer holding a third of all orders would then be sorted by a
 single task. Here the rows are instead sorted globally
 (``orderBy`` = range exchange sampled over the data, so a hot key is split
 across many tasks), numbered with ``monotonically_increasing_id`` and
-checkpointed so the numbering is fixed, and every lookup afterwards is an
+written once to the checkpoint folder so the numbering is fixed, and every lookup afterwards is an
 equi-join on that unique row number, which hashes evenly:
 
 * previous row = row ``gid - 1`` in the same partition, or the last row of
@@ -23,6 +23,7 @@ partition of the sort), whose size is the partition count, not the data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence as Seq
 
 from pyspark.sql import DataFrame, Window
@@ -35,10 +36,13 @@ _ROW_BITS = 33
 
 
 def _numbered(df: DataFrame, key: str, order: Seq[str]) -> tuple[DataFrame, DataFrame]:
-    ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.orderBy(key, *order).withColumn("_gid", F.monotonically_increasing_id())
-    ordered = ordered.checkpoint(eager=True)
-    ordered = ordered.withColumn("_pid", F.shiftright("_gid", _ROW_BITS))
+    spark = df.sparkSession
+    # Fix the numbering by writing it once to the shared checkpoint folder
+    # (a single pass, columnar on read; an eager RDD checkpoint would run
+    # the sort twice).
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kartlens-sequence/{uuid.uuid4().hex}"
+    df.orderBy(key, *order).withColumn("_gid", F.monotonically_increasing_id()).write.parquet(path)
+    ordered = spark.read.parquet(path).withColumn("_pid", F.shiftright("_gid", _ROW_BITS))
     # One row per non-empty partition of the sort.
     whole = Window.orderBy("_pid")
     parts = (
@@ -57,7 +61,7 @@ def _numbered(df: DataFrame, key: str, order: Seq[str]) -> tuple[DataFrame, Data
 class Sequence:
     """Rows of ``df`` ordered by ``order`` within ``key``; numbered once.
 
-    Rows must be unique by (key, order). The numbering is checkpointed on
+    Rows must be unique by (key, order). The numbering is written once on
     construction, so every frame built from one ``Sequence`` agrees.
     """
 

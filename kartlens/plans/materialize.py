@@ -11,6 +11,7 @@ read those scans instead of recomputing both metric sets.
 from __future__ import annotations
 
 import hashlib
+import threading
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,8 @@ REPURCHASE_TABLE = "repurchase_lift_results"
 ORDER_SIZE_TABLE = "order_lift_results"
 EXPORT_TABLE = "product_behavior_export"
 
+_write_lock = threading.Lock()
+
 
 def work_root(tables: Tables) -> str:
     spark = tables.orders.sparkSession
@@ -41,14 +44,15 @@ def _metric_paths(
 ) -> tuple[str, str]:
     key = ("metrics", min_events, min_orders, None if baseline is None else str(baseline), root)
     cache = tables._counts
-    if key not in cache:
-        tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
-        base = f"{(root or work_root(tables)).rstrip('/')}/{tag}"
-        rep_path, size_path = f"{base}/{REPURCHASE_TABLE}", f"{base}/{ORDER_SIZE_TABLE}"
-        write_result(repurchase_lift(tables, "product", min_events, ordered=False), rep_path)
-        write_result(order_size_lift(tables, "product", min_orders, baseline, ordered=False), size_path)
-        cache[key] = (rep_path, size_path)
-    return cache[key]
+    with _write_lock:
+        if key not in cache:
+            tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
+            base = f"{(root or work_root(tables)).rstrip('/')}/{tag}"
+            rep_path, size_path = f"{base}/{REPURCHASE_TABLE}", f"{base}/{ORDER_SIZE_TABLE}"
+            write_result(repurchase_lift(tables, "product", min_events, ordered=False), rep_path)
+            write_result(order_size_lift(tables, "product", min_orders, baseline, ordered=False), size_path)
+            cache[key] = (rep_path, size_path)
+        return cache[key]
 
 
 def product_metrics(

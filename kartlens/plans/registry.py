@@ -10,6 +10,7 @@ in the driver's tables; those run at 2 (the aisle-level pair query keeps
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,28 +19,28 @@ from kartlens.model import Tables
 from kartlens.operators import copurchase, dashboard, ordersize, repurchase, validate
 from kartlens.plans.materialize import export_from_tables, product_metrics
 from kartlens.session import ensure_checkpoint_dir
-from kartlens.sources.parquet import read_tables, write_tables
-from kartlens.sources.testdata import bind
+from kartlens.sources.testdata import ingest
 
 T = 30
 PAIR_T = 2
 TOP_K = 10
 
 _bound: dict[tuple[str, str], Tables] = {}
+_bind_lock = threading.Lock()
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
     """The driver tables in the order model, ingested once per Spark
-    application: bound, written as parquet under the session's checkpoint
-    folder (shared storage on a cluster), and scanned from there by every
-    query, as data loaded through the CSV ingest would be."""
+    application: the derived tables are written as parquet under the
+    session's checkpoint folder (shared storage on a cluster) and scanned
+    from there by every query (``testdata.ingest``)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _bound:
-        tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-        root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kartlens-ingest/{key[0]}/{tag}"
-        write_tables(bind(spark, sf_dir), root)
-        _bound[key] = read_tables(spark, root)
-    return _bound[key]
+    with _bind_lock:
+        if key not in _bound:
+            tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
+            root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kartlens-ingest/{key[0]}/{tag}"
+            _bound[key] = ingest(spark, sf_dir, root)
+        return _bound[key]
 
 
 def _metrics(t: Tables) -> dict:

@@ -64,27 +64,36 @@ def bind_orders(raw_orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     return full, lean
 
 
-def bind(spark: SparkSession, sf_dir: str) -> Tables:
-    orders, order_gaps = bind_orders(_read(spark, sf_dir, "orders"))
-    lineitem = _read(spark, sf_dir, "lineitem")
-    part = _read(spark, sf_dir, "part")
-
-    lines = lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
-    # reordered: the customer had the part in an earlier order. Only the
-    # preview and the ingest path read it; the analysis reads ``lines``.
-    with_user = lineitem.select(
+def bind_prior(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+    """Prior line items with ``reordered`` = 1 if the customer had the part
+    in an earlier order. Left joins keep every line (an order missing from
+    ``orders`` leaves ``reordered`` null, and V4 still sees the line)."""
+    items = lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_linenumber").alias("add_to_cart_order"),
-    ).join(orders.select("order_id", "user_id", "order_number"), "order_id")
-    first = with_user.groupBy("user_id", "product_id").agg(F.min("order_number").alias("first_number"))
-    prior = with_user.join(first, ["user_id", "product_id"]).select(
+    )
+    with_user = items.join(orders.select("order_id", "user_id", "order_number"), "order_id", "left")
+    first = (
+        with_user.where(F.col("user_id").isNotNull())
+        .groupBy("user_id", "product_id")
+        .agg(F.min("order_number").alias("first_number"))
+    )
+    return with_user.join(first, ["user_id", "product_id"], "left").select(
         "order_id",
         "product_id",
         "add_to_cart_order",
         (F.col("order_number") > F.col("first_number")).cast("int").alias("reordered"),
     )
 
+
+def bind_lines(lineitem: DataFrame) -> DataFrame:
+    """(order_id, product_id): the projection every analysis step reads."""
+    return lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"))
+
+
+def bind_catalog(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(products, aisles, departments) from the part table."""
     products = part.select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
@@ -103,12 +112,60 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
         .agg(F.lit(1).alias("_one"))
         .select(name_id(F.col("p_type")).alias("department_id"), F.col("p_type").alias("department"))
     )
+    return products, aisles, departments
+
+
+def bind(spark: SparkSession, sf_dir: str) -> Tables:
+    """All six tables, lazily (the customer sequence is numbered on call)."""
+    orders, order_gaps = bind_orders(_read(spark, sf_dir, "orders"))
+    lineitem = _read(spark, sf_dir, "lineitem")
+    products, aisles, departments = bind_catalog(_read(spark, sf_dir, "part"))
     return Tables(
         orders=orders,
-        prior=prior,
+        prior=bind_prior(lineitem, orders),
         products=products,
         aisles=aisles,
         departments=departments,
-        prior_lines=lines,
+        prior_lines=bind_lines(lineitem),
         order_gaps=order_gaps,
     )
+
+
+def _spread(df: DataFrame, files: int) -> DataFrame:
+    """Round-robin a source stored in fewer files than the session's
+    parallelism (a single parquet file with one row group is read by one
+    task); a source already in many files is written as it is read."""
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parallelism) if files < parallelism else df
+
+
+def ingest(spark: SparkSession, sf_dir: str, root: str) -> Tables:
+    """Bind once and store what is derived: orders (with the customer
+    sequence), the catalog tables and the two line-item columns the
+    analysis reads are written as parquet under ``root`` and scanned from
+    there. The prior table's ``reordered`` is derived from the driver's
+    line items and the stored orders when asked for (only the preview
+    reads it)."""
+    orders, _ = bind_orders(_read(spark, sf_dir, "orders"))
+    products, aisles, departments = bind_catalog(_read(spark, sf_dir, "part"))
+    lineitem = _read(spark, sf_dir, "lineitem")
+    lines = _spread(bind_lines(lineitem), len(lineitem.inputFiles()))
+    base = root.rstrip("/")
+    stored = {}
+    for name, df in (
+        ("orders", orders),
+        ("products", products),
+        ("aisles", aisles),
+        ("departments", departments),
+        ("lines", lines),
+    ):
+        df.write.mode("overwrite").parquet(f"{base}/{name}")
+        stored[name] = spark.read.parquet(f"{base}/{name}")
+    return Tables(
+        orders=stored["orders"],
+        prior=bind_prior(lineitem, stored["orders"]),
+        products=stored["products"],
+        aisles=stored["aisles"],
+        departments=stored["departments"],
+        prior_lines=stored["lines"],
+    )
