@@ -74,13 +74,15 @@ def pair_counts(
     by_lines: bool,
     item_bound: int,
     support: DataFrame | None = None,
-    slice_width: int = SLICE_WIDTH,
+    slice_width: int | None = None,
 ) -> DataFrame:
     """(anchor_id, co_id, n) for pairs with n >= ``min_pairs``, where n counts
     line pairs (``by_lines``) or distinct orders. ``item_bound`` bounds the
     number of distinct items (the catalog size). For the distinct count,
     ``support`` may pass the ``item_support`` frame already built for the
-    anchor totals, so the pruning reuses it instead of aggregating again."""
+    anchor totals, so the pruning reuses it instead of aggregating again.
+    ``slice_width`` defaults to the module's ``SLICE_WIDTH``."""
+    slice_width = SLICE_WIDTH if slice_width is None else slice_width
     # One exchange on order_id that every consumer below reads (reused):
     # the window, the per-order widths and the wide-order rows. After the
     # dedupe an order has at most one row per distinct item.
