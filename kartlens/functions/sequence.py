@@ -78,6 +78,9 @@ class Sequence:
         key = self.key
         out = self.numbered
         extra: list[str] = []
+        if running is not None:
+            out = self._with_running(out, running)
+            extra.append(f"running_{running}")
         if carry is not None:
             out = out.withColumn(
                 "_prev_gid",
@@ -99,16 +102,14 @@ class Sequence:
             firsts = self.numbered.groupBy(key).agg(F.min("_idx").alias("_key_first_idx"))
             out = out.join(firsts, key).withColumn("position", F.col("_idx") - F.col("_key_first_idx") + 1)
             extra.append("position")
-        if running is not None:
-            out = out.join(self._running(running), "_gid")
-            extra.append(f"running_{running}")
         return out.select(*self.columns, *extra)
 
-    def _running(self, col: str) -> DataFrame:
-        """(_gid, running_<col>)."""
+    def _with_running(self, rows: DataFrame, col: str) -> DataFrame:
+        """``rows`` plus running_<col>: the global running sum (a window over
+        one sort partition at a time, plus the totals of all earlier
+        partitions) minus the global sum before the key's first row."""
         key = self.key
         in_part = Window.partitionBy("_pid").orderBy("_gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = self.numbered.withColumn("_local", F.sum(col).over(in_part))
         # Totals of earlier partitions: one row per partition of the sort.
         before = (
             self.numbered.groupBy("_pid")
@@ -119,7 +120,11 @@ class Sequence:
             .fillna(0, subset=["_before"])
             .select("_pid", "_before")
         )
-        glob = local.join(F.broadcast(before), "_pid").withColumn("_global", F.col("_before") + F.col("_local"))
+        glob = (
+            rows.withColumn("_local", F.sum(col).over(in_part))
+            .join(F.broadcast(before), "_pid")
+            .withColumn("_global", F.col("_before") + F.col("_local"))
+        )
         # Global sum before each key's first row; hot keys: partial aggregate.
         base = glob.groupBy(key).agg(F.min_by(F.col("_global") - F.col(col), F.col("_idx")).alias("_key_base"))
-        return glob.join(base, key).select("_gid", (F.col("_global") - F.col("_key_base")).alias(f"running_{col}"))
+        return glob.join(base, key).withColumn(f"running_{col}", F.col("_global") - F.col("_key_base"))
