@@ -165,42 +165,42 @@ def copurchase_pairs(tables: Tables, min_pairs: int = 30, ordered: bool = True)
     return out.orderBy(F.col("number_of_product_pairs").desc(), "anchor_id", "co_product_id") if ordered else out
 
 
-def share_counts(tables: Tables, min_pairs: int = 30, level_name: str = "product") -> DataFrame:
-    """(anchor_id, co_id, number_of_co_purchases, total_anchor_orders,
-    percentage_of_anchor_orders) for pairs in >= ``min_pairs`` orders."""
+def _shares(tables: Tables, min_pairs: int, level_name: str) -> tuple[DataFrame, DataFrame]:
+    """(pair shares, anchor totals) built on one basket / support frame."""
     rows = baskets(tables, level_name)
     support = item_support(rows)
     counts = pair_counts(rows, min_pairs, by_lines=False, item_bound=tables.catalog_rows(), support=support)
     totals = support.select(F.col("item").alias("anchor_id"), F.col("orders").alias("total_anchor_orders"))
+    return _with_share(counts.withColumnRenamed("n", "number_of_co_purchases"), totals), totals
+
+
+def _with_share(counts: DataFrame, totals: DataFrame) -> DataFrame:
     return counts.join(totals, "anchor_id").select(
         "anchor_id",
         "co_id",
-        F.col("n").alias("number_of_co_purchases"),
+        "number_of_co_purchases",
         "total_anchor_orders",
-        as_double(percent2(F.col("n"), F.col("total_anchor_orders"))).alias("percentage_of_anchor_orders"),
+        as_double(percent2(F.col("number_of_co_purchases"), F.col("total_anchor_orders"))).alias(
+            "percentage_of_anchor_orders"
+        ),
     )
 
 
+def share_counts(tables: Tables, min_pairs: int = 30, level_name: str = "product") -> DataFrame:
+    """(anchor_id, co_id, number_of_co_purchases, total_anchor_orders,
+    percentage_of_anchor_orders) for pairs in >= ``min_pairs`` orders."""
+    return _shares(tables, min_pairs, level_name)[0]
+
+
 def copurchase_share(tables: Tables, min_pairs: int = 30, ordered: bool = True, symmetric: bool = False) -> DataFrame:
     """Q12 (step 7b); with ``symmetric`` (X3) each pair also counts for its
     larger product as anchor, with that product's order total."""
-    shares = share_counts(tables, min_pairs)
+    shares, totals = _shares(tables, min_pairs, "product")
     if symmetric:
-        rows = baskets(tables)
-        totals = item_support(rows).select(F.col("item").alias("anchor_id"), F.col("orders").alias("total_anchor_orders"))
         flipped = shares.select(
             F.col("co_id").alias("anchor_id"), F.col("anchor_id").alias("co_id"), "number_of_co_purchases"
-        ).join(totals, "anchor_id")
-        flipped = flipped.select(
-            "anchor_id",
-            "co_id",
-            "number_of_co_purchases",
-            "total_anchor_orders",
-            as_double(percent2(F.col("number_of_co_purchases"), F.col("total_anchor_orders"))).alias(
-                "percentage_of_anchor_orders"
-            ),
         )
-        shares = shares.unionByName(flipped)
+        shares = shares.unionByName(_with_share(flipped, totals))
     names = _names(tables)
     out = (
         shares.join(names.withColumnRenamed("product_id", "anchor_id").withColumnRenamed("product_name", "anchor_name"), "anchor_id")

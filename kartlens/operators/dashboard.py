@@ -167,20 +167,18 @@ def kpi_cards(tables: Tables, **kw) -> DataFrame:
     # Mean of two-place values, rounded half-up exactly: integer hundredths.
     hundredths = (F.col("influence") * 100).cast("long")
     n = F.count(F.lit(1))
-    mean_influence = scores.agg(
-        F.floor((F.lit(2) * F.sum(hundredths) + n) / (F.lit(2) * n)) / F.lit(100.0)
-    ).scalar()
-    total_orders = tables.lines.select("order_id").where(F.col("order_id").isNotNull()).distinct().agg(F.count(F.lit(1))).scalar()
-    overall = (
-        tables.lines.sparkSession.range(1)
-        .select(
-            F.lit(None).cast(per_product.schema["product_id"].dataType).alias("product_id"),
-            F.lit(OVERALL_LABEL).alias("product_name"),
-            mean_influence.cast("double").alias("influence_index"),
-            as_double(global_cycle(tables)).alias("reorder_speed"),
-            as_double(global_size(tables)).alias("order_size"),
-            total_orders.alias("total_orders"),
-        )
+    total_orders = tables.lines.where(F.col("order_id").isNotNull()).agg(F.count_distinct("order_id")).scalar()
+    overall = scores.agg(
+        F.lit(None).cast(per_product.schema["product_id"].dataType).alias("product_id"),
+        F.lit(OVERALL_LABEL).alias("product_name"),
+        (F.floor((F.lit(2) * F.sum(hundredths) + n) / (F.lit(2) * n)) / F.lit(100.0)).alias("influence_index"),
+    ).select(
+        "product_id",
+        "product_name",
+        "influence_index",
+        as_double(global_cycle(tables)).alias("reorder_speed"),
+        as_double(global_size(tables)).alias("order_size"),
+        total_orders.alias("total_orders"),
     )
     return per_product.unionByName(overall)
 
