@@ -54,3 +54,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+# Fixed sizing targets for large inputs: bytes per scan split and per
+# post-shuffle partition.
+SPLIT_BYTES = 256 * 1024 * 1024
+
+
+def sizing_for(input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Partition settings for an input of ``input_bytes`` on ``total_cores``:
+    scan splits and shuffle partitions of about 256 MB (at least three waves
+    of tasks), AQE coalescing toward the same size and splitting skewed join
+    partitions above it."""
+    partitions = max(3 * total_cores, -(-input_bytes // SPLIT_BYTES))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(SPLIT_BYTES),
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SPLIT_BYTES),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(SPLIT_BYTES),
+    }
+
+
+# Spark's own defaults for the sized keys; a session value
+# equal to these counts as not chosen by the user.
+SPARK_DEFAULTS = {
+    "spark.sql.files.maxPartitionBytes": ("134217728", "128m", "128MB"),
+    "spark.sql.shuffle.partitions": ("200",),
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": ("67108864", "64m", "64MB"),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": ("268435456", "256m", "256MB"),
+}
+
+
+def apply_sizing(spark: SparkSession, input_bytes: int, total_cores: int) -> dict[str, str]:
+    """Set the ``sizing_for`` values on keys still at Spark's default (a
+    value the cluster chose is kept); returns what was applied."""
+    applied = {}
+    for key, value in sizing_for(input_bytes, total_cores).items():
+        current = spark.conf.get(key, None)
+        if current in (None, "") or current in SPARK_DEFAULTS.get(key, ()):
+            spark.conf.set(key, value)
+            applied[key] = value
+    return applied
