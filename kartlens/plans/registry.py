@@ -21,7 +21,11 @@ from kartlens.plans.materialize import export_from_tables, product_metrics
 from kartlens.session import ensure_checkpoint_dir
 from kartlens.sources.testdata import ingest
 
+# Fixed value: the reference's minimum support, applied to events, orders,
+# line items and pairs alike.
 T = 30
+# Test-scale choices: product pairs in the driver's tables reach
+# at most 5 orders, so product-level pair queries run at 2; top-k per anchor.
 PAIR_T = 2
 TOP_K = 10
 
