@@ -49,10 +49,16 @@ SLICE_WIDTH = 2048
 
 
 def baskets(tables: Tables, level_name: str = "product") -> DataFrame:
-    """(order_id, item, m) for product or aisle level."""
+    """(order_id, item, m) for product or aisle level.
+
+    Lines of products missing from the catalog are left out first: every
+    pair or total involving them is dropped by the final name joins anyway,
+    and this way every per-item frame downstream provably has at most one
+    row per catalog product (the bound its broadcasts rely on)."""
     lines = tables.lines.where(F.col("order_id").isNotNull() & F.col("product_id").isNotNull())
     if level_name == "product":
-        items = lines.select("order_id", F.col("product_id").alias("item"))
+        catalog = bounded_broadcast(tables.products.select("product_id"), tables.catalog_rows())
+        items = lines.join(catalog, "product_id", "left_semi").select("order_id", F.col("product_id").alias("item"))
     elif level_name == "aisle":
         aisle_of = tables.products.select("product_id", "aisle_id").join(tables.aisles.select("aisle_id"), "aisle_id")
         items = lines.join(bounded_broadcast(aisle_of, tables.catalog_rows()), "product_id").select(
@@ -171,6 +177,7 @@ def _shares(tables: Tables, min_pairs: int, level_name: str) -> tuple[DataFrame,
     support = item_support(rows)
     counts = pair_counts(rows, min_pairs, by_lines=False, item_bound=tables.catalog_rows(), support=support)
     totals = support.select(F.col("item").alias("anchor_id"), F.col("orders").alias("total_anchor_orders"))
+    totals = bounded_broadcast(totals, tables.catalog_rows() if level_name == "product" else tables.rows("aisles"))
     return _with_share(counts.withColumnRenamed("n", "number_of_co_purchases"), totals), totals
 
 

@@ -104,3 +104,12 @@ def test_aisle_level_pairs(spark):
     t = make_tables(spark, _orders(3), lines, products, aisles=[(10, "x"), (20, "y")])
     out = rows(copurchase.copurchase_share_by_aisle(t, 1), "anchor_aisle", "co_aisle", "number_of_co_purchases")
     assert out == [("x", "y", 3)]
+
+
+def test_lines_of_unknown_products_change_nothing(spark):
+    lines = [(o, p) for o in range(1, 4) for p in (1, 2)]
+    orphans = [(o, 999) for o in range(1, 4)]
+    known = make_tables(spark, _orders(3), lines, PRODUCTS)
+    mixed = make_tables(spark, _orders(3), lines + orphans, PRODUCTS)
+    for fn in (copurchase.copurchase_pairs, copurchase.copurchase_share):
+        assert rows(fn(mixed, 1)) == rows(fn(known, 1))
