@@ -1,12 +1,12 @@
-"""Previous row and rank within a key, without one task per key.
+"""Previous row, rank and running sum within a key, without one task per key.
 
 ``Window.partitionBy(key).orderBy(...)`` sends every row of a key to one
 task; a customer holding a third of all orders would then be sorted by a
 single task. Here the rows are instead sorted globally
 (``orderBy`` = range exchange sampled over the data, so a hot key is split
-across many tasks), numbered with ``monotonically_increasing_id`` and
-written once to the checkpoint folder so the numbering is fixed, and every lookup afterwards is an
-equi-join on that unique row number, which hashes evenly:
+across many tasks), numbered with ``monotonically_increasing_id``, written
+once to the checkpoint folder so the numbering is fixed, and every lookup
+afterwards is an equi-join on that unique row number, which hashes evenly:
 
 * previous row = row ``gid - 1`` in the same partition, or the last row of
   the previous non-empty partition for a partition's first row; it
@@ -19,6 +19,9 @@ equi-join on that unique row number, which hashes evenly:
 
 The only single-task work is over the per-partition summary (one row per
 partition of the sort), whose size is the partition count, not the data.
+The per-key first index (rank) and base sum (running sum) are a partial
+aggregate per key joined back on the key: that join's hot key has one row
+on the small side, which adaptive execution splits on the large side.
 """
 
 from __future__ import annotations
