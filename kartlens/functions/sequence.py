@@ -11,17 +11,19 @@ afterwards is an equi-join on that unique row number, which hashes evenly:
 * previous row = row ``gid - 1`` in the same partition, or the last row of
   the previous non-empty partition for a partition's first row; it
   belongs to the same key iff the keys are equal;
-* rank within key = global row index - first global index of the key + 1;
+* rank within key = global row index - global index of the key's first row + 1;
 * running sum within key = global running sum - global sum before the
   key's first row. The global running sum is a window over one range
   partition at a time (balanced by the sort) plus the totals of all
   earlier partitions.
+* a key's first row is found within the partition by a window over
+  (partition, key); for a partition's first key, which may have started in
+  an earlier partition, from the per-partition summary.
 
 The only single-task work is over the per-partition summary (one row per
 partition of the sort), whose size is the partition count, not the data.
-The per-key first index (rank) and base sum (running sum) are a partial
-aggregate per key joined back on the key: that join's hot key has one row
-on the small side, which adaptive execution splits on the large side.
+No exchange is ever keyed by the user's key: rank and running sum use
+windows over (sort partition, key) plus that per-partition summary.
 """
 
 from __future__ import annotations
@@ -81,9 +83,14 @@ class Sequence:
         key = self.key
         out = self.numbered
         extra: list[str] = []
-        if running is not None:
-            out = self._with_running(out, running)
-            extra.append(f"running_{running}")
+        if position or running is not None:
+            out = self._key_starts(out, running)
+            if running is not None:
+                out = out.withColumn(f"running_{running}", F.col("_global") - F.col("_base"))
+                extra.append(f"running_{running}")
+            if position:
+                out = out.withColumn("position", F.col("_idx") - F.col("_start") + 1)
+                extra.append("position")
         if carry is not None:
             out = out.withColumn(
                 "_prev_gid",
@@ -99,35 +106,63 @@ class Sequence:
                 F.when(F.col("_prev_key") == F.col(key), F.col(f"prev_{carry}")),
             )
             extra.append(f"prev_{carry}")
-        if position:
-            # Per-key first index: a partial aggregate, then an equi-join on
-            # the key whose hot keys adaptive execution splits (skew join).
-            firsts = self.numbered.groupBy(key).agg(F.min("_idx").alias("_key_first_idx"))
-            out = out.join(firsts, key).withColumn("position", F.col("_idx") - F.col("_key_first_idx") + 1)
-            extra.append("position")
         return out.select(*self.columns, *extra)
 
-    def _with_running(self, rows: DataFrame, col: str) -> DataFrame:
-        """``rows`` plus running_<col>: the global running sum (a window over
-        one sort partition at a time, plus the totals of all earlier
-        partitions) minus the global sum before the key's first row."""
+    def _key_starts(self, rows: DataFrame, col: str | None) -> DataFrame:
+        """``rows`` plus ``_start`` (global index of the key's first row) and,
+        with ``col``, ``_global`` (global inclusive running sum of ``col``)
+        and ``_base`` (global sum before the key's first row).
+
+        Within one partition of the sort, windows partitioned by (partition,
+        key) give each key's local start; they all run on one exchange on the
+        partition id, so a group is at most one (balanced) sort partition.
+        Only a partition's first key can have started in an earlier
+        partition; its true start and base come from a summary with one row
+        per partition: each key run starts at the smallest local start among
+        the partitions whose last key it is."""
         key = self.key
-        in_part = Window.partitionBy("_pid").orderBy("_gid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        # Totals of earlier partitions: one row per partition of the sort.
-        before = (
-            self.numbered.groupBy("_pid")
-            .agg(F.sum(col).alias("_part_total"))
-            .withColumn(
-                "_before", F.sum("_part_total").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+        by_part = Window.partitionBy("_pid")
+        if col is not None:
+            # Totals of earlier partitions: one row per partition of the sort.
+            before = (
+                self.numbered.groupBy("_pid")
+                .agg(F.sum(col).alias("_part_total"))
+                .withColumn(
+                    "_before",
+                    F.sum("_part_total").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
+                )
+                .fillna(0, subset=["_before"])
+                .select("_pid", "_before")
             )
-            .fillna(0, subset=["_before"])
-            .select("_pid", "_before")
-        )
-        glob = (
-            rows.withColumn("_local", F.sum(col).over(in_part))
-            .join(F.broadcast(before), "_pid")
-            .withColumn("_global", F.col("_before") + F.col("_local"))
+            rows = (
+                rows.withColumn(
+                    "_local", F.sum(col).over(by_part.orderBy("_gid").rowsBetween(Window.unboundedPreceding, 0))
+                )
+                .join(F.broadcast(before), "_pid")
+                .withColumn("_global", F.col("_before") + F.col("_local"))
+            )
+        in_key = Window.partitionBy("_pid", key)
+        rows = rows.withColumn("_lstart", F.min("_idx").over(in_key))
+        agg = [
+            F.min_by(key, "_gid").alias("_fk"),
+            F.max_by(key, "_gid").alias("_lk"),
+            F.max_by("_lstart", "_gid").alias("_lk_start"),
+        ]
+        if col is not None:
+            rows = rows.withColumn("_lbase", F.min_by(F.col("_global") - F.col(col), F.col("_idx")).over(in_key))
+            agg.append(F.max_by("_lbase", "_gid").alias("_lk_base"))
+        ends = rows.groupBy("_pid").agg(*agg)
+        run_aggs = [F.min("_lk_start").alias("_run_start")]
+        if col is not None:
+            run_aggs.append(F.min_by("_lk_base", "_lk_start").alias("_run_base"))
+        runs = ends.groupBy(F.col("_lk").alias("_run_key")).agg(*run_aggs)
+        fixes = ends.join(runs, F.col("_fk").eqNullSafe(F.col("_run_key")), "left").select(
+            "_pid", "_fk", "_run_start", *(["_run_base"] if col is not None else [])
         )
-        # Global sum before each key's first row; hot keys: partial aggregate.
-        base = glob.groupBy(key).agg(F.min_by(F.col("_global") - F.col(col), F.col("_idx")).alias("_key_base"))
-        return glob.join(base, key).withColumn(f"running_{col}", F.col("_global") - F.col("_key_base"))
+        rows = rows.join(F.broadcast(fixes), "_pid")
+        continues = F.col(key).eqNullSafe(F.col("_fk")) & F.col("_run_start").isNotNull()
+        rows = rows.withColumn("_start", F.when(continues, F.least("_run_start", "_lstart")).otherwise(F.col("_lstart")))
+        if col is not None:
+            earlier = continues & (F.col("_run_start") < F.col("_lstart"))
+            rows = rows.withColumn("_base", F.when(earlier, F.col("_run_base")).otherwise(F.col("_lbase")))
+        return rows

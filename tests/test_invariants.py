@@ -70,3 +70,15 @@ def test_partition_count_does_not_change_results(spark, t):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1]
+
+
+def test_bound_orders_match_window_semantics(t):
+    import duckdb
+
+    ref = duckdb.sql(
+        f"""SELECT o_orderkey AS order_id, row_number() OVER w AS order_number,
+                   date_diff('day', CAST(lag(o_orderdate) OVER w AS DATE), CAST(o_orderdate AS DATE)) AS gap
+            FROM '{SF}/orders.parquet' WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"""
+    ).fetchall()
+    got = rows(t.orders, "order_id", "order_number", "days_since_prior_order")
+    assert got == sorted((o, n, None if g is None else float(g)) for o, n, g in ref)

@@ -12,14 +12,16 @@ from kartlens.functions.sequence import Sequence
 def test_hot_key_split_across_partitions(spark):
     rng = np.random.default_rng(3)
     n = 4000
-    # key 0 holds ~70% of the rows; the rest spread over 50 keys
+    # key 0 holds ~70% of the rows, keys 1-50 share most of the rest, and
+    # 200 keys have a single row each
     keys = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 51, n))
+    keys[rng.choice(n, 200, replace=False)] = np.arange(1000, 1200)
     pdf = pd.DataFrame(
         {
             "k": keys.astype("int64"),
             "t": rng.integers(0, 500, n).astype("int64"),
             "id": np.arange(n, dtype="int64"),
-            "v": rng.integers(0, 30, n).astype("float64"),
+            "v": rng.integers(-10, 30, n).astype("float64"),
         }
     )
     prev_parts = spark.conf.get("spark.sql.shuffle.partitions")
