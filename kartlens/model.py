@@ -48,6 +48,12 @@ class Tables:
             self._counts[name] = 0 if df is None else df.count()
         return self._counts[name]
 
+    def line_rows(self) -> int:
+        """Row count of the prior line items (``lines``), counted once."""
+        if "lines" not in self._counts:
+            self._counts["lines"] = self.lines.count()
+        return self._counts["lines"]
+
     def catalog_rows(self) -> int:
         """Row count of ``products``: the proven bound for every
         catalog-sized side (product maps, qualifying products)."""

@@ -6,8 +6,8 @@ A repurchase event is one line item of an order that has a previous order
 line items, so it is computed from ``orders`` alone.
 
 Plan shape: line items join the non-first orders on order_id (the one big
-shuffle join; adaptive execution splits a hot order's partition), the
-catalog-sized level map is broadcast, and the per-group aggregate is
+shuffle join; orders too large for one reducer are split off and joined
+map-side, see ``cycle_events``), the catalog-sized level map is broadcast, and the per-group aggregate is
 partial + final, so a hot product never lands whole in one task. Global
 baselines are scalar subqueries, computed once, never cross-joined.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kartlens.functions.joins import bounded_broadcast
 from kartlens.functions.rounding import as_double, difference2, mean2, ratio2, stddev2
 from kartlens.functions.sequence import Sequence
 from kartlens.model import Tables
@@ -25,11 +26,37 @@ from kartlens.operators.levels import by_level, level
 GAP = "days_since_prior_order"
 
 
+# Orders with at least this many line items are joined map-side (see
+# cycle_events); at most total_lines / HOT_LINES orders can qualify.
+HOT_LINES = 10_000_000
+
+
 def cycle_events(tables: Tables) -> DataFrame:
     """(order_id, product_id, days_since_prior_order), one row per line item
-    of a non-first order; duplicate lines stay duplicate events."""
+    of a non-first order; duplicate lines stay duplicate events.
+
+    A sort-merge join on order_id would send every line of a hot order to
+    one reducer. At most total_lines // HOT_LINES orders can have HOT_LINES
+    lines or more (a bound from a row count); when that bound is not zero,
+    those orders' gaps are broadcast and joined map-side, and their lines
+    are removed map-side (anti join against the same broadcast set) before
+    the shuffle of the ordinary join. When the bound is zero no order can
+    be hot and the plain join is used."""
     gaps = tables.gaps.where(F.col(GAP).isNotNull())
-    return tables.lines.join(gaps, "order_id")
+    lines = tables.lines
+    bound = tables.line_rows() // HOT_LINES
+    if bound == 0:
+        return lines.join(gaps, "order_id")
+    hot = (
+        lines.groupBy("order_id")
+        .agg(F.count(F.lit(1)).alias("_lines"))
+        .where(F.col("_lines") >= HOT_LINES)
+        .select("order_id")
+    )
+    hot_ids = bounded_broadcast(hot, bound)
+    hot_gaps = bounded_broadcast(gaps.join(hot_ids, "order_id"), bound)
+    ordinary = lines.join(hot_ids, "order_id", "left_anti").join(gaps, "order_id")
+    return lines.join(hot_gaps, "order_id").unionByName(ordinary)
 
 
 def global_cycle(tables: Tables) -> Column:

@@ -88,3 +88,23 @@ def test_same_product_cycle_with_a_hot_customer(spark, skewed):
     exp = pur.dropna(subset=["prev"])
     exp = sorted(zip(exp["product_id"], exp["day"] - exp["prev"]))
     assert sorted(zip(events["product_id"], events["cycle_days"])) == exp
+
+
+def test_cycle_with_a_hot_order_joined_map_side(spark, skewed, monkeypatch):
+    t, orders, lines = skewed
+    plain = {r.product_id: r for r in repurchase.repurchase_lift(t, "product", 5, ordered=False).collect()}
+    monkeypatch.setattr(repurchase, "HOT_LINES", 100)  # order 7 (720 lines) becomes hot
+    df = repurchase.repurchase_lift(t, "product", 5, ordered=False)
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    assert "LeftAnti" in buf.getvalue()
+    split = {r.product_id: r for r in df.collect()}
+    assert split == plain
+    g = orders.dropna(subset=["gap"])[["order_id", "gap"]]
+    ev = lines.merge(g, on="order_id")
+    exp = ev.groupby("product_id").size()
+    assert {p: r.number_of_repurchase_events for p, r in split.items()} == {p: n for p, n in exp.items() if n >= 5}
