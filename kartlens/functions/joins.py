@@ -21,3 +21,38 @@ def bounded_broadcast(df: DataFrame, row_bound: int, budget: int = BROADCAST_ROW
     """``broadcast(df)`` if ``df`` is known to hold at most ``row_bound``
     rows and that is within ``budget``; otherwise ``df`` unchanged."""
     return F.broadcast(df) if row_bound <= budget else df
+
+
+def hot_key_join(
+    big: DataFrame,
+    small: DataFrame,
+    key: str,
+    how: str,
+    big_rows: int,
+    hot_rows: int,
+) -> DataFrame:
+    """``big.join(small, key, how)`` (inner, left or left_anti) without any
+    reducer receiving a hot key of ``big``. ``small`` holds at most one row
+    per key (a primary-key side, like orders), which is what bounds its
+    broadcast part below.
+
+    A key holding ``hot_rows`` rows or more of ``big`` is hot; there are at
+    most ``big_rows // hot_rows`` of them, the proven bound under which the
+    hot keys (and ``small``'s rows for them) are broadcast. Hot rows of
+    ``big`` are joined map-side against that broadcast; the other rows are
+    removed from the hot keys map-side first and take the ordinary
+    (shuffled) join. With a zero bound no key can be hot and the plain join
+    is returned."""
+    bound = big_rows // hot_rows
+    if bound == 0:
+        return big.join(small, key, how)
+    hot = big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows).select(key)
+    hot_ids = bounded_broadcast(hot, bound)
+    hot_small = small.join(hot_ids, key)
+    if how != "left_anti":
+        hot_small = bounded_broadcast(hot_small, bound)
+    else:
+        hot_small = bounded_broadcast(hot_small.select(key).distinct(), bound)
+    hot_part = big.join(hot_ids, key, "left_semi").join(hot_small, key, how)
+    ordinary = big.join(hot_ids, key, "left_anti").join(small, key, how)
+    return hot_part.unionByName(ordinary)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartlens.functions.joins import bounded_broadcast
+from kartlens.functions.joins import hot_key_join
 from kartlens.functions.rounding import as_double, difference2, mean2, ratio2, stddev2
 from kartlens.functions.sequence import Sequence
 from kartlens.model import Tables
@@ -36,27 +36,10 @@ def cycle_events(tables: Tables) -> DataFrame:
     of a non-first order; duplicate lines stay duplicate events.
 
     A sort-merge join on order_id would send every line of a hot order to
-    one reducer. At most total_lines // HOT_LINES orders can have HOT_LINES
-    lines or more (a bound from a row count); when that bound is not zero,
-    those orders' gaps are broadcast and joined map-side, and their lines
-    are removed map-side (anti join against the same broadcast set) before
-    the shuffle of the ordinary join. When the bound is zero no order can
-    be hot and the plain join is used."""
+    one reducer; ``hot_key_join`` joins orders with HOT_LINES lines or more
+    map-side instead (at most total_lines // HOT_LINES of them)."""
     gaps = tables.gaps.where(F.col(GAP).isNotNull())
-    lines = tables.lines
-    bound = tables.line_rows() // HOT_LINES
-    if bound == 0:
-        return lines.join(gaps, "order_id")
-    hot = (
-        lines.groupBy("order_id")
-        .agg(F.count(F.lit(1)).alias("_lines"))
-        .where(F.col("_lines") >= HOT_LINES)
-        .select("order_id")
-    )
-    hot_ids = bounded_broadcast(hot, bound)
-    hot_gaps = bounded_broadcast(gaps.join(hot_ids, "order_id"), bound)
-    ordinary = lines.join(hot_ids, "order_id", "left_anti").join(gaps, "order_id")
-    return lines.join(hot_gaps, "order_id").unionByName(ordinary)
+    return hot_key_join(tables.lines, gaps, "order_id", "inner", tables.line_rows(), HOT_LINES)
 
 
 def global_cycle(tables: Tables) -> Column:

@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartlens.functions.joins import bounded_broadcast
+from kartlens.functions.joins import bounded_broadcast, hot_key_join
+from kartlens.operators.repurchase import HOT_LINES
 from kartlens.model import Tables
 from kartlens.sources.schemas import REFERENCES, TABLES
 
@@ -88,9 +89,14 @@ def unmatched_references(tables: Tables) -> DataFrame:
         if cdf is None or pdf is None:
             continue
         keys = pdf.select(F.col(pcol).alias("_ref")).where(F.col("_ref").isNotNull())
+        refs = cdf.select(F.col(ccol).alias("_ref")).where(F.col("_ref").isNotNull())
         if parent in small:
-            keys = bounded_broadcast(keys, tables.rows(parent))
-        orphans = cdf.select(F.col(ccol).alias("_ref")).where(F.col("_ref").isNotNull()).join(keys, "_ref", "left_anti")
+            orphans = refs.join(bounded_broadcast(keys, tables.rows(parent)), "_ref", "left_anti")
+        elif child == "order_products__prior":
+            # line items -> orders: a hot order must not land on one reducer
+            orphans = hot_key_join(refs, keys, "_ref", "left_anti", tables.line_rows(), HOT_LINES)
+        else:
+            orphans = refs.join(keys, "_ref", "left_anti")
         parts.append(
             orphans.agg(F.count(F.lit(1)).alias("unmatched_rows")).select(
                 F.lit(child).alias("child_table"),

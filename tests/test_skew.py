@@ -108,3 +108,16 @@ def test_cycle_with_a_hot_order_joined_map_side(spark, skewed, monkeypatch):
     ev = lines.merge(g, on="order_id")
     exp = ev.groupby("product_id").size()
     assert {p: r.number_of_repurchase_events for p, r in split.items()} == {p: n for p, n in exp.items() if n >= 5}
+
+
+def test_hot_key_join_matches_plain_join(spark, skewed):
+    from kartlens.functions.joins import hot_key_join
+
+    t, _, _ = skewed
+    big = t.lines.unionByName(spark.createDataFrame([(99999, 1)], t.lines.schema))  # one orphan line
+    small = t.gaps
+    n = big.count()
+    for how in ("inner", "left", "left_anti"):
+        plain = sorted(map(tuple, big.join(small, "order_id", how).collect()), key=str)
+        split = sorted(map(tuple, hot_key_join(big, small, "order_id", how, n, 100).collect()), key=str)
+        assert split == plain, how
