@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 # executor (ids plus a name: ~100 MB at the limit).
 BROADCAST_ROWS = 1_000_000
 
+# Rows of one key above which a line-item join handles the key map-side
+# (``hot_key_join``): about 160 MB of (order, product) pairs for one reducer.
+HOT_ROWS = 10_000_000
+
 
 def bounded_broadcast(df: DataFrame, row_bound: int, budget: int = BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if ``df`` is known to hold at most ``row_bound``
@@ -26,7 +30,7 @@ def bounded_broadcast(df: DataFrame, row_bound: int, budget: int = BROADCAST_ROW
 def hot_key_join(
     big: DataFrame,
     small: DataFrame,
-    key: str,
+    key: str | list[str],
     how: str,
     big_rows: int,
     hot_rows: int,
@@ -43,16 +47,16 @@ def hot_key_join(
     removed from the hot keys map-side first and take the ordinary
     (shuffled) join. With a zero bound no key can be hot and the plain join
     is returned."""
+    keys = [key] if isinstance(key, str) else list(key)
     bound = big_rows // hot_rows
     if bound == 0:
-        return big.join(small, key, how)
-    hot = big.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows).select(key)
+        return big.join(small, keys, how)
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows).select(*keys)
     hot_ids = bounded_broadcast(hot, bound)
-    hot_small = small.join(hot_ids, key)
-    if how != "left_anti":
-        hot_small = bounded_broadcast(hot_small, bound)
-    else:
-        hot_small = bounded_broadcast(hot_small.select(key).distinct(), bound)
-    hot_part = big.join(hot_ids, key, "left_semi").join(hot_small, key, how)
-    ordinary = big.join(hot_ids, key, "left_anti").join(small, key, how)
+    hot_small = small.join(hot_ids, keys)
+    if how == "left_anti":
+        hot_small = hot_small.select(*keys).distinct()
+    hot_small = bounded_broadcast(hot_small, bound)
+    hot_part = big.join(hot_ids, keys, "left_semi").join(hot_small, keys, how)
+    ordinary = big.join(hot_ids, keys, "left_anti").join(small, keys, how)
     return hot_part.unionByName(ordinary)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kartlens.functions.joins import hot_key_join
+from kartlens.functions.joins import HOT_ROWS, hot_key_join
 from kartlens.functions.rounding import as_double, difference2, mean2, ratio2, stddev2
 from kartlens.functions.sequence import Sequence
 from kartlens.model import Tables
@@ -28,7 +28,7 @@ GAP = "days_since_prior_order"
 
 # Orders with at least this many line items are joined map-side (see
 # cycle_events); at most total_lines / HOT_LINES orders can qualify.
-HOT_LINES = 10_000_000
+HOT_LINES = HOT_ROWS
 
 
 def cycle_events(tables: Tables) -> DataFrame:

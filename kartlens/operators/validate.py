@@ -13,8 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartlens.functions.joins import bounded_broadcast, hot_key_join
-from kartlens.operators.repurchase import HOT_LINES
+from kartlens.functions.joins import HOT_ROWS, bounded_broadcast, hot_key_join
 from kartlens.model import Tables
 from kartlens.sources.schemas import REFERENCES, TABLES
 
@@ -94,7 +93,7 @@ def unmatched_references(tables: Tables) -> DataFrame:
             orphans = refs.join(bounded_broadcast(keys, tables.rows(parent)), "_ref", "left_anti")
         elif child == "order_products__prior":
             # line items -> orders: a hot order must not land on one reducer
-            orphans = hot_key_join(refs, keys, "_ref", "left_anti", tables.line_rows(), HOT_LINES)
+            orphans = hot_key_join(refs, keys, "_ref", "left_anti", tables.line_rows(), HOT_ROWS)
         else:
             orphans = refs.join(keys, "_ref", "left_anti")
         parts.append(

@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kartlens.functions.joins import HOT_ROWS, hot_key_join
 from kartlens.functions.sequence import Sequence
 from kartlens.model import Tables
 
@@ -64,22 +65,25 @@ def bind_orders(raw_orders: DataFrame) -> tuple[DataFrame, DataFrame]:
     return full, lean
 
 
-def bind_prior(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+def bind_prior(lineitem: DataFrame, orders: DataFrame, line_rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Prior line items with ``reordered`` = 1 if the customer had the part
     in an earlier order. Left joins keep every line (an order missing from
-    ``orders`` leaves ``reordered`` null, and V4 still sees the line)."""
+    ``orders`` leaves ``reordered`` null, and V4 still sees the line); both
+    joins split hot keys off map-side (``hot_key_join``)."""
     items = lineitem.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_linenumber").alias("add_to_cart_order"),
     )
-    with_user = items.join(orders.select("order_id", "user_id", "order_number"), "order_id", "left")
+    with_user = hot_key_join(
+        items, orders.select("order_id", "user_id", "order_number"), "order_id", "left", line_rows, hot_rows
+    )
     first = (
         with_user.where(F.col("user_id").isNotNull())
         .groupBy("user_id", "product_id")
         .agg(F.min("order_number").alias("first_number"))
     )
-    return with_user.join(first, ["user_id", "product_id"], "left").select(
+    return hot_key_join(with_user, first, ["user_id", "product_id"], "left", line_rows, hot_rows).select(
         "order_id",
         "product_id",
         "add_to_cart_order",
@@ -122,7 +126,7 @@ def bind(spark: SparkSession, sf_dir: str) -> Tables:
     products, aisles, departments = bind_catalog(_read(spark, sf_dir, "part"))
     return Tables(
         orders=orders,
-        prior=bind_prior(lineitem, orders),
+        prior=bind_prior(lineitem, orders, lineitem.count()),
         products=products,
         aisles=aisles,
         departments=departments,
@@ -163,7 +167,7 @@ def ingest(spark: SparkSession, sf_dir: str, root: str) -> Tables:
         stored[name] = spark.read.parquet(f"{base}/{name}")
     return Tables(
         orders=stored["orders"],
-        prior=bind_prior(lineitem, stored["orders"]),
+        prior=bind_prior(lineitem, stored["orders"], stored["lines"].count()),
         products=stored["products"],
         aisles=stored["aisles"],
         departments=stored["departments"],

@@ -121,3 +121,18 @@ def test_hot_key_join_matches_plain_join(spark, skewed):
         plain = sorted(map(tuple, big.join(small, "order_id", how).collect()), key=str)
         split = sorted(map(tuple, hot_key_join(big, small, "order_id", how, n, 100).collect()), key=str)
         assert split == plain, how
+
+
+def test_prior_binding_with_hot_keys(spark, skewed):
+    from pyspark.sql import functions as F
+
+    from kartlens.sources.testdata import bind_prior
+
+    t, _, _ = skewed
+    lineitem = t.lines.select(
+        F.col("order_id").alias("l_orderkey"), F.col("product_id").alias("l_partkey"), F.lit(1).alias("l_linenumber")
+    )
+    n = lineitem.count()
+    plain = sorted(map(tuple, bind_prior(lineitem, t.orders, n, hot_rows=n + 1).collect()), key=str)
+    split = sorted(map(tuple, bind_prior(lineitem, t.orders, n, hot_rows=50).collect()), key=str)
+    assert split == plain and any(r[3] == 1 for r in plain)
