@@ -34,6 +34,7 @@ def hot_key_join(
     how: str,
     big_rows: int,
     hot_rows: int,
+    sort_merge: bool = False,
 ) -> DataFrame:
     """``big.join(small, key, how)`` (inner, left or left_anti) without any
     reducer receiving a hot key of ``big``. ``small`` holds at most one row
@@ -46,11 +47,14 @@ def hot_key_join(
     ``big`` are joined map-side against that broadcast; the other rows are
     removed from the hot keys map-side first and take the ordinary
     (shuffled) join. With a zero bound no key can be hot and the plain join
-    is returned."""
+    is returned. ``sort_merge`` pins the ordinary join to a sort-merge join
+    (for two sides that are both large at scale, when a small-data plan
+    would broadcast the bigger one into a few tasks)."""
     keys = [key] if isinstance(key, str) else list(key)
     bound = big_rows // hot_rows
+    ordinary_small = small.hint("merge") if sort_merge else small
     if bound == 0:
-        return big.join(small, keys, how)
+        return big.join(ordinary_small, keys, how)
     hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= hot_rows).select(*keys)
     hot_ids = bounded_broadcast(hot, bound)
     hot_small = small.join(hot_ids, keys)
@@ -58,5 +62,5 @@ def hot_key_join(
         hot_small = hot_small.select(*keys).distinct()
     hot_small = bounded_broadcast(hot_small, bound)
     hot_part = big.join(hot_ids, keys, "left_semi").join(hot_small, keys, how)
-    ordinary = big.join(hot_ids, keys, "left_anti").join(small, keys, how)
+    ordinary = big.join(hot_ids, keys, "left_anti").join(ordinary_small, keys, how)
     return hot_part.unionByName(ordinary)

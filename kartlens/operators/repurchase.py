@@ -122,8 +122,9 @@ def same_product_events(tables: Tables) -> DataFrame:
         "order_id", "user_id", "order_number", F.coalesce(F.col(GAP), F.lit(0.0)).alias("gap")
     ).where(F.col("user_id").isNotNull())
     days = Sequence(orders, key="user_id", order=("order_number", "order_id")).frame(running="gap")
+    days = days.select("order_id", "user_id", "order_number", F.col("running_gap").alias("day"))
     purchases = (
-        tables.lines.join(days.select("order_id", "user_id", "order_number", F.col("running_gap").alias("day")), "order_id")
+        hot_key_join(tables.lines, days, "order_id", "inner", tables.line_rows(), HOT_LINES, sort_merge=True)
         .select(F.struct("user_id", "product_id").alias("_buyer_product"), "product_id", "order_number", "order_id", "day")
         .distinct()
     )
