@@ -21,10 +21,11 @@ BROADCAST_ROWS = 1_000_000
 HOT_ROWS = 10_000_000
 
 
-def bounded_broadcast(df: DataFrame, row_bound: int, budget: int = BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, row_bound: int, budget: int | None = None) -> DataFrame:
     """``broadcast(df)`` if ``df`` is known to hold at most ``row_bound``
-    rows and that is within ``budget``; otherwise ``df`` unchanged."""
-    return F.broadcast(df) if row_bound <= budget else df
+    rows and that is within ``budget`` (default ``BROADCAST_ROWS``);
+    otherwise ``df`` unchanged, and the planner shuffles."""
+    return F.broadcast(df) if row_bound <= (BROADCAST_ROWS if budget is None else budget) else df
 
 
 def hot_key_join(

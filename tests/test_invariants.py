@@ -82,3 +82,34 @@ def test_bound_orders_match_window_semantics(t):
     ).fetchall()
     got = rows(t.orders, "order_id", "order_number", "days_since_prior_order")
     assert got == sorted((o, n, None if g is None else float(g)) for o, n, g in ref)
+
+
+def test_results_equal_without_any_broadcast(spark, t, monkeypatch):
+    from kartlens.functions import joins
+    from kartlens.operators import ordersize
+
+    queries = {
+        "share": lambda: copurchase.copurchase_share(t, 2, ordered=False),
+        "pairs": lambda: copurchase.copurchase_pairs(t, 2, ordered=False),
+        "size_dept": lambda: ordersize.order_size(t, "department", 30, ordered=False),
+        "cycle_lift": lambda: repurchase.repurchase_lift(t, "product", 30, ordered=False),
+    }
+    with_broadcast = {k: rows(q()) for k, q in queries.items()}
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        for k, q in queries.items():
+            df = q()
+            import contextlib
+            import io
+
+            buf = io.StringIO()
+            with contextlib.redirect_stdout(buf):
+                df.explain()
+            assert "BroadcastHashJoin" not in buf.getvalue(), k
+            assert rows(df) == with_broadcast[k], k
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
