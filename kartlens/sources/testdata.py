@@ -165,11 +165,14 @@ def ingest(spark: SparkSession, sf_dir: str, root: str) -> Tables:
     ):
         df.write.mode("overwrite").parquet(f"{base}/{name}")
         stored[name] = spark.read.parquet(f"{base}/{name}")
-    return Tables(
+    line_rows = stored["lines"].count()
+    tables = Tables(
         orders=stored["orders"],
-        prior=bind_prior(lineitem, stored["orders"], stored["lines"].count()),
+        prior=bind_prior(lineitem, stored["orders"], line_rows),
         products=stored["products"],
         aisles=stored["aisles"],
         departments=stored["departments"],
         prior_lines=stored["lines"],
     )
+    tables._counts["lines"] = line_rows
+    return tables
