@@ -1,0 +1 @@
+"""The analysis steps, one function per query, each returning a DataFrame."""

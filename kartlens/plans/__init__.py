@@ -1,0 +1 @@
+"""Query registry, oracle SQL and the materialized reference flow."""

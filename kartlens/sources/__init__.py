@@ -1,0 +1 @@
+"""Schemas, CSV / parquet loading, and the driver test-table binding."""

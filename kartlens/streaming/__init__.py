@@ -1,0 +1 @@
+"""Incremental CSV ingest with Structured Streaming."""
