@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kartlens.functions.joins import HOT_ROWS, bounded_broadcast, hot_key_join
@@ -53,6 +53,25 @@ def preview(tables: Tables, name: str, rows: int = PREVIEW_ROWS) -> DataFrame:
     return df.orderBy(*key, *[c for c in df.columns if c not in key]).limit(rows)
 
 
+def all_previews(tables: Tables, rows: int = PREVIEW_ROWS) -> DataFrame:
+    """V2 for every loaded table in one frame: (table_name, position, row),
+    the row's values as text joined by ``|`` (nulls left out)."""
+    parts = []
+    for name in _present(tables):
+        df = preview(tables, name, rows)
+        key = TABLES[name][1] or tuple(df.columns)
+        # a global ranking window, over the at most ``rows`` rows of one preview
+        rank = F.row_number().over(Window.orderBy(*key, *[c for c in df.columns if c not in key]))
+        parts.append(
+            df.select(
+                F.lit(name).alias("table_name"),
+                rank.alias("position"),
+                F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).alias("row"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def key_violations(tables: Tables) -> DataFrame:
     """V3: per declared primary key, the number of key values held by more
     than one row and the number of rows with a null key."""

@@ -59,6 +59,7 @@ def _q(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataF
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # V1-V4
     "table_row_counts": validate.row_counts,
+    "table_preview": validate.all_previews,
     "preview_orders": lambda t: validate.preview(t, "orders"),
     "preview_order_products_prior": lambda t: validate.preview(t, "order_products__prior"),
     "preview_products": lambda t: validate.preview(t, "products"),
