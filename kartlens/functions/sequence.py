@@ -44,7 +44,9 @@ def _numbered(df: DataFrame, key: str, order: Seq[str]) -> tuple[DataFrame, Data
     spark = df.sparkSession
     # Fix the numbering by writing it once to the shared checkpoint folder
     # (a single pass, columnar on read; an eager RDD checkpoint would run
-    # the sort twice).
+    # the sort twice). A retried task (lost executor) writes the same ids:
+    # the range bounds are fixed for the exchange and each partition is
+    # sorted on unique keys, so its rows and their order are the same.
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kartlens-sequence/{uuid.uuid4().hex}"
     df.orderBy(key, *order).withColumn("_gid", F.monotonically_increasing_id()).write.parquet(path)
     ordered = spark.read.parquet(path).withColumn("_pid", F.shiftright("_gid", _ROW_BITS))
