@@ -19,7 +19,7 @@ from kartlens.model import Tables
 from kartlens.operators import copurchase, dashboard, ordersize, repurchase, validate
 from kartlens.plans.materialize import export_from_tables, product_metrics
 from kartlens.session import ensure_checkpoint_dir
-from kartlens.sources.testdata import ingest
+from kartlens.sources.testdata import ingest, read_ingested
 
 # Fixed value: the reference's minimum support, applied to events, orders,
 # line items and pairs alike.
@@ -29,22 +29,28 @@ T = 30
 PAIR_T = 2
 TOP_K = 10
 
-_bound: dict[tuple[str, str], Tables] = {}
+_ingested: dict[tuple[str, str], str] = {}
+_bound: dict[tuple[int, str, str], Tables] = {}
 _bind_lock = threading.Lock()
 
 
 def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
-    """The driver tables in the order model, ingested once per Spark
+    """The driver tables in the order model. Ingested once per Spark
     application: the derived tables are written as parquet under the
-    session's checkpoint folder (shared storage on a cluster) and scanned
-    from there by every query (``testdata.ingest``)."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    session's checkpoint folder (shared storage on a cluster,
+    ``testdata.ingest``); every session then scans them from there."""
+    app, folder = spark.sparkContext.applicationId, sf_dir.rstrip("/")
     with _bind_lock:
-        if key not in _bound:
-            tag = hashlib.sha1(key[1].encode()).hexdigest()[:12]
-            root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kartlens-ingest/{key[0]}/{tag}"
-            _bound[key] = ingest(spark, sf_dir, root)
-        return _bound[key]
+        session_key = (id(spark), app, folder)
+        if session_key not in _bound:
+            if (app, folder) not in _ingested:
+                tag = hashlib.sha1(folder.encode()).hexdigest()[:12]
+                root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kartlens-ingest/{app}/{tag}"
+                _bound[session_key] = ingest(spark, sf_dir, root)
+                _ingested[(app, folder)] = root
+            else:
+                _bound[session_key] = read_ingested(spark, sf_dir, _ingested[(app, folder)])
+        return _bound[session_key]
 
 
 def _metrics(t: Tables) -> dict:

@@ -143,6 +143,9 @@ def _spread(df: DataFrame, files: int) -> DataFrame:
     return df.repartition(parallelism) if files < parallelism else df
 
 
+STORED = ("orders", "products", "aisles", "departments", "lines")
+
+
 def ingest(spark: SparkSession, sf_dir: str, root: str) -> Tables:
     """Bind once and store what is derived: orders (with the customer
     sequence), the catalog tables and the two line-item columns the
@@ -155,16 +158,17 @@ def ingest(spark: SparkSession, sf_dir: str, root: str) -> Tables:
     lineitem = _read(spark, sf_dir, "lineitem")
     lines = _spread(bind_lines(lineitem), len(lineitem.inputFiles()))
     base = root.rstrip("/")
-    stored = {}
-    for name, df in (
-        ("orders", orders),
-        ("products", products),
-        ("aisles", aisles),
-        ("departments", departments),
-        ("lines", lines),
-    ):
-        df.write.mode("overwrite").parquet(f"{base}/{name}")
-        stored[name] = spark.read.parquet(f"{base}/{name}")
+    frames = {"orders": orders, "products": products, "aisles": aisles, "departments": departments, "lines": lines}
+    for name in STORED:
+        frames[name].write.mode("overwrite").parquet(f"{base}/{name}")
+    return read_ingested(spark, sf_dir, root)
+
+
+def read_ingested(spark: SparkSession, sf_dir: str, root: str) -> Tables:
+    """The tables written by ``ingest``, scanned in ``spark``."""
+    base = root.rstrip("/")
+    stored = {name: spark.read.parquet(f"{base}/{name}") for name in STORED}
+    lineitem = _read(spark, sf_dir, "lineitem")
     line_rows = stored["lines"].count()
     tables = Tables(
         orders=stored["orders"],
