@@ -122,3 +122,25 @@ def test_streaming_ingest_loads_each_file_once(spark):
     ingest_available(spark, src, "order_products__prior", out, ckpt)
     ingest_available(spark, src, "order_products__prior", out, ckpt)  # nothing new
     assert rows(spark.read.parquet(out), "order_id", "product_id") == [(1, 10), (1, 11), (2, 10)]
+
+
+def test_command_runs_the_whole_flow_on_csv(spark):
+    from kartlens.__main__ import main
+
+    folder = tempfile.mkdtemp(prefix="kartlens-csv-")
+    orders = ["order_id,user_id,eval_set,order_number,order_dow,order_hour_of_day,days_since_prior_order"]
+    orders += [f"{i},1,prior,{i},1,9,{'' if i == 1 else 3.0}" for i in range(1, 41)]
+    _write(folder, "orders.csv", "\n".join(orders) + "\n")
+    lines = ["order_id,product_id,add_to_cart_order,reordered"] + [f"{i},{p},1,0" for i in range(1, 41) for p in (1, 2)]
+    _write(folder, "order_products__prior.csv", "\n".join(lines) + "\n")
+    _write(folder, "products.csv", "product_id,product_name,aisle_id,department_id\n1,Banana,1,1\n2,Milk,2,2\n")
+    _write(folder, "aisles.csv", "aisle_id,aisle\n1,fresh fruits\n2,milk\n")
+    _write(folder, "departments.csv", "department_id,department\n1,produce\n2,dairy\n")
+    out = tempfile.mkdtemp(prefix="kartlens-out-")
+    written = main(["--csv", folder, "--out", out, "--no-train"])
+    assert rows(spark.read.parquet(written["copurchase_share"]), "anchor_id", "co_product_id", "number_of_co_purchases") == [
+        (1, 2, 40)
+    ]
+    extract = spark.read.parquet(written["product_behavior_export"])
+    assert rows(extract, "anchor_id", "co_product_id") == [(1, 2)]
+    assert rows(spark.read.parquet(written["global_repurchase_cycle"])) == [(3.0,)]
