@@ -13,7 +13,7 @@ def test_sizing_targets_256mb_partitions():
 
 
 def test_apply_sizing_keeps_chosen_values(spark):
-    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
+    keys = tuple(sizing_for(1, 1))
     before = {k: spark.conf.get(k) for k in keys}
     try:
         spark.conf.set("spark.sql.files.maxPartitionBytes", "134217728")  # Spark's default
