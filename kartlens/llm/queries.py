@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartlens.llm import simhash
-from kartlens.llm.common import table
+from kartlens.llm import decontaminate, pii, simhash, source_mix, toxicity
+from kartlens.llm.common import held_out, table
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,65 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    made = source_mix.copies(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"), window=10)
+    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        F.col("__n_words").alias("n_words"),
+        n_hit.alias("n_hit"),
+        F.size("__items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("__items", ","), 256).alias("items_sha256"),
+        (F.size("__spans") > 0).alias("contaminated"),
+    )
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.spans(docs.select("doc_id", "text"), pii.fit(docs))
+    base = F.filter("__spans", lambda s: s["base"])
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(F.col("base"), lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long")
+
+    return found.select("doc_id", "__spans", base.alias("base")).select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("__spans")).alias("spans"),
+    )
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The model learned from labels outside the held-out fifth."""
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 0))
+    return toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+    return out.select(
+        "doc_id",
+        held_out(F.col("doc_id"), 0).alias("held_out"),
+        F.col("__score").alias("score"),
+        F.when(F.col("__score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash,)}
+    made = (op3_simhash, op4_source_mix, op7_decontaminate, op8_pii, op10_toxicity)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,9 +14,10 @@ member, never as all pairs:
 
 * members within the radius of the smallest one are linked to it (verified
   by the bit distance);
-* only where some member is farther, its rows take a second step whose keys
-  fix the masked block but for one bit, so that any two rows under one such
-  key are within the radius and the star to the smallest is exact.
+* only where some member is farther and the key's rows are not one component
+  yet, they take a second step whose keys fix the masked block but for one
+  bit, so that any two rows under one such key are within the radius and the
+  star to the smallest is exact.
 
 Components come from repeated contraction to the smallest neighbour; each
 round is a written table, so nothing is lost with an executor and nothing
@@ -95,10 +96,10 @@ def _signed(x: int) -> int:
 LOW = (1 << BLOCK_BITS) - 1
 
 
-def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """(u, v) with v < u in signed order: star edges whose components are
-    those of all pairs of distinct ``fp`` at ``max_bits`` (2 or 3) or fewer
-    differing bits. ``fps`` has one row per distinct ``fp``."""
+def roots(fps: DataFrame, max_bits: int = 3) -> DataFrame:
+    """(fp, root) for every row of ``fps`` (one per distinct ``fp``): root is
+    the same for fingerprints reachable from each other over pairs at
+    ``max_bits`` (2 or 3) or fewer differing bits."""
     if max_bits not in (2, 3):
         raise ValueError("max_bits must be 2 or 3")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(64)])
@@ -124,13 +125,31 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
     )
     met = stage(met, "met")
     near = met.where(F.col("bits").between(1, max_bits)).select(F.col("fp").alias("u"), F.col("lo").alias("v"))
-    deep = met.where(F.col("far") > max_bits).select("key", "fp")
-    return near.union(_deep_links(deep, blocks)).distinct()
+    first = stage(components(near.distinct()), "first")
+    # A key's rows need the second step only if they aren't one component yet.
+    apart = (
+        met.where(F.col("far") > max_bits)
+        .select("key", "fp")
+        .join(first, "fp", "left")
+        .withColumn("root", F.coalesce("root", "fp"))
+        .withColumn("lowest", F.min("root").over(same_key))
+        .withColumn("highest", F.max("root").over(same_key))
+        .where(F.col("lowest") != F.col("highest"))
+        .select("key", "fp", "root")
+    )
+    second = components(_deep_links(apart, blocks).distinct())
+    return (
+        fps.select("fp")
+        .join(first.withColumnRenamed("root", "r1"), "fp", "left")
+        .select("fp", F.coalesce("r1", "fp").alias("r1"))
+        .join(second.select(F.col("fp").alias("r1"), F.col("root").alias("r2")), "r1", "left")
+        .select("fp", F.coalesce("r2", "r1").alias("root"))
+    )
 
 
 def _deep_links(met: DataFrame, blocks: int) -> DataFrame:
-    """Star edges inside key groups that reach beyond the radius of their
-    smallest member."""
+    """(u, v): edges between the roots that meet inside key groups which reach
+    beyond the radius of their smallest member."""
     if not blocks:  # a ball of one bit: any two members are within two bits
         sub = met.withColumn("sub", F.lit(0).cast("long"))
     else:
@@ -152,12 +171,11 @@ def _deep_links(met: DataFrame, blocks: int) -> DataFrame:
             .withColumn(
                 "sub", F.explode(F.when(unflipped, F.array(*plain, *flipped)).otherwise(F.array(*plain)))
             )
-            .select("key", "sub", "fp")
+            .select("key", "sub", "root")
         )
-    lowest = F.min("fp").over(W.partitionBy("key", "sub"))
-    return (
-        sub.withColumn("lo", lowest).where(F.col("fp") != F.col("lo")).select(F.col("fp").alias("u"), F.col("lo").alias("v"))
-    )
+    lowest = F.min("root").over(W.partitionBy("key", "sub"))
+    linked = sub.withColumn("lo", lowest).where(F.col("root") != F.col("lo"))
+    return linked.select(F.col("root").alias("u"), F.col("lo").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,9 +222,7 @@ def near_duplicates(
     columns are not read, whatever their names."""
     rows = stage(fingerprints(docs, ngram, id_col, text_col), "fingerprints")
     distinct = stage(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), max_bits))
-    labelled = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    labelled = stage(labelled, "labelled")
+    labelled = stage(distinct.join(roots(distinct.select("fp"), max_bits), "fp"), "labelled")
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = labelled.join(lowest, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select(id_col, "fp", "component_id")
