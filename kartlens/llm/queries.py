@@ -7,10 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kartlens.llm import decontaminate, pii, simhash, source_mix, toxicity
+import public_tokenizers
+
+from kartlens.llm import (
+    chat_format,
+    decontaminate,
+    license_scan,
+    lm_mixing,
+    minhash,
+    pii,
+    simhash,
+    source_mix,
+    token_counts,
+    toxicity,
+)
 from kartlens.llm.common import held_out, table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    counted = token_counts.token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+def op2_lm_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lm_mixing.scores(docs.withColumn("held_out", held_out(F.col("doc_id"), 1)))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), ngram=3, max_bits=3)
@@ -23,6 +50,35 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all formatted conversations, and of one whose texts are
+    control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
+    )
+    return chat_format.digests(chat_format.segments(rows.unionByName(extra)))
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    marked = minhash.fingerprinted(docs, "text", "fingerprint")
+    pairs = minhash.with_next(marked, ["text", "fingerprint"])
+    pairs = pairs.select("doc_id", "text", "fingerprint", "next_fingerprint", minhash.edited(F.col("text"), F.col("next_text")).alias("edited"))
+    both = minhash.fingerprinted(pairs, "edited", "edited_fingerprint")
+    return both.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        minhash.similarity(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        minhash.similarity(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -55,6 +111,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("licenses", F.array_join("licenses", ","))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The model learned from labels outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 0))
@@ -74,7 +136,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op3_simhash, op4_source_mix, op7_decontaminate, op8_pii, op10_toxicity)
+    made = (
+        op1_token_counts,
+        op2_lm_mixing,
+        op3_simhash,
+        op4_source_mix,
+        op5_chat_format,
+        op6_minhash,
+        op7_decontaminate,
+        op8_pii,
+        op9_license_scan,
+        op10_toxicity,
+    )
     return {f.__name__: f for f in made}
 
 
