@@ -16,6 +16,7 @@ Unicode letters) go through the library whole.
 from __future__ import annotations
 
 import json
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -50,23 +51,23 @@ def byte_symbols() -> dict[int, str]:
 @cache
 def odd_characters(tokenizer_json: str) -> str:
     """A character class (or "") of what the library's pre-tokenizer and
-    PATTERN class differently, found by asking both about every character."""
+    PATTERN class differently, found by asking both about every character that
+    either is a letter, number or space here or is assigned at all."""
     split = Tokenizer.from_str(tokenizer_json).pre_tokenizer.pre_tokenize_str
     pattern = regex.compile(PATTERN)
 
-    def differ(chars: list[str]) -> bool:
-        probe = "".join(f"a{c}1{c}." for c in chars)
-        return [probe[a:b] for _, (a, b) in split(probe)] != pattern.findall(probe)
-
-    odd: list[int] = []
-    pending = [[chr(c) for c in range(i, i + 4096) if not 0xD800 <= c < 0xE000] for i in range(0, 0x110000, 4096)]
-    while pending:
-        chars = pending.pop()
-        if chars and differ(chars):
-            if len(chars) == 1:
-                odd.append(ord(chars[0]))
-            else:
-                pending += [chars[: len(chars) // 2], chars[len(chars) // 2 :]]
+    known = regex.compile(r"[\p{L}\p{N}\s]").match
+    chars = [
+        c
+        for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)])
+        if known(c) or unicodedata.category(c) not in ("Cn", "Co")
+    ]
+    odd: set[int] = set()
+    for i in range(0, len(chars), 4096):
+        some = chars[i : i + 4096]
+        probe = "".join(f"a{c}1{c}." for c in some)  # five characters for each
+        cuts = {a for _, (a, _) in split(probe)} ^ {m.start() for m in pattern.finditer(probe)}
+        odd.update(ord(some[cut // 5]) for cut in cuts)
     runs: list[list[int]] = []
     for c in sorted(odd):
         if runs and c == runs[-1][1] + 1:
