@@ -37,7 +37,7 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-IP_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
+IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)"
 IP_VALID = rf"^{IP_PART}(?:\.{IP_PART}){{3}}$"
 # Looser forms: spelled-out addresses, bracketed dots, other separators,
 # national numbers. A text is searched only if it holds the hint.
