@@ -151,5 +151,71 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOWER}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+
+OP4_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents
+),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source
+),
+levels AS (
+  SELECT *,
+         CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0) AS DOUBLE)
+           / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS DOUBLE) AS level,
+         source_size / weight AS cap_order
+  FROM per
+  WINDOW before AS (ORDER BY source_size / weight, weight, source NULLS LAST
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+common AS (
+  SELECT level FROM levels WHERE NOT level * weight > 3 * source_size
+  ORDER BY cap_order, weight, source NULLS LAST LIMIT 1
+),
+targets AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), (SELECT level FROM common) * weight) AS target,
+         CAST(('0x' || substr(md5(coalesce('mix:' || source, 'mix')), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u
+  FROM per
+),
+ranked AS (
+  SELECT s.doc_id, s.size, t.source_size, t.target, t.u,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
+         row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id) AS place
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS BIGINT) * size AS taken
+FROM ranked
+"""
+
+OP7_SQL = f"""
+WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+wide AS (SELECT item, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
+windows AS (
+  SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM wide)
+),
+docs AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+grams AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+        FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+),
+hits AS (SELECT doc_id, i, n, item FROM grams JOIN windows USING (n, g)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+           FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items
+          FROM hits GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that it can express."""
+    return {"op4_source_mix": OP4_SQL, "op7_decontaminate": OP7_SQL}
