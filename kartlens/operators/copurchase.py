@@ -175,9 +175,10 @@ def _shares(tables: Tables, min_pairs: int, level_name: str) -> tuple[DataFrame,
     """(pair shares, anchor totals) built on one basket / support frame."""
     rows = baskets(tables, level_name)
     support = item_support(rows)
-    counts = pair_counts(rows, min_pairs, by_lines=False, item_bound=tables.catalog_rows(), support=support)
+    items = tables.catalog_rows() if level_name == "product" else tables.rows("aisles")
+    counts = pair_counts(rows, min_pairs, by_lines=False, item_bound=items, support=support)
     totals = support.select(F.col("item").alias("anchor_id"), F.col("orders").alias("total_anchor_orders"))
-    totals = bounded_broadcast(totals, tables.catalog_rows() if level_name == "product" else tables.rows("aisles"))
+    totals = bounded_broadcast(totals, items)
     return _with_share(counts.withColumnRenamed("n", "number_of_co_purchases"), totals), totals
 
 

@@ -33,8 +33,8 @@ REFERENCE_BASELINE = Decimal("10.09")
 
 def product_orders(tables: Tables) -> DataFrame:
     """(order_id, product_id, m): one row per product of an order, with the
-    number of lines it has there."""
-    return tables.lines.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("m"))
+    number of lines it has there. Lines without an order join no order."""
+    return tables.lines.where(F.col("order_id").isNotNull()).groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("m"))
 
 
 def sized(tables: Tables) -> DataFrame:

@@ -55,7 +55,7 @@ def preview(tables: Tables, name: str, rows: int = PREVIEW_ROWS) -> DataFrame:
 
 def all_previews(tables: Tables, rows: int = PREVIEW_ROWS) -> DataFrame:
     """V2 for every loaded table in one frame: (table_name, position, row),
-    the row's values as text joined by ``|`` (nulls left out)."""
+    the row's values as text joined by ``|``, nulls as ``NULL``."""
     parts = []
     for name in _present(tables):
         df = preview(tables, name, rows)
@@ -66,7 +66,7 @@ def all_previews(tables: Tables, rows: int = PREVIEW_ROWS) -> DataFrame:
             df.select(
                 F.lit(name).alias("table_name"),
                 rank.alias("position"),
-                F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).alias("row"),
+                F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("NULL")) for c in df.columns]).alias("row"),
             )
         )
     return reduce(DataFrame.unionByName, parts)

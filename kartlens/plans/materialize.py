@@ -109,7 +109,7 @@ def run_reference_steps(
     paths = {REPURCHASE_TABLE: rep_path, ORDER_SIZE_TABLE: size_path, EXPORT_TABLE: f"{root}/{EXPORT_TABLE}"}
     write_result(extract, paths[EXPORT_TABLE])
     if csv:
-        # One sorted CSV for the dashboard tool; the sort is the output's
+        # A sorted CSV folder for the dashboard tool; the sort is the output's
         # presentation, done once on the small final result.
         sorted_extract = read_result(tables.orders.sparkSession, paths[EXPORT_TABLE]).orderBy(
             "percent_anchor_orders", "anchor_id", "co_product_id", ascending=[False, True, True]

@@ -88,11 +88,17 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
         t, "product", T, baseline=ordersize.REFERENCE_BASELINE
     ),
     "order_size_lift_by_department": lambda t: ordersize.order_size_lift_by_lines(t, "department", T),
+    "order_size_lift_by_department_fixed": lambda t: ordersize.order_size_lift_by_lines(
+        t, "department", T, baseline=ordersize.REFERENCE_BASELINE
+    ),
     # Q11-Q13
     "copurchase_pairs": lambda t: copurchase.copurchase_pairs(t, PAIR_T),
     "copurchase_share": lambda t: copurchase.copurchase_share(t, PAIR_T),
     "copurchase_pairs_by_aisle": lambda t: copurchase.copurchase_share_by_aisle(t, T),
     "product_behavior_export": lambda t: export_from_tables(t, T, T, PAIR_T),
+    "product_behavior_export_fixed": lambda t: export_from_tables(
+        t, T, T, PAIR_T, baseline=ordersize.REFERENCE_BASELINE
+    ),
     # D1-D6, over the materialized Q4 / Q9 tables like the export
     "behavior_scatter": lambda t: dashboard.behavior_scatter(t, **_metrics(t)),
     "relative_scores": lambda t: dashboard.relative_scores(t, **_metrics(t)),

@@ -41,11 +41,12 @@ def read_tables(spark: SparkSession, root: str, with_train: bool = False) -> Tab
 
 
 def write_result(df: DataFrame, path: str, fmt: str = "parquet", header: bool = True) -> None:
-    """Materialize a result (S4, S5, S7); CSV with a header row for the
-    dashboard import, parquet otherwise."""
+    """Materialize a result (S4, S5, S7): a folder of CSV files, each with a
+    header row and quotes doubled as CSV readers expect, for the dashboard
+    import; parquet otherwise."""
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", header).csv(path)
+        writer.option("header", header).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
 

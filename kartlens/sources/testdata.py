@@ -18,22 +18,19 @@ over many tasks instead of sorting it in one.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kartlens.functions.joins import HOT_ROWS, hot_key_join
+from kartlens.functions.joins import HOT_ROWS, bounded_broadcast, hot_key_join
 from kartlens.functions.sequence import Sequence
 from kartlens.model import Tables
 
 
-def name_id(name: Column) -> Column:
-    """Stable integer id for a dimension name: 28 bits of its md5.
-
-    Computed per row, so no global ranking window is needed; the same
-    expression is reproducible in SQL. Collisions would show in the
-    key-violation check (V3).
-    """
-    return F.when(name.isNotNull(), F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("int"))
+def name_ids(part: DataFrame, name: str, id_name: str) -> DataFrame:
+    """(name, id_name): the distinct names numbered from 1 in order. The
+    ranking sees one row per name, a dimension's size."""
+    names = part.where(F.col(name).isNotNull()).select(name).distinct()
+    return names.withColumn(id_name, F.row_number().over(Window.orderBy(name)).cast("int"))
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,24 +95,17 @@ def bind_lines(lineitem: DataFrame) -> DataFrame:
 
 def bind_catalog(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(products, aisles, departments) from the part table."""
-    products = part.select(
-        F.col("p_partkey").alias("product_id"),
-        F.col("p_name").alias("product_name"),
-        name_id(F.col("p_brand")).alias("aisle_id"),
-        name_id(F.col("p_type")).alias("department_id"),
-    )
-    aisles = (
-        part.where(F.col("p_brand").isNotNull())
-        .groupBy("p_brand")
-        .agg(F.lit(1).alias("_one"))
-        .select(name_id(F.col("p_brand")).alias("aisle_id"), F.col("p_brand").alias("aisle"))
-    )
-    departments = (
-        part.where(F.col("p_type").isNotNull())
-        .groupBy("p_type")
-        .agg(F.lit(1).alias("_one"))
-        .select(name_id(F.col("p_type")).alias("department_id"), F.col("p_type").alias("department"))
+    aisles = name_ids(part, "p_brand", "aisle_id")
+    departments = name_ids(part, "p_type", "department_id")
+    products = (
+        part.join(bounded_broadcast(aisles, aisles.count()), "p_brand", "left")
+        .join(bounded_broadcast(departments, departments.count()), "p_type", "left")
+        .select(
+            F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name"), "aisle_id", "department_id"
+        )
     )
+    aisles = aisles.select("aisle_id", F.col("p_brand").alias("aisle"))
+    departments = departments.select("department_id", F.col("p_type").alias("department"))
     return products, aisles, departments
 
 

@@ -14,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from kartlens.session import ensure_checkpoint_dir
 from kartlens.sources.csv_load import OPTIONS, TEXT_TABLES
 from kartlens.sources.schemas import TABLES
 
@@ -35,7 +34,7 @@ def start_csv_ingest(
     if table in TEXT_TABLES:
         reader = reader.option("multiLine", "true")
     stream = reader.csv(in_folder)
-    location = checkpoint or f"{ensure_checkpoint_dir(spark).rstrip('/')}/kartlens-streams/{table}"
+    location = checkpoint or f"{out_path.rstrip('/')}_progress"
     writer = (
         stream.writeStream.format("parquet")
         .option("path", out_path)
