@@ -167,9 +167,10 @@ def _deep_links(met: DataFrame, blocks: int) -> DataFrame:
         ]
         sub = (
             met.withColumn("rot", _rotated(F.col("fp"), block))
-            .withColumn("value", value)
+            .select("key", "root", value.alias("value"), unflipped.alias("unflipped"))
+            .distinct()  # rows alike in these have the same keys below
             .withColumn(
-                "sub", F.explode(F.when(unflipped, F.array(*plain, *flipped)).otherwise(F.array(*plain)))
+                "sub", F.explode(F.when(F.col("unflipped"), F.array(*plain, *flipped)).otherwise(F.array(*plain)))
             )
             .select("key", "sub", "root")
         )
