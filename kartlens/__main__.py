@@ -3,7 +3,8 @@
     python -m kartlens --csv DIR --out DIR [--min-support 30] [--pair-support 30] [--baseline 10.09]
 
 (or the same arguments through ``spark-submit``). Steps, in the reference's
-script order: strict load of the six CSVs into parquet (``<out>/tables``),
+script order: partition sizes from the input's bytes (values that the cluster
+chose are kept), strict load of the six CSVs into parquet (``<out>/tables``),
 the load checks, every analysis step, then the two metric tables and the
 dashboard extract (parquet and CSV) - each written under
 ``<out>/results/<step>`` with overwrite, so a rerun replaces them.
@@ -19,7 +20,7 @@ from pyspark.sql import SparkSession
 
 from kartlens.operators import copurchase, ordersize, repurchase, validate
 from kartlens.plans.materialize import run_reference_steps
-from kartlens.session import ensure_checkpoint_dir, local_session
+from kartlens.session import apply_sizing, ensure_checkpoint_dir, folder_bytes, local_session
 from kartlens.sources.csv_load import ingest_csv
 from kartlens.sources.parquet import write_result
 
@@ -54,6 +55,7 @@ def main(argv: list[str] | None = None) -> dict[str, str]:
 
     spark = SparkSession.builder.getOrCreate() if SparkConf().contains("spark.master") else local_session()
     ensure_checkpoint_dir(spark)
+    apply_sizing(spark, folder_bytes(spark, args.csv), spark.sparkContext.defaultParallelism)
     out = args.out.rstrip("/")
     baseline = Decimal(args.baseline) if args.baseline is not None else None
     tables = ingest_csv(spark, args.csv, f"{out}/tables", with_train=not args.no_train)

@@ -28,6 +28,12 @@ def bounded_broadcast(df: DataFrame, row_bound: int, budget: int | None = None)
     return F.broadcast(df) if row_bound <= (BROADCAST_ROWS if budget is None else budget) else df
 
 
+def hot_limit(big_rows: int, hot_rows: int) -> int:
+    """Rows from which a key is hot: ``hot_rows``, raised with the input so
+    that the number of hot keys never passes the broadcast budget."""
+    return max(hot_rows, -(-big_rows // max(BROADCAST_ROWS, 1)))
+
+
 def hot_key_join(
     big: DataFrame,
     small: DataFrame,
@@ -42,8 +48,9 @@ def hot_key_join(
     per key (a primary-key side, like orders), which is what bounds its
     broadcast part below.
 
-    A key holding ``hot_rows`` rows or more of ``big`` is hot; there are at
-    most ``big_rows // hot_rows`` of them, the proven bound under which the
+    A key holding ``hot_rows`` rows or more of ``big`` is hot (more on very
+    large inputs: ``hot_limit``); there are at most ``big_rows`` divided by
+    that many of them, the proven bound under which the
     hot keys (and ``small``'s rows for them) are broadcast. Hot rows of
     ``big`` are joined map-side against that broadcast; the other rows are
     removed from the hot keys map-side first and take the ordinary
@@ -52,6 +59,7 @@ def hot_key_join(
     (for two sides that are both large at scale, when a small-data plan
     would broadcast the bigger one into a few tasks)."""
     keys = [key] if isinstance(key, str) else list(key)
+    hot_rows = hot_limit(big_rows, hot_rows)
     bound = big_rows // hot_rows
     ordinary_small = small.hint("merge") if sort_merge else small
     if bound == 0:

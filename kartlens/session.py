@@ -88,6 +88,13 @@ SPARK_DEFAULTS = {
 }
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under ``path``, from the file system's own summary."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.getContentSummary(folder).getLength()
+
+
 def apply_sizing(spark: SparkSession, input_bytes: int, total_cores: int) -> dict[str, str]:
     """Set the ``sizing_for`` values on keys still at Spark's default (a
     value the cluster chose is kept); returns what was applied."""

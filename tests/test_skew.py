@@ -123,6 +123,30 @@ def test_hot_key_join_matches_plain_join(spark, skewed):
         assert split == plain, how
 
 
+def test_hot_keys_stay_within_the_broadcast_budget():
+    from kartlens.functions.joins import BROADCAST_ROWS, HOT_ROWS, hot_limit
+
+    for rows in (0, 1, HOT_ROWS, HOT_ROWS * BROADCAST_ROWS, HOT_ROWS * BROADCAST_ROWS + HOT_ROWS, 10**16 + 1):
+        limit = hot_limit(rows, HOT_ROWS)
+        assert limit >= HOT_ROWS
+        assert rows // limit <= BROADCAST_ROWS
+    assert hot_limit(10**8, HOT_ROWS) == HOT_ROWS
+
+
+def test_hot_keys_are_broadcast_above_ten_trillion_rows(spark, skewed):
+    from kartlens.functions.joins import HOT_ROWS, hot_key_join
+
+    t, _, _ = skewed
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = hot_key_join(t.lines, t.gaps, "order_id", "inner", 10**13 + 10**7, HOT_ROWS)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 4  # ids with lines twice and with orders, the hot part
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_prior_binding_with_hot_keys(spark, skewed):
     from pyspark.sql import functions as F
 
