@@ -14,17 +14,19 @@ Plan, shared by both:
 1. ``baskets``: one row per (order, item) with multiplicity m
    (partial + final aggregate; a hot order is spread by item before the
    shuffle).
-2. One exchange on order_id, reused by every consumer: per order the width
+2. Exact support pruning before the quadratic step (Apriori property): a
+   pair can reach the threshold T only if each of its items can. For the
+   distinct count an item needs >= T orders, which is known from the totals,
+   so the other rows are dropped before they are shuffled by order. For the
+   line count an item a in order o contributes at most m_a(o) * maxm(o), so
+   it needs sum_o m_a(o) * maxm(o) >= T, which is known after step 3 only.
+   No qualifying pair is ever dropped. The qualifying set is a subset of the
+   catalog, so it is broadcast under the catalog bound and the order
+   partitioning survives.
+3. One exchange on order_id, reused by every consumer: per order the width
    k (distinct items) and the largest multiplicity (hash aggregate, no
    sort). After step 1 an order has at most one row per distinct item, so
    its partition share is bounded by the catalog.
-3. Exact support pruning before the quadratic step (Apriori property): a
-   pair can reach the threshold T only if each of its items can. For the
-   distinct count an item needs >= T orders. For the line count an item a
-   in order o contributes at most m_a(o) * maxm(o), so it needs
-   sum_o m_a(o) * maxm(o) >= T. No qualifying pair is ever dropped.
-   The qualifying set is a subset of the catalog, so it is broadcast under
-   the catalog bound and the order partitioning of step 2 survives.
 4. Self-join on order_id with a.item < b.item. Orders up to ``slice_width``
    items join in place (sort-merge, both sides already hash-partitioned
    by order_id: no exchange). Wider orders are cut into ceil(k / slice_width) slices
@@ -60,7 +62,8 @@ def baskets(tables: Tables, level_name: str = "product") -> DataFrame:
         catalog = bounded_broadcast(tables.products.select("product_id"), tables.catalog_rows())
         items = lines.join(catalog, "product_id", "left_semi").select("order_id", F.col("product_id").alias("item"))
     elif level_name == "aisle":
-        aisle_of = tables.products.select("product_id", "aisle_id").join(tables.aisles.select("aisle_id"), "aisle_id")
+        aisles = bounded_broadcast(tables.aisles.select("aisle_id"), tables.rows("aisles"))
+        aisle_of = tables.products.select("product_id", "aisle_id").join(aisles, "aisle_id")
         items = lines.join(bounded_broadcast(aisle_of, tables.catalog_rows()), "product_id").select(
             "order_id", F.col("aisle_id").alias("item")
         )
@@ -89,26 +92,31 @@ def pair_counts(
     anchor totals, so the pruning reuses it instead of aggregating again.
     ``slice_width`` defaults to the module's ``SLICE_WIDTH``."""
     slice_width = SLICE_WIDTH if slice_width is None else slice_width
+
+    def prune(rows: DataFrame, reach: DataFrame) -> DataFrame:
+        # Unique items, so an inner join prunes exactly like a semi join;
+        # unlike a semi join it is never pushed below a shared exchange, which
+        # would give that branch its own copy of the exchange.
+        return rows.join(bounded_broadcast(reach.where(F.col("reach") >= min_pairs).select("item"), item_bound), "item")
+
     # One exchange on order_id that every consumer below reads (reused):
     # the window, the per-order widths and the wide-order rows. After the
     # dedupe an order has at most one row per distinct item.
-    by_order = basket_rows.repartition("order_id")
-    widths = by_order.groupBy("order_id").agg(F.count(F.lit(1)).alias("k"), F.max("m").alias("maxm"))
-
     if by_lines:
+        by_order = basket_rows.repartition("order_id")
+        most = by_order.groupBy("order_id").agg(F.max("m").alias("maxm"))
         reach = (
-            by_order.join(widths.hint("shuffle_hash"), "order_id")
+            by_order.join(most.hint("shuffle_hash"), "order_id")
             .groupBy("item")
             .agg(F.sum(F.col("m") * F.col("maxm")).alias("reach"))
         )
+        kept = prune(by_order, reach)
     else:
         reach = (support if support is not None else item_support(basket_rows)).select(
             "item", F.col("orders").alias("reach")
         )
-    # Unique items, so an inner join prunes exactly like a semi join; unlike a
-    # semi join it is never pushed below the shared exchange, which would
-    # give that branch its own copy of the dedupe and order exchanges.
-    qualifying = bounded_broadcast(reach.where(F.col("reach") >= min_pairs).select("item"), item_bound)
+        kept = prune(basket_rows, reach).repartition("order_id")
+    widths = kept.groupBy("order_id").agg(F.count(F.lit(1)).alias("k"))
 
     weight = (F.col("a.m") * F.col("b.m")) if by_lines else F.lit(1)
 
@@ -121,10 +129,8 @@ def pair_counts(
     # Orders up to slice_width items: sort + window on the shared exchange,
     # then a sort-merge self-join on order_id that needs no further exchange
     # or sort (a broadcast would ship every basket to every task instead).
-    narrow = (
-        by_order.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("order_id")))
-        .where(F.col("k") <= slice_width)
-        .join(qualifying, "item")
+    narrow = kept.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("order_id"))).where(
+        F.col("k") <= slice_width
     )
     in_place = join_pairs(narrow, narrow.hint("merge"), ["order_id"])
 
@@ -132,10 +138,8 @@ def pair_counts(
     # into slices by a hash of the anchor-side item, the co side repeated
     # once per slice, and joined on (order_id, slice) so each slice is its
     # own task.
-    wide = (
-        by_order.join(widths.where(F.col("k") > slice_width).hint("shuffle_hash"), "order_id")
-        .join(qualifying, "item")
-        .withColumn("slices", F.ceil(F.col("k") / F.lit(slice_width)))
+    wide = kept.join(widths.where(F.col("k") > slice_width).hint("shuffle_hash"), "order_id").withColumn(
+        "slices", F.ceil(F.col("k") / F.lit(slice_width))
     )
     wide_a = wide.withColumn("slice", F.pmod(F.xxhash64("item"), F.col("slices")))
     wide_b = wide.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
@@ -171,19 +175,19 @@ def copurchase_pairs(tables: Tables, min_pairs: int = 30, ordered: bool = True)
     return out.orderBy(F.col("number_of_product_pairs").desc(), "anchor_id", "co_product_id") if ordered else out
 
 
-def _shares(tables: Tables, min_pairs: int, level_name: str) -> tuple[DataFrame, DataFrame]:
-    """(pair shares, anchor totals) built on one basket / support frame."""
+def _shares(tables: Tables, min_pairs: int, level_name: str, symmetric: bool = False) -> DataFrame:
+    """Pair shares, the counts and the anchor totals built on one basket /
+    support frame; ``symmetric`` turns each counted pair into both directions."""
     rows = baskets(tables, level_name)
     support = item_support(rows)
     items = tables.catalog_rows() if level_name == "product" else tables.rows("aisles")
     counts = pair_counts(rows, min_pairs, by_lines=False, item_bound=items, support=support)
     totals = support.select(F.col("item").alias("anchor_id"), F.col("orders").alias("total_anchor_orders"))
-    totals = bounded_broadcast(totals, items)
-    return _with_share(counts.withColumnRenamed("n", "number_of_co_purchases"), totals), totals
-
-
-def _with_share(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    return counts.join(totals, "anchor_id").select(
+    counts = counts.withColumnRenamed("n", "number_of_co_purchases")
+    if symmetric:
+        both = [F.struct(F.col(a).alias("anchor_id"), F.col(b).alias("co_id")) for a, b in (("anchor_id", "co_id"), ("co_id", "anchor_id"))]
+        counts = counts.select("number_of_co_purchases", F.inline(F.array(*both)))
+    return counts.join(bounded_broadcast(totals, items), "anchor_id").select(
         "anchor_id",
         "co_id",
         "number_of_co_purchases",
@@ -197,18 +201,13 @@ def _with_share(counts: DataFrame, totals: DataFrame) -> DataFrame:
 def share_counts(tables: Tables, min_pairs: int = 30, level_name: str = "product") -> DataFrame:
     """(anchor_id, co_id, number_of_co_purchases, total_anchor_orders,
     percentage_of_anchor_orders) for pairs in >= ``min_pairs`` orders."""
-    return _shares(tables, min_pairs, level_name)[0]
+    return _shares(tables, min_pairs, level_name)
 
 
 def copurchase_share(tables: Tables, min_pairs: int = 30, ordered: bool = True, symmetric: bool = False) -> DataFrame:
     """Q12 (step 7b); with ``symmetric`` (X3) each pair also counts for its
     larger product as anchor, with that product's order total."""
-    shares, totals = _shares(tables, min_pairs, "product")
-    if symmetric:
-        flipped = shares.select(
-            F.col("co_id").alias("anchor_id"), F.col("anchor_id").alias("co_id"), "number_of_co_purchases"
-        )
-        shares = shares.unionByName(_with_share(flipped, totals))
+    shares = _shares(tables, min_pairs, "product", symmetric)
     names = _names(tables)
     out = (
         shares.join(names.withColumnRenamed("product_id", "anchor_id").withColumnRenamed("product_name", "anchor_name"), "anchor_id")

@@ -33,10 +33,12 @@ class Level:
             return None
         products = tables.products
         if self.name == "department":
-            return products.select("product_id", "department_id").join(tables.departments, "department_id").select(
+            departments = bounded_broadcast(tables.departments, tables.rows("departments"))
+            return products.select("product_id", "department_id").join(departments, "department_id").select(
                 "product_id", "department"
             )
-        return products.select("product_id", "aisle_id").join(tables.aisles, "aisle_id").select("product_id", "aisle")
+        aisles = bounded_broadcast(tables.aisles, tables.rows("aisles"))
+        return products.select("product_id", "aisle_id").join(aisles, "aisle_id").select("product_id", "aisle")
 
     def attach(self, tables: Tables, per_group: DataFrame) -> DataFrame:
         """Attach the product name after a product-level aggregate."""
