@@ -17,7 +17,11 @@ member, never as all pairs:
 * only where some member is farther and the key's rows are not one component
   yet, they take a second step whose keys fix the masked block but for one
   bit, so that any two rows under one such key are within the radius and the
-  star to the smallest is exact.
+  star to the smallest is exact. Whenever a pair's differing bits are not
+  three in one block, a block can be masked so that at most one of them is in
+  it and the pair meets under a plain such key. Three in one block leave the
+  other 48 bits alike: only where unflipped rows of different components meet,
+  those rows also flip a bit of the masked block.
 
 Components come from repeated contraction to the smallest neighbour; each
 round is a written table, so nothing is lost with an executor and nothing
@@ -156,6 +160,7 @@ def _deep_links(met: DataFrame, blocks: int) -> DataFrame:
         block = F.col("key").bitwiseAND(F.lit(LOW).cast("long"))
         unflipped = F.shiftrightunsigned("key", BLOCK_BITS) == F.shiftrightunsigned("rot", BLOCK_BITS)
         value = F.col("rot").bitwiseAND(F.lit(LOW).cast("long"))
+        same_key = W.partitionBy("key")
         masks = range(BLOCK_BITS)
 
         def fixed(v, j: int):
@@ -167,11 +172,11 @@ def _deep_links(met: DataFrame, blocks: int) -> DataFrame:
         ]
         sub = (
             met.withColumn("rot", _rotated(F.col("fp"), block))
-            .select("key", "root", value.alias("value"), unflipped.alias("unflipped"))
+            .select("key", "root", value.alias("value"), F.when(unflipped, F.col("root")).alias("alike"))
+            .withColumn("apart", F.min("alike").over(same_key) != F.max("alike").over(same_key))
+            .select("key", "root", "value", (F.col("alike").isNotNull() & F.col("apart")).alias("flips"))
             .distinct()  # rows alike in these have the same keys below
-            .withColumn(
-                "sub", F.explode(F.when(F.col("unflipped"), F.array(*plain, *flipped)).otherwise(F.array(*plain)))
-            )
+            .withColumn("sub", F.explode(F.when(F.col("flips"), F.array(*plain, *flipped)).otherwise(F.array(*plain))))
             .select("key", "sub", "root")
         )
     lowest = F.min("root").over(W.partitionBy("key", "sub"))
