@@ -9,11 +9,11 @@ block that holds one of them is masked and the other two meet at a flip; all
 three in one block meet at the unflipped key. That is 4 x 49 keys for each
 fingerprint instead of the 2,081 of a ball of radius two.
 
-Keys go through one shuffle; groups are linked as stars to their smallest
-member, never as all pairs:
+Keys go through one shuffle; groups are linked as stars to their smallest and
+largest member, never as all pairs:
 
-* members within the radius of the smallest one are linked to it (verified
-  by the bit distance);
+* members within the radius of the smallest or of the largest one are linked to
+  it (verified by the bit distance);
 * only where some member is farther and the key's rows are not one component
   yet, they take a second step whose keys fix the masked block but for one
   bit, so that any two rows under one such key are within the radius and the
@@ -125,10 +125,19 @@ def roots(fps: DataFrame, max_bits: int = 3) -> DataFrame:
         keys.withColumn("lo", F.min("fp").over(same_key))
         .withColumn("bits", F.bit_count(F.col("fp").bitwiseXOR(F.col("lo"))))
         .withColumn("far", F.max("bits").over(same_key))
+        .withColumn("hi", F.max("fp").over(same_key))
         .where(F.col("far") > 0)
     )
     met = stage(met, "met")
-    near = met.where(F.col("bits").between(1, max_bits)).select(F.col("fp").alias("u"), F.col("lo").alias("v"))
+    near = reduce(
+        DataFrame.union,
+        [
+            met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col(end))).between(1, max_bits)).select(
+                F.col("fp").alias("u"), F.col(end).alias("v")
+            )
+            for end in ("lo", "hi")
+        ],
+    )
     first = stage(components(near.distinct()), "first")
     # A key's rows need the second step only if they aren't one component yet.
     apart = (
