@@ -124,14 +124,17 @@ def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Toxicity scores of all documents."""
+    """Toxicity scores of all documents; nothing is predicted toxic if no
+    label could be learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = toxicity.scored(docs, toxicity_model(spark, docs, sf_dir))
+    model = toxicity_model(spark, docs, sf_dir)
+    out = toxicity.scored(docs, model)
+    toxic = (F.col("__score") >= 0.5) & F.lit(toxicity.learned(model))
     return out.select(
         "doc_id",
         held_out(F.col("doc_id"), 0).alias("held_out"),
         F.col("__score").alias("score"),
-        F.when(F.col("__score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.when(toxic, 1).otherwise(0).alias("predicted"),
     )
 
 

@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
     """The model learned from ``docs`` and ``labels`` (doc_id, label 0 or 1).
     Rows without an id, label or document are left out; of several labels of a
     document the higher counts. No labelled row at all gives an empty model,
-    which scores everything 0.5."""
+    which scores everything 0.5 and rejects nothing (:func:`learned`)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     known = known.withColumn("place", F.xxhash64(F.col("doc_id").cast("string")))
@@ -155,6 +155,15 @@ def scored(docs: DataFrame, model: DataFrame, column: str = "__score") -> DataFr
     return map_batches(docs, run, schema)
 
 
+def learned(model: DataFrame) -> bool:
+    """Whether the model has any weight. One without holds no verdict: its
+    score of 0.5 marks no document."""
+    return bool(model.head(1))
+
+
 def reject_toxic(docs: DataFrame, model: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more."""
+    """``docs`` without those that score ``threshold`` or more; all of them if
+    nothing was learned."""
+    if not learned(model):
+        return docs
     return scored(docs, model).where(F.col("__score") < threshold).select(*docs.columns)
