@@ -31,6 +31,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``, a number of each row's own that holds once this
+    is staged, and ``__hash``, of the row's values: rows alike in it are
+    interchangeable, so it orders rows the same in reruns."""
+    return docs.select("*", F.monotonically_increasing_id().alias("__row"), F.xxhash64(*docs.columns).alias("__hash"))
+
+
 def remove_staged(spark: SparkSession) -> None:
     """Delete everything :func:`stage` wrote in this application. Results that
     still read it must have been written or collected before."""

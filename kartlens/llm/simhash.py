@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kartlens.llm.common import map_batches, stage, texts, words_spaced
+from kartlens.llm.common import keyed, map_batches, stage, texts, words_spaced
 
 SEED = 42
 BLOCK_BITS = 16
@@ -236,21 +236,36 @@ def near_duplicates(
     share their component; an empty table gives an empty result; other
     columns are not read, whatever their names."""
     rows = stage(fingerprints(docs, ngram, id_col, text_col), "fingerprints")
-    distinct = stage(rows.groupBy("fp").agg(F.min(id_col).alias("first")), "distinct")
-    labelled = stage(distinct.join(roots(distinct.select("fp"), max_bits), "fp"), "labelled")
+    labelled = stage(_labelled(rows, max_bits, F.min(id_col)), "labelled")
     lowest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = labelled.join(lowest, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
+def _labelled(rows: DataFrame, max_bits: int, first) -> DataFrame:
+    """(fp, first, root) for every distinct ``fp`` of ``rows``; ``first`` is an
+    aggregate."""
+    distinct = stage(rows.groupBy("fp").agg(first.alias("first")), "distinct")
+    return distinct.join(roots(distinct.select("fp"), max_bits), "fp")
+
+
 def keep_one(docs: DataFrame, ngram: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the
-    document with the smallest id stays (of rows repeating that id, one).
-    Rows without an id can't stand for a group and stay."""
-    found = near_duplicates(docs, ngram, max_bits)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """The rows of ``docs`` without near-duplicates: of each component the row
+    with the smallest id stays (of rows that repeat it the one with the
+    smallest hash of its values), and of its rows without an id, which can't
+    stand for those that have one, the one with the smallest hash. Rows are
+    told apart by a key of their own, so unrelated texts that share an id, or
+    have none, stand for their own components."""
+    rows = stage(keyed(docs), "rows")
+    key = F.struct("doc_id", "__hash", "__row").alias("__key")
+    prints = stage(fingerprints(rows.select(key, "text"), ngram, "__key"), "fingerprints")
+    named = F.col("__key.doc_id").isNotNull()
+    first = F.struct(
+        F.min(F.when(named, F.col("__key"))).alias("named"), F.min(F.when(~named, F.col("__key"))).alias("unnamed")
+    )
+    best = _labelled(prints, max_bits, first).groupBy("root").agg(F.min("first.named").alias("a"), F.min("first.unnamed").alias("b"))
+    kept = best.select(F.explode(F.array("a.__row", "b.__row")).alias("__row")).where(F.col("__row").isNotNull())
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def hex_fingerprint(fp):

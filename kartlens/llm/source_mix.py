@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kartlens.llm.common import stage
+from kartlens.llm.common import keyed, stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 # The contract's weights by code point order of the source, and the most
@@ -70,11 +70,11 @@ def offset(source):
     return F.conv(F.substring(F.md5(named.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def ranks(sized: DataFrame) -> DataFrame:
-    """(doc_id, source, size, rank): rank from 1 along (size, doc_id) within
-    the source. Repeated rows take neighbouring ranks."""
+def ranks(sized: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, source, size, rank): rank from 1 along (size, keys) within the
+    source. Repeated rows take neighbouring ranks."""
     sized = stage(sized, "sizes")
-    dealt = sized.repartitionByRange("source", "size", "doc_id").sortWithinPartitions("source", "size", "doc_id")
+    dealt = sized.repartitionByRange("source", "size", *keys).sortWithinPartitions("source", "size", *keys)
     placed = stage(dealt.withColumn("place", F.monotonically_increasing_id()), "placed")
     placed = placed.withColumn("part", F.shiftrightunsigned("place", 33))
     parts = placed.groupBy("part", "source").agg(F.min("place").alias("start"), F.count(F.lit(1)).alias("n"))
@@ -85,22 +85,27 @@ def ranks(sized: DataFrame) -> DataFrame:
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("start") + 1).alias("shift"),
     )
     joined = placed.join(parts, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    return joined.select("doc_id", "source", "size", (F.col("place") + F.col("shift")).alias("rank"))
+    return joined.select(*keys, "source", "size", (F.col("place") + F.col("shift")).alias("rank"))
 
 
 def copies(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, word: str = WORDS
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_copies: int = MAX_COPIES,
+    word: str = WORDS,
+    keys: tuple[str, ...] = ("doc_id",),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row.
+    """(keys, source, size, source_size, target, copies) for every row; the
+    keys order the rows of a size.
 
     A null text has size 0; a null source is a source of its own, last in
     order; sources without words have target 0 and no copies. Repeated rows
     count each; rows without an id are ranked among themselves; an empty
     table gives an empty result; other columns are not read. Reruns agree."""
     sized = docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(word)), F.lit(0)).cast("long").alias("size")
+        *keys, "source", F.coalesce(F.regexp_count("text", F.lit(word)), F.lit(0)).cast("long").alias("size")
     )
-    ranked = ranks(sized)
+    ranked = ranks(sized, keys)
     per = stage(targets(ranked, weights, max_copies), "targets")
     per = per.select(
         F.col("source").alias("s"),
@@ -114,16 +119,18 @@ def copies(
     joined = ranked.join(per, F.col("source").eqNullSafe(F.col("s")))
     upto = F.floor(F.col("rank") * F.col("rate") + F.col("offset"))
     below = F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (upto - below).alias("copies"))
+    return joined.select(*keys, "source", "size", "source_size", "target", (upto - below).alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
     """The rows of ``docs``, each once per copy, with ``copy`` counted from 1.
 
-    Of rows that repeat an id the copies are added up and one row stands for
-    them; rows without an id can't be matched to their copies and are left
-    out of the mix."""
-    taken = copies(docs, weights, max_copies).where(F.col("doc_id").isNotNull() & (F.col("copies") > 0))
-    taken = taken.groupBy("doc_id").agg(F.sum("copies").alias("__copies"))
-    one = docs.where(F.col("doc_id").isNotNull()).join(taken, "doc_id").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
+    Rows are told apart by a key of their own, so those that repeat an id or
+    have none are taken each by its own copies. Reruns agree: rows of a size
+    and id go by a hash of their values."""
+    rows = stage(keyed(docs), "rows")
+    taken = copies(rows, weights, max_copies, keys=("doc_id", "__hash", "__row")).where(F.col("copies") > 0)
+    taken = taken.select("__row", F.col("copies").alias("__copies"))
+    return rows.join(taken, "__row").select(
+        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy")
+    )
