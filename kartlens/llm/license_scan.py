@@ -4,9 +4,10 @@ A text is aligned with each licence template: words that occur once in both
 are anchors, the longest increasing subsequence of their positions is kept,
 and the gaps between kept anchors are aligned in the same way. The share of
 template words that got aligned is the coverage. If a notice is repeated, its
-words aren't unique in the text; so the alignment is also tried around each
-occurrence of the template word that is rarest in the text, in a window of
-the template's length to either side.
+words aren't unique in the text; so the alignment is also tried in every
+window of up to twice the template's length that can reach the threshold: its
+first word is one of the template's first, its last one of the template's
+last, and their longest common subsequence (bit-parallel) is long enough.
 
 One pass over the documents, no shuffle; a template is aligned only if
 enough of its words occur in the text for the threshold to be reachable.
@@ -16,6 +17,8 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -104,20 +107,47 @@ def align(text: list, template: list) -> list[tuple[int, int]]:
     return sorted(pairs)
 
 
-def coverage(text: list, template: list) -> tuple[float, int, int]:
+def windows(text: list, template: list, least: int) -> Iterator[tuple[int, int]]:
+    """All (start, end) of at most twice the template's length that begin and
+    end with a word which ``least`` aligned words can begin and end with, and
+    share a common subsequence of ``least`` words with the template.
+
+    The subsequence is counted in the bits of one number, a step for each
+    template word of the text."""
+    size = len(template)
+    at: dict = {}
+    for j, w in enumerate(template):
+        at[w] = at.get(w, 0) | 1 << j
+    every = (1 << size) - 1
+    head, tail = (1 << (size - least + 1)) - 1, every ^ ((1 << (least - 1)) - 1)
+    places = [(i, at[w]) for i, w in enumerate(text) if w in at]
+    for k, (start, mask) in enumerate(places):
+        if not mask & head or k + least > len(places) or places[k + least - 1][0] - start >= 2 * size:
+            continue
+        free = every
+        for m in range(k, len(places)):
+            i, mask = places[m]
+            if i - start >= 2 * size:
+                break
+            met = free & mask
+            free = ((free + met) | (free - met)) & every
+            if mask & tail and size - free.bit_count() >= least:
+                yield start, i + 1
+
+
+def coverage(text: list, template: list, threshold: float = THRESHOLD) -> tuple[float, int, int]:
     """(share of the template aligned, first and last aligned text position)
-    of the best alignment; (0, -1, -1) without any."""
-    counts = Counter(w for w in text if w in set(template))
-    if not counts:
-        return 0.0, -1, -1
-    rarest = min(counts, key=lambda w: (counts[w], template.index(w)))
+    of the best alignment of the whole text, or of a window that can reach
+    ``threshold``; (0, -1, -1) without any."""
     size = len(template)
     best = (0.0, -1, -1)
-    windows = [(0, len(text))] + [(max(0, i - size), min(len(text), i + size)) for i, w in enumerate(text) if w == rarest]
-    for a, b in windows:
+    least = max(1, next((n for n in range(size + 1) if n / size >= threshold), size + 1))
+    for a, b in chain([(0, len(text))], windows(text, template, least) if least <= size else ()):
         found = align(text[a:b], template)
         if found and len(found) / size > best[0]:
             best = (len(found) / size, a + found[0][0], a + found[-1][0])
+            if len(found) == size:
+                break
     return best
 
 
@@ -138,7 +168,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         hits = []
         for name, template in compiled.items():
             if sum(w in present for w in template) >= threshold * len(template):
-                share, first, last = coverage(words, template)
+                share, first, last = coverage(words, template, threshold)
                 if share >= threshold:
                     hits.append((-share, -len(template), name, first, last))
         hits.sort()
