@@ -1,0 +1,76 @@
+"""Benchmark items of any length and number: linear blocks, read one at a time."""
+
+from __future__ import annotations
+
+import pickle
+import random
+
+from kartlens.llm import decontaminate
+
+
+def brute(items, documents, window):
+    out = []
+    for words in documents:
+        hit, found, longest = set(), set(), {}
+        for name, text in items:
+            item = text.split()
+            n = min(window, len(item))
+            for o in range(len(item) - n + 1) if n else ():
+                for p in range(len(words) - n + 1):
+                    if words[p : p + n] != item[o : o + n]:
+                        continue
+                    hit.update(range(p, p + n))
+                    found.add(name)
+                    m = n
+                    while p + m < len(words) and o + m < len(item) and words[p + m] == item[o + m]:
+                        m += 1
+                    longest[name] = min((-m, p, o), longest.get(name, (0, 0, 0)))
+        out.append((hit, found, longest))
+    return out
+
+
+def test_search_equals_brute_force(monkeypatch):
+    rng = random.Random(3)
+    for chunk in (3, 1 << 16):
+        monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+        for _ in range(150):
+            vocabulary = [b"w%d" % i for i in range(rng.choice([1, 2, 6]))]
+            make = lambda n: [rng.choice([*vocabulary, b"other"]) for _ in range(rng.randrange(n))]  # noqa: E731,B023
+            items = [(rng.choice("abc"), b" ".join(w for w in make(14) if w != b"other")) for _ in range(4)]
+            documents = [make(25) for _ in range(4)]
+            got = decontaminate.search(decontaminate.Block(items, 4), documents)
+            for found, (hit, names, longest) in zip(got, brute(items, documents, 4), strict=True):
+                assert {p for a, b in found["spans"] for p in range(a, b)} == hit
+                assert found["spans"] == decontaminate.merged(found["spans"])
+                assert found["items"] == names and found["longest"] == longest
+
+
+def test_long_item_stays_linear():
+    words = [b"v%d" % (i * 7919 % 3001) for i in range(8000)]
+    block = decontaminate.Block([("long", b" ".join(words))], 10)
+    assert len(pickle.dumps(block)) < 100 * len(words)  # 128 MB when every suffix was a copy
+    got = decontaminate.search(block, [[b"x", *words[100:7100], b"y"]])[0]
+    assert got["spans"] == [(1, 7001)] and got["longest"] == {"long": (-7000, 1, 100)}
+
+
+def test_blocks_are_bounded_and_one_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 120)
+    rows = [("copy", "the same item text over and over")] * 60 + [(f"i{k}", f"item number {k} of many") for k in range(20)]
+    rows += [("long", "far longer than one block " * 20), (None, None)]
+    bench = spark.createDataFrame(rows, "item_id string, text string")
+    blocks = decontaminate._blocks(bench, "item_id", "text")
+    assert iter(blocks) is blocks  # nothing is read ahead of its pass
+    read = list(blocks)
+    assert [last for _, last in read] == [False] * (len(read) - 1) + [True]
+    for items, _ in read:
+        assert len(items) == 1 or sum(len(i) + len(t) for i, t in items) <= 120
+    assert sorted(i for items, _ in read for i, _ in items) == sorted(["copy", "long", "", *(f"i{k}" for k in range(20))])
+
+
+def test_longest_match_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    docs = spark.createDataFrame([(1, "a b c d e f g h")], "doc_id long, text string")
+    bench = spark.createDataFrame([("i", "a b c"), ("i", "d e f g")], "item_id string, text string")
+    found = decontaminate.matches(docs, bench, window=3).first()
+    assert [tuple(x) for x in found["__longest"]] == [("i", 3, 0, 4)]
+    assert [tuple(x) for x in found["__spans"]] == [(0, 7)] and found["__items"] == ["i"]
