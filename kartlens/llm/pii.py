@@ -5,8 +5,8 @@ ip, card, phone): the base patterns and looser forms of each (spelled-out
 addresses, numbers with other separators, numbers without a plus sign).
 Boosted trees score a candidate from its format and its context; they learn
 from the base rule's verdict on the base pattern's matches (a bounded sample
-of documents), and each kind's threshold is calibrated on matches the trees
-have not seen. Spans accepted by the base rule always stay; a looser
+for each kind and verdict), and each kind's threshold is calibrated on all
+other matches of all documents. Spans accepted by the base rule always stay; a looser
 candidate is added when it reaches its kind's threshold and overlaps no base
 span.
 
@@ -24,6 +24,7 @@ from functools import reduce
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kartlens.llm.common import stage
@@ -63,7 +64,7 @@ CUES = {
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|dial)\W{0,3}(?:\w+\W+)?$",
 }
 CONTEXT = 24  # characters before a span that are context
-MAX_TRAIN_DOCS = 4_000
+MAX_TRAIN = 4_000  # distinct candidates of a kind and verdict that may train
 TREES, DEPTH = 8, 3
 PRECISION = 0.98  # that a kind's threshold must reach on unseen matches
 NEVER = 2.0  # the threshold of a kind that nothing was learned about
@@ -200,57 +201,76 @@ def _tree(lines: list[str]):
 
 
 def base_candidates(docs: DataFrame) -> DataFrame:
-    """(half, kind, label, features ...) for each match of a base pattern."""
-    located = docs.select(
-        "half",
-        *[found(F.col("text"), BASE[k], HINTS[k]).alias(k) for k in KINDS],
-    )
+    """(label, features ..., n): how many matches of the base patterns are
+    alike in verdict and features; kind is one of the features."""
+    located = docs.select(*[found(F.col("text"), BASE[k], HINTS[k]).alias(k) for k in KINDS])
     each = reduce(
         DataFrame.union,
         [
-            located.select("half", F.lit(i).alias("kind"), F.explode(k).alias("x")).select(
-                "half", "kind", "x.match", "x.before", valid(k, F.col("x.match")).cast("double").alias("label")
+            located.select(F.lit(i).alias("kind"), F.explode(k).alias("x")).select(
+                "kind", "x.match", "x.before", valid(k, F.col("x.match")).cast("double").alias("label")
             )
             for i, k in enumerate(KINDS)
         ],
     )
     made = features(F.col("match"), F.col("before"), F.col("kind"))
-    return each.select("half", "label", *[c.alias(n) for n, c in made.items()])
-
-
-def fit(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> Model:
-    """Trees learned from the base rule's verdicts on a sample of about
-    ``max_train_docs`` documents by hash of the id (all if there are fewer);
-    half of them train, the other half calibrate the thresholds. Without
-    both verdicts in the sample nothing is learned and nothing is added."""
-    share = max_train_docs / max(docs.count(), 1)
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20))
-    sample = docs.select("text", (place % 2).alias("half"), place.alias("place"))
-    if share < 1:
-        sample = sample.where(F.col("place") < int(share * (1 << 20)))
-    rows = stage(base_candidates(sample.select("half", "text")), "pii-candidates")
-    names = tuple(c for c in rows.columns if c not in ("half", "label"))
-    vectors = VectorAssembler(inputCols=list(names), outputCol="features").transform(rows)
-    train = vectors.where(F.col("half") == 0).select("features", "label")
+    rows = each.select("label", *[c.alias(n) for n, c in made.items()])
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _dealt(rows: DataFrame, max_train: int) -> DataFrame:
+    """``rows`` with ``trains``, how many of the ``n`` alike matches train; the
+    others calibrate. Up to ``max_train`` rows of a kind and verdict, by hash,
+    give half of their matches; of those with one match every second row, from
+    the first, gives it."""
+    per = rows.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("rows")).collect()  # at most 2 a kind
+    places = 1 << 40
+    limit = F.lit(places)
+    for r in per:
+        here = (F.col("kind") == r["kind"]) & (F.col("label") == r["label"])
+        limit = F.when(here, F.lit(min(places, max_train * places // r["rows"]))).otherwise(limit)
+    values = [c for c in rows.columns if c != "n"]
+    rows = rows.withColumn("place", F.xxhash64(*values)).withColumn("taken", F.pmod("place", F.lit(places)) < limit)
+    rare = W.partitionBy("kind", "label", F.col("n") == 1).orderBy("place", *values)
+    taken = rows.where("taken").withColumn("nth", F.row_number().over(rare))
+    trains = F.when(F.col("n") > 1, F.floor(F.col("n") / 2)).otherwise(F.col("nth") % 2).cast("long")
+    taken = taken.select(*values, "n", trains.alias("trains"))
+    return taken.unionByName(rows.where("not taken").select(*values, "n", F.lit(0).cast("long").alias("trains")))
+
+
+def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Model:
+    """Trees learned from the base rule's verdicts on matches of all
+    documents: a sample of up to ``max_train`` distinct candidates of each
+    kind and verdict trains, all other matches calibrate the thresholds.
+    Without both verdicts in the documents nothing is learned and nothing is
+    added; a kind of which no match calibrates, or whose matches nowhere reach
+    the precision, is not added."""
+    counted = stage(base_candidates(docs), "pii-candidates")
+    rows = stage(_dealt(counted, max_train), "pii-dealt")
+    names = tuple(c for c in rows.columns if c not in ("label", "n", "trains"))
+    vectors = VectorAssembler(inputCols=list(names), outputCol="features").transform(rows.where(F.col("trains") > 0))
+    train = vectors.select("features", "label", F.col("trains").cast("double").alias("weight"))
     if train.select("label").distinct().count() < 2:
         return Model()
-    learned = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(train)
+    learner = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7, weightCol="weight")
+    learned = learner.fit(train)
     trees = tuple(
         _tree([line.strip() for line in t.toDebugString.splitlines()[1:] if line.strip()]) for t in learned.trees
     )
     model = Model(names, trees, tuple(learned.treeWeights))
-    return Model(names, trees, model.weights, _thresholds(rows.where(F.col("half") == 1), model))
+    unseen = rows.withColumn("n", F.col("n") - F.col("trains")).where(F.col("n") > 0)
+    return Model(names, trees, model.weights, _thresholds(unseen, model))
 
 
 def _thresholds(rows: DataFrame, model: Model) -> tuple[float, ...]:
     """For each kind the lowest score, in steps of a hundredth from 0.5, from
-    which on the precision is at least ``PRECISION``."""
+    which on the precision over all ``n`` matches is at least ``PRECISION``."""
     score = model.score(F.struct(*[F.col(n) for n in model.names]))
     step = F.greatest(F.floor(score * 100), F.lit(0)).alias("step")
     counts = (
-        rows.select(F.col("kind").cast("int").alias("kind"), "label", step)
+        rows.select(F.col("kind").cast("int").alias("kind"), "label", "n", step)
         .groupBy("kind", "step")
-        .agg(F.sum("label").alias("true"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(F.col("label") * F.col("n")).alias("true"), F.sum("n").alias("n"))
         .collect()  # at most 101 rows a kind
     )
     out = []

@@ -1,0 +1,34 @@
+"""Thresholds are calibrated over the matches of all documents."""
+
+from __future__ import annotations
+
+from kartlens.llm import pii
+
+
+def test_rare_kind_is_learned_from_a_large_corpus(spark):
+    """More documents than any sample of them; cards stand in six."""
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111111111111112"]
+    texts = [f"host 10.0.{i % 400}.1 of item {i}" for i in range(40_000)]
+    for i in range(6):
+        texts[6_000 * i + 77] += f", pay {cards[i % 3]} now"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = pii.fit(df, 50)
+    assert model.thresholds[pii.KINDS.index("card")] < pii.NEVER
+    one = spark.createDataFrame([(1, "card 4111.1111.1111.1111 end")], "doc_id long, text string")
+    found = pii.spans(one, model).first()["__spans"]
+    assert [(pii.KINDS[s["kind"]], s["start"], s["end"], s["base"]) for s in found] == [("card", 5, 24, False)]
+
+
+def test_every_match_trains_or_calibrates(spark):
+    texts = [f"host 10.0.{i % 400}.1 or 10.{i}.0.1 mail a{i % 9}@b.cd" for i in range(900)]
+    # Copies without an id must not all train.
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "pay 4111111111111111 now")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = pii._dealt(pii.base_candidates(df), 20).collect()
+    n = {k: sum(r["n"] for r in dealt if r["kind"] == i) for i, k in enumerate(pii.KINDS)}
+    assert n["ip"] == 1800 and n["email"] == 900 and n["card"] >= 300
+    assert all(0 <= r["trains"] <= r["n"] for r in dealt)
+    for kind, label in {(r["kind"], r["label"]) for r in dealt}:
+        some = [r for r in dealt if (r["kind"], r["label"]) == (kind, label)]
+        assert 0 < sum(r["trains"] > 0 for r in some) <= 40
+        assert len(some) == 1 and some[0]["n"] == 1 or sum(r["n"] - r["trains"] for r in some) > 0
