@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from kartlens.llm import (
+    bpe,
     chat_format,
     decontaminate,
     license_scan,
     lm_mixing,
+    merkle,
     minhash,
     pii,
     simhash,
@@ -138,6 +141,38 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents, and its check against texts of which
+    a fifth was put into lower case."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    changed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    found = merkle.manifest(docs, carry={"altered": F.when(changed, merkle.leaf_hash(*fields, lowered))})
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("altered", "leaf"), F.col("proof")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.siblings_hash(F.col("proof")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = bpe.decoded(bpe.encoded(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = (
         op1_token_counts,
@@ -150,6 +185,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_pii,
         op9_license_scan,
         op10_toxicity,
+        op11_merkle,
+        op13_bpe,
     )
     return {f.__name__: f for f in made}
 
@@ -219,6 +256,72 @@ FROM docs d LEFT JOIN places USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def _tree_sql(name: str, leaves: str) -> str:
+    """CTEs over ``leaves`` (g, pos, node): ``{name}_levels``, ``{name}_top``
+    (g, top) and ``{name}_way`` (g, pos, steps), the siblings "left|right" of
+    each leaf's way up."""
+    return f"""
+{name}_levels AS (
+  SELECT g, 0 AS k, pos, node FROM {leaves}
+  UNION ALL
+  SELECT g, k + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}_levels) WHERE n > 1 GROUP BY g, k, pos // 16
+),
+{name}_top AS (SELECT g, arg_max(node, k) AS top, max(k) AS depth FROM {name}_levels GROUP BY g),
+{name}_sides AS (
+  SELECT l.g, l.k, l.pos,
+         coalesce(string_agg(node, '' ORDER BY pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|' ||
+         coalesce(string_agg(node, '' ORDER BY pos) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS step
+  FROM {name}_levels l JOIN {name}_top t ON l.g IS NOT DISTINCT FROM t.g AND l.k < t.depth
+  WINDOW w AS (PARTITION BY l.g, l.k, l.pos // 16 ORDER BY l.pos)
+),
+{name}_way AS (
+  SELECT l.g, l.pos, coalesce(list(s.step ORDER BY s.k) FILTER (s.step IS NOT NULL), []) AS steps
+  FROM {leaves} l LEFT JOIN {name}_sides s
+    ON l.g IS NOT DISTINCT FROM s.g AND s.pos = l.pos // CAST(pow(16, s.k) AS BIGINT)
+  GROUP BY l.g, l.pos
+)"""
+
+
+def _marked(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+_FIELDS = " || ".join(_marked(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# Unsigned crc32 of the decimal id, byte by byte over its table.
+_CRC = """xor(4294967295, list_reduce(
+  list_prepend(4294967295, list_transform(range(1, len(coalesce(CAST(doc_id AS VARCHAR), '')) + 1),
+    lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+  lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)))"""
+
+OP11_SQL = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, zero: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS t
+  FROM (SELECT unnest(range(0, 256)) AS n)
+),
+hashed AS (
+  SELECT doc_id, source, sha256({_FIELDS} || {_marked('text')}) AS leaf,
+         CASE WHEN {_CRC} % 5 = 0 THEN sha256({_FIELDS} || {_marked(_LOWER.replace("coalesce(text, '')", 'text'))}) END AS altered
+  FROM documents CROSS JOIN crc_table
+),
+docs AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM hashed),
+leaves AS (SELECT source AS g, pos, leaf AS node FROM docs),{_tree_sql('own', 'leaves')},
+subroots AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, top AS node, g AS source FROM own_top),{_tree_sql('all', 'subroots')},
+proofs AS (
+  SELECT doc_id, leaf, altered, s.node AS subroot, t.top AS root, list_concat(o.steps, w.steps) AS steps
+  FROM docs d JOIN own_way o ON d.source IS NOT DISTINCT FROM o.g AND d.pos = o.pos
+  JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source
+  JOIN all_way w ON w.pos = s.pos CROSS JOIN all_top t
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256,
+       list_reduce(list_prepend(coalesce(altered, leaf), steps),
+                   lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2))) AS folded_root,
+       folded_root = root AS verified
+FROM proofs
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express."""
-    return {"op4_source_mix": OP4_SQL, "op7_decontaminate": OP7_SQL}
+    return {"op4_source_mix": OP4_SQL, "op7_decontaminate": OP7_SQL, "op11_merkle": OP11_SQL}
