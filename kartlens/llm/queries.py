@@ -19,6 +19,7 @@ from kartlens.llm import (
     merkle,
     minhash,
     pii,
+    ranked_search,
     simhash,
     source_mix,
     token_counts,
@@ -161,6 +162,11 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -186,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_license_scan,
         op10_toxicity,
         op11_merkle,
+        op12_ranked_search,
         op13_bpe,
     )
     return {f.__name__: f for f in made}
@@ -322,6 +329,27 @@ FROM proofs
 """
 
 
+OP12_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_ALNUM} AS w FROM documents),
+items AS (SELECT row_number() OVER () AS item, item_id, list_distinct({_ALNUM}) AS w FROM benchmark),
+asked AS (SELECT item, item_id, unnest(w) AS term FROM items),
+stats AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM docs WHERE len(w) > 0),
+tfs AS (SELECT row, doc_id, n, term, count(*) AS tf
+        FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM docs)
+        WHERE term IN (SELECT term FROM asked) GROUP BY row, doc_id, n, term),
+dfs AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+        FROM tfs CROSS JOIN stats GROUP BY term, n_docs),
+scores AS (
+  SELECT item, item_id, row, doc_id,
+         CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (term) JOIN dfs USING (term) CROSS JOIN stats GROUP BY item, item_id, row, doc_id
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express."""
-    return {"op4_source_mix": OP4_SQL, "op7_decontaminate": OP7_SQL, "op11_merkle": OP11_SQL}
+    return {"op4_source_mix": OP4_SQL, "op7_decontaminate": OP7_SQL, "op11_merkle": OP11_SQL, "op12_ranked_search": OP12_SQL}
