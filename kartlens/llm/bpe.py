@@ -23,6 +23,7 @@ merged here like the others.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
@@ -42,45 +44,54 @@ from kartlens.llm.token_counts import byte_symbols
 CACHED = 400_000  # pre-tokens in a generation of a worker's cache; it keeps two
 CACHED_CHARS = 48  # longer ones aren't kept
 AT_A_TIME = 200_000  # pre-tokens held at a time
+ROWS = 1_000  # rows decoded at a time
 
 
 class Merger:
     """Vocabulary and merge ranks of a tokenizer's model."""
 
     def __init__(self, model: dict):
-        self.vocab: dict[str, int] = model["vocab"]
-        self.end = model.get("end_of_word_suffix") or ""
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
+        symbols = byte_symbols()
+        # The symbol of each byte, within a pre-token and as its last one;
+        # -1: the vocabulary lacks it.
+        self.inner = [vocab.get(symbols[b], -1) for b in range(256)]
+        self.final = [vocab.get(symbols[b] + end, -1) for b in range(256)]
+        self.size = max(vocab.values()) + 1
+        self.made: list[int] = []  # by rank: the id that a pair merges to
+        self.rank: dict[int, int] = {}  # of the pair a, b at a * size + b
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
-
-    def ids(self, symbols: str) -> list[int]:
-        """Ids of one pre-token, given as the symbols of its bytes. A symbol
-        that the vocabulary lacks is left out, as without an unknown token."""
-        if not symbols:
-            return []
-        single = [*symbols[:-1], symbols[-1] + self.end]
-        ids = [self.vocab[s] for s in single if s in self.vocab]
-        last = len(ids) - 1
-        before, after = list(range(-1, last)), list(range(1, last + 2))
-        ranks = self.ranks
-        # An entry: rank, place of the left symbol, id that the pair merges to.
-        queue = [(*ranks[ids[i], ids[i + 1]], i) for i in range(last) if (ids[i], ids[i + 1]) in ranks]
-        queue = [(rank, i, made) for rank, made, i in queue]
+            self.rank[vocab[a] * self.size + vocab[b]] = rank
+            self.made.append(vocab[a + b])
+
+    def ids(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token. A byte whose symbol the vocabulary lacks is
+        left out, as without an unknown token."""
+        ids = [self.inner[b] for b in piece[:-1]]
+        ids += [self.final[b] for b in piece[-1:]]
+        if -1 in ids:
+            ids = [i for i in ids if i >= 0]
+        n, size, rank_of, made = len(ids), self.size, self.rank.get, self.made
+        # An entry: the pair's rank, then the place of its left symbol.
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(ids[i] * size + ids[i + 1])) is not None]
         heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            _, i, made = heappop(queue)
+            entry = heappop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
             j = after[i]
-            if ids[i] < 0 or j > last or ranks.get((ids[i], ids[j]), (0, -1))[1] != made:
+            if ids[i] < 0 or j >= n or rank_of(ids[i] * size + ids[j]) != rank:
                 continue  # stale: one of the two has been merged since
-            ids[i], ids[j] = made, -1
-            after[i] = after[j]
-            if after[j] <= last:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right <= last and (found := ranks.get((ids[left], ids[right]))):
-                    heappush(queue, (found[0], left, found[1]))
+            ids[i], ids[j] = made[rank], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank_of(ids[i] * size + ids[k])) is not None:
+                    heappush(queue, r << 32 | i)
+            h = before[i]
+            if h >= 0 and (r := rank_of(ids[h] * size + ids[i])) is not None:
+                heappush(queue, r << 32 | h)
         return [i for i in ids if i >= 0]
 
 
@@ -106,6 +117,12 @@ def _split_pattern(config: dict) -> str:
     return parts[0]["pattern"]["Regex"]
 
 
+def ascii_pattern(pattern: str) -> str:
+    """The pattern's classes over lower-case ASCII, for the standard library's
+    faster matcher."""
+    return pattern.replace(r"[\p{L}]", "[a-z]").replace(r"[\p{N}]", "[0-9]").replace(r"[^\s\p{L}\p{N}]", "[^ \\t-\\ra-z0-9]")
+
+
 def normalized(text: str) -> str:
     """Composed and in lower case, each character on its own (a sigma at a
     word's end too). White space stays: the pattern drops all of it."""
@@ -113,14 +130,14 @@ def normalized(text: str) -> str:
 
 
 @cache
-def usual_characters(tokenizer_json: str) -> str:
-    """A class of the characters beyond ASCII that the library and the tables
-    here normalize and split alike."""
+def usual_characters(tokenizer_json: str) -> list[list[int]]:
+    """Ranges (first, last) of the characters that the library and the tables
+    here normalize and split alike; all of ASCII is taken to be."""
     library = Tokenizer.from_str(tokenizer_json)
     norm, split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
     find_all = regex.compile(_split_pattern(json.loads(tokenizer_json))).findall
     symbols = {b: ord(c) for b, c in byte_symbols().items()}
-    runs: list[list[int]] = []
+    runs = [[0, 0x7F]]
     for i in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
         c = chr(i)
         if unicodedata.category(c) in ("Cn", "Co"):
@@ -128,33 +145,34 @@ def usual_characters(tokenizer_json: str) -> str:
         probe = f"b{c}1{c}."
         here = [p.encode().decode("latin-1").translate(symbols) for p in find_all(normalized(probe))]
         if here == [p for p, _ in split(norm(probe))]:
-            if runs and i == runs[-1][1] + 1:
+            if i == runs[-1][1] + 1:
                 runs[-1][1] = i
             else:
                 runs.append([i, i])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
+    return runs
 
 
 class Encoder:
     """A worker's tokenizer and its cache."""
 
-    def __init__(self, tokenizer_json: str, usual: str):
+    def __init__(self, tokenizer_json: str, usual: list[list[int]]):
         config = json.loads(tokenizer_json)
         library = Tokenizer.from_str(tokenizer_json)
         self.norm, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         pattern = regex.compile(_split_pattern(config))
         self.find_all, self.find = pattern.findall, pattern.finditer
-        self.unusual = regex.compile(f"[^\\x00-\\x7f{usual}]").search
+        self.find_ascii = re.compile(ascii_pattern(pattern.pattern)).findall
+        self.usual = frozenset(chr(i) for a, b in usual for i in range(a, b + 1))
         self.merger = Merger(config["model"])
         special = sorted(((t["content"], t["id"]) for t in config["added_tokens"]), key=lambda t: -len(t[0]))
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t, _ in special) + ")") if special else None
         self.special_ids = dict(special)
-        self.symbols = {b: ord(c) for b, c in byte_symbols().items()}
+        self.bytes = {ord(c): b for b, c in byte_symbols().items()}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def merged(self, symbols: str) -> bytes:
-        return np.array(self.merger.ids(symbols), np.int32).tobytes()
+    def merged(self, piece: bytes) -> bytes:
+        return np.array(self.merger.ids(piece), np.int32).tobytes()
 
     def pieces(self, pieces: list[str]) -> bytes:
         """Ids of pre-tokens, as 4-byte integers."""
@@ -163,7 +181,7 @@ class Encoder:
         known, older = self.known, self.older
         long = []
         for p in set(pieces).difference(known):
-            known[p] = older[p] if p in older else self.merged(p.encode().decode("latin-1").translate(self.symbols))
+            known[p] = older[p] if p in older else self.merged(p.encode())
             if len(p) > CACHED_CHARS:
                 long.append(p)
         out = b"".join(map(known.__getitem__, pieces))
@@ -173,10 +191,11 @@ class Encoder:
 
     def plain(self, text: str) -> Iterator[bytes]:
         """Ids of a text without special tokens, in parts."""
-        if not text.isascii() and self.unusual(text):
-            yield from (self.merged(p) for p, _ in self.split(self.norm(text)))
+        if not text.isascii() and not self.usual.issuperset(text):
+            yield from (self.merged(p.translate(self.bytes).encode("latin-1")) for p, _ in self.split(self.norm(text)))
         elif len(text) <= AT_A_TIME:
-            yield self.pieces(self.find_all(normalized(text)))
+            find_all = self.find_ascii if text.isascii() else self.find_all
+            yield self.pieces(find_all(normalized(text)))
         else:
             matches = (m[0] for m in self.find(normalized(text)))
             yield from map(self.pieces, iter(lambda: list(islice(matches, AT_A_TIME)), []))
@@ -230,14 +249,29 @@ def decoded(ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col
     with open(tokenizer_path, encoding="utf-8") as f:
         config = json.load(f)
     _split_pattern(config)
-    names = {i: s for s, i in config["model"]["vocab"].items()} | {t["id"]: t["content"] for t in config["added_tokens"]}
+    tokens = [(i, t) for t, i in config["model"]["vocab"].items()] + [(t["id"], t["content"]) for t in config["added_tokens"]]
+    names: list[str | None] = [None] * (max(i for i, _ in tokens) + 1)
+    for i, t in tokens:
+        names[i] = t
     shared = ids.sparkSession.sparkContext.broadcast(names)
 
+    def some(lists: pa.ListArray) -> pa.Array:
+        vocabulary = pa.array(shared.value, pa.string())
+        values, ends = lists.flatten(), np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
+        known = np.asarray(pc.fill_null(values, -1))
+        known = (known >= 0) & (known < len(vocabulary))
+        ends = np.concatenate([[0], np.cumsum(known)])[ends]
+        found = vocabulary.take(values.filter(pa.array(known)))
+        kept = found.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(kept)])[ends]
+        parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found.drop_null())
+        return pc.binary_join(parts, " ")
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        name = shared.value.get
-        texts = [" ".join(filter(None, map(name, row or ()))) for row in batch.column(ids_col).to_pylist()]
+        lists = batch.column(ids_col)
+        texts = [some(lists.slice(k, ROWS)) for k in range(0, len(lists), ROWS)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(id_col), batch.column(ids_col), pa.array(texts, pa.string())], [id_col, ids_col, "decoded"]
+            [batch.column(id_col), lists, pa.concat_arrays(texts)], [id_col, ids_col, "decoded"]
         )
 
     kind = ids.schema[id_col].dataType.simpleString()
