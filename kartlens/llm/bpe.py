@@ -41,10 +41,10 @@ from tokenizers import Tokenizer
 from kartlens.llm.common import map_batches
 from kartlens.llm.token_counts import byte_symbols
 
-CACHED = 400_000  # pre-tokens in a generation of a worker's cache; it keeps two
+CACHED = 250_000  # pre-tokens in a generation of a worker's cache; it keeps two
 CACHED_CHARS = 48  # longer ones aren't kept
 AT_A_TIME = 200_000  # pre-tokens held at a time
-ROWS = 1_000  # rows decoded at a time
+ROWS = 1_000  # rows encoded or decoded at a time
 
 
 class Merger:
@@ -133,9 +133,9 @@ def normalized(text: str) -> str:
 def usual_characters(tokenizer_json: str) -> list[list[int]]:
     """Ranges (first, last) of the characters that the library and the tables
     here normalize and split alike; all of ASCII is taken to be."""
+    find_all = regex.compile(_split_pattern(json.loads(tokenizer_json))).findall
     library = Tokenizer.from_str(tokenizer_json)
     norm, split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-    find_all = regex.compile(_split_pattern(json.loads(tokenizer_json))).findall
     symbols = {b: ord(c) for b, c in byte_symbols().items()}
     runs = [[0, 0x7F]]
     for i in [*range(0x80, 0xD800), *range(0xE000, 0x110000)]:
@@ -232,8 +232,9 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
         if name not in _WORKER:
             _WORKER.clear()
             _WORKER[name] = Encoder(*shared.value)
-        encode = _WORKER[name].ids
-        made = [encode(t) if t else b"" for t in batch.column(text_col).to_pylist()]
+        encode, column = _WORKER[name].ids, batch.column(text_col)
+        slices = (column.slice(k, ROWS).to_pylist() for k in range(0, len(column), ROWS))
+        made = [encode(t) if t else b"" for some in slices for t in some]
         ends = np.cumsum([0, *(len(m) // 4 for m in made)], dtype=np.int64).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(made), np.int32))
         return pa.RecordBatch.from_arrays([batch.column(id_col), pa.ListArray.from_arrays(pa.array(ends), values)], [id_col, "ids"])
@@ -255,8 +256,7 @@ def decoded(ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col
         names[i] = t
     shared = ids.sparkSession.sparkContext.broadcast(names)
 
-    def some(lists: pa.ListArray) -> pa.Array:
-        vocabulary = pa.array(shared.value, pa.string())
+    def some(lists: pa.ListArray, vocabulary: pa.Array) -> pa.Array:
         values, ends = lists.flatten(), np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
         known = np.asarray(pc.fill_null(values, -1))
         known = (known >= 0) & (known < len(vocabulary))
@@ -269,7 +269,8 @@ def decoded(ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(ids_col)
-        texts = [some(lists.slice(k, ROWS)) for k in range(0, len(lists), ROWS)]
+        vocabulary = pa.array(shared.value, pa.string())
+        texts = [some(lists.slice(k, ROWS), vocabulary) for k in range(0, len(lists), ROWS)]
         return pa.RecordBatch.from_arrays(
             [batch.column(id_col), lists, pa.concat_arrays(texts)], [id_col, ids_col, "decoded"]
         )

@@ -58,7 +58,7 @@ def weight(documents: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * documents + 2) / (2 * df + 1)))
 
 
-def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """(id, n, terms, counts, sketch), a written table with a row for every row
     of ``docs``: ``n`` terms with repeats, the distinct ``terms`` joined by
     spaces, their ``counts`` and the ``sketch``. Null and wordless texts have
@@ -69,10 +69,10 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         counted = [Counter(words_alnum(t)) for t in texts(batch, text_col)]
         sizes = [len(c) for c in counted]
         counts = np.fromiter((n for c in counted for n in c.values()), np.int64, sum(sizes))
-        slots = np.fromiter((zlib.crc32(t) for c in counted for t in c), np.int64, sum(sizes)) % SLOTS
+        places = np.fromiter((zlib.crc32(t) for c in counted for t in c), np.int64, sum(sizes)) % slots
         rows = np.repeat(np.arange(len(counted)), sizes)
-        sketches = np.zeros((len(counted), SLOTS), np.uint8)
-        np.maximum.at(sketches, (rows, slots), np.minimum(counts, MOST).astype(np.uint8))
+        sketches = np.zeros((len(counted), slots), np.uint8)
+        np.maximum.at(sketches, (rows, places), np.minimum(counts, MOST).astype(np.uint8))
         offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
         return pa.RecordBatch.from_arrays(
             [
@@ -147,8 +147,8 @@ class Weights:
     ``n`` in one, a document's length is m = FLAT + (SLOPE n documents) // words
     and its score the sum of weight * impact over the query's terms."""
 
-    def __init__(self, block: list[tuple[int, list[str]]], dfs: dict[str, int], documents: int, words: int):
-        self.documents, self.words = documents, words
+    def __init__(self, block: list[tuple[int, list[str]]], dfs: dict[str, int], documents: int, words: int, slots: int = SLOTS):
+        self.documents, self.words, self.slots = documents, words, slots
         # A term that no document holds adds nothing to any score.
         self.terms = [[(t, w) for t in terms if t in dfs and (w := weight(documents, dfs[t]))] for _, terms in block]
         self.queries = [q for q, _ in block]
@@ -158,10 +158,10 @@ class Weights:
 
     def matrix(self) -> tuple[np.ndarray, np.ndarray]:
         """The slots in use, and for each of them the weight in each query."""
-        slots = [[zlib.crc32(t.encode()) % SLOTS for t, _ in terms] for terms in self.terms]
-        used = np.unique(np.array([s for row in slots for s in row], np.int64))
-        weights = np.zeros((len(used), len(slots)))
-        for q, (row, terms) in enumerate(zip(slots, self.terms, strict=True)):
+        places = [[zlib.crc32(t.encode()) % self.slots for t, _ in terms] for terms in self.terms]
+        used = np.unique(np.array([p for row in places for p in row], np.int64))
+        weights = np.zeros((len(used), len(places)))
+        for q, (row, terms) in enumerate(zip(places, self.terms, strict=True)):
             np.add.at(weights[:, q], np.searchsorted(used, row), [w for _, w in terms])
         return used, weights
 
@@ -220,6 +220,8 @@ def search(
     text_col: str = "text",
     query_col: str = "item_id",
     query_text_col: str = "text",
+    slots: int = SLOTS,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """(query_col, rank, id_col, score): of every row of ``queries`` the ``k``
     highest-scoring rows of ``docs`` with a score above 0 (all, if fewer), equal
@@ -230,7 +232,7 @@ def search(
     empty table on either side gives an empty result; other columns aren't
     read, whatever their names."""
     spark = docs.sparkSession
-    indexed = index(docs, id_col, text_col)
+    indexed = index(docs, id_col, text_col, slots)
     stats = indexed.agg(F.count(F.when(F.col("n") > 0, 1)).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("words")).first()
     asked = queries.select(F.monotonically_increasing_id().alias("query"), F.col(query_col).alias("asked"), F.col(query_text_col).alias("text"))
     asked = stage(asked, "asked")
@@ -241,13 +243,13 @@ def search(
     best = []
     for block in _blocks(_queries(asked, "text")) if stats["documents"] else ():
         dfs = frequencies(indexed, {t for _, terms in block for t in terms})
-        shared = spark.sparkContext.broadcast(Weights(block, dfs, stats["documents"], stats["words"]))
+        shared = spark.sparkContext.broadcast(Weights(block, dfs, stats["documents"], stats["words"], slots))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = Best(shared.value, k)
             for batch in batches:
-                for i in range(0, batch.num_rows, CHUNK):
-                    own.add(batch.slice(i, CHUNK))
+                for i in range(0, batch.num_rows, chunk):
+                    own.add(batch.slice(i, chunk))
             rows = [*own.rows()]
             columns = zip(*rows, strict=True) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ids, strict=True)], schema=ids)
