@@ -73,3 +73,37 @@ def hot_key_join(
     hot_part = big.join(hot_ids, keys, "left_semi").join(hot_small, keys, how)
     ordinary = big.join(hot_ids, keys, "left_anti").join(ordinary_small, keys, how)
     return hot_part.unionByName(ordinary)
+
+
+# Rows of one key that a salted join leaves to one task, and the most parts a
+# key is cut into (the other side is repeated as often).
+SALT_ROWS = 4_000_000
+MAX_SALTS = 64
+
+
+def salts_for(big: DataFrame, key: str, salt_rows: int | None = None) -> int:
+    """Parts that keep ``big``'s largest key at about ``salt_rows`` a task."""
+    salt_rows = SALT_ROWS if salt_rows is None else salt_rows
+    most = big.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    return max(1, min(MAX_SALTS, -(-most // salt_rows)))
+
+
+def salted_join(big: DataFrame, small: DataFrame, key: str, salts: int) -> DataFrame:
+    """``big.join(small, key)`` with each key cut into ``salts`` parts: rows of
+    ``big`` are dealt by a hash of all their values, those of ``small`` are
+    repeated for every part. No reducer gets more than about a ``salts``-th of a
+    hot key's rows."""
+    if salts <= 1:
+        return big.join(small, key)
+    dealt = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    every = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(every, [key, "_salt"]).drop("_salt")
+
+
+def catalog_join(big: DataFrame, small: DataFrame, key: str, row_bound: int, salt_rows: int | None = None) -> DataFrame:
+    """``big.join(small, key)`` where ``small`` has at most ``row_bound`` rows,
+    one a key: broadcast within the budget, salted by ``big``'s largest key
+    beyond it."""
+    if row_bound <= BROADCAST_ROWS:
+        return big.join(F.broadcast(small), key)
+    return salted_join(big, small, key, salts_for(big, key, salt_rows))

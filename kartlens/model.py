@@ -27,6 +27,8 @@ class Tables:
     prior_lines: DataFrame | None = None
     order_gaps: DataFrame | None = None
     _counts: dict = field(default_factory=dict, compare=False, repr=False)
+    # Frames written once for these tables (``plans.stored``).
+    _stored: dict = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def lines(self) -> DataFrame:

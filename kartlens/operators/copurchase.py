@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartlens.functions.joins import bounded_broadcast
+from kartlens.functions.joins import bounded_broadcast, catalog_join
 from kartlens.functions.rounding import as_double, percent2
 from kartlens.model import Tables
 
@@ -91,7 +91,6 @@ def pair_counts(
     ``support`` may pass the ``item_support`` frame already built for the
     anchor totals, so the pruning reuses it instead of aggregating again.
     ``slice_width`` defaults to the module's ``SLICE_WIDTH``."""
-    slice_width = SLICE_WIDTH if slice_width is None else slice_width
 
     def prune(rows: DataFrame, reach: DataFrame) -> DataFrame:
         # Unique items, so an inner join prunes exactly like a semi join;
@@ -116,14 +115,27 @@ def pair_counts(
             "item", F.col("orders").alias("reach")
         )
         kept = prune(basket_rows, reach).repartition("order_id")
-    widths = kept.groupBy("order_id").agg(F.count(F.lit(1)).alias("k"))
+    if not by_lines:
+        kept = kept.withColumn("m", F.lit(1))
+    return (
+        order_pairs(kept, slice_width)
+        .groupBy("anchor_id", "co_id")
+        .agg(F.sum("w").alias("n"))
+        .where(F.col("n") >= min_pairs)
+    )
+
 
-    weight = (F.col("a.m") * F.col("b.m")) if by_lines else F.lit(1)
+def order_pairs(kept: DataFrame, slice_width: int | None = None) -> DataFrame:
+    """(anchor_id, co_id, w) for every two different items of an order in
+    ``kept`` (order_id, item, m), anchor < co, once an order; w is the number
+    of line pairs (m of one times m of the other). ``kept`` should already be
+    partitioned by order_id, by an exchange or by its buckets."""
+    slice_width = SLICE_WIDTH if slice_width is None else slice_width
 
     def join_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
         cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys] + [F.col("a.item") < F.col("b.item")]
         return left.alias("a").join(right.alias("b"), cond).select(
-            F.col("a.item").alias("anchor_id"), F.col("b.item").alias("co_id"), weight.alias("w")
+            F.col("a.item").alias("anchor_id"), F.col("b.item").alias("co_id"), (F.col("a.m") * F.col("b.m")).alias("w")
         )
 
     # Orders up to slice_width items: sort + window on the shared exchange,
@@ -138,56 +150,81 @@ def pair_counts(
     # into slices by a hash of the anchor-side item, the co side repeated
     # once per slice, and joined on (order_id, slice) so each slice is its
     # own task.
+    widths = kept.groupBy("order_id").agg(F.count(F.lit(1)).alias("k"))
     wide = kept.join(widths.where(F.col("k") > slice_width).hint("shuffle_hash"), "order_id").withColumn(
         "slices", F.ceil(F.col("k") / F.lit(slice_width))
     )
     wide_a = wide.withColumn("slice", F.pmod(F.xxhash64("item"), F.col("slices")))
     wide_b = wide.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)))
-    sliced = join_pairs(wide_a, wide_b, ["order_id", "slice"])
+    return in_place.unionByName(join_pairs(wide_a, wide_b, ["order_id", "slice"]))
 
-    return (
-        in_place.unionByName(sliced)
-        .groupBy("anchor_id", "co_id")
-        .agg(F.sum("w").alias("n"))
-        .where(F.col("n") >= min_pairs)
-    )
 
+def named(tables: Tables, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (anchor_id, co_id, ...) with both products' names."""
+    bound = tables.catalog_rows()
 
-def _names(tables: Tables) -> DataFrame:
-    return bounded_broadcast(tables.products.select("product_id", "product_name"), tables.catalog_rows())
+    def names(side: str, name: str) -> DataFrame:
+        return tables.products.select(F.col("product_id").alias(side), F.col("product_name").alias(name))
 
+    out = catalog_join(pairs, names("anchor_id", "anchor_name"), "anchor_id", bound)
+    return catalog_join(out, names("co_id", "co_product_name"), "co_id", bound)
 
-def copurchase_pairs(tables: Tables, min_pairs: int = 30, ordered: bool = True) -> DataFrame:
-    """Q11 (step 7a): line-item pair counts per (anchor, co-product)."""
-    counts = pair_counts(baskets(tables), min_pairs, by_lines=True, item_bound=tables.catalog_rows())
-    names = _names(tables)
-    out = (
-        counts.join(names.withColumnRenamed("product_id", "anchor_id").withColumnRenamed("product_name", "anchor_name"), "anchor_id")
-        .join(names.withColumnRenamed("product_id", "co_id").withColumnRenamed("product_name", "co_product_name"), "co_id")
-        .select(
-            "anchor_id",
-            "anchor_name",
-            F.col("co_id").alias("co_product_id"),
-            "co_product_name",
-            F.col("n").alias("number_of_product_pairs"),
-        )
+
+def copurchase_pairs(
+    tables: Tables, min_pairs: int = 30, ordered: bool = True, pairs: DataFrame | None = None
+) -> DataFrame:
+    """Q11 (step 7a): line-item pair counts per (anchor, co-product).
+    ``pairs`` may be a stored pair table (``pairtable.py``) whose threshold is
+    no higher, here and below."""
+    if pairs is None:
+        counts = pair_counts(baskets(tables), min_pairs, by_lines=True, item_bound=tables.catalog_rows())
+    else:
+        counts = pairs.where(F.col("lines") >= min_pairs).select("anchor_id", "co_id", F.col("lines").alias("n"))
+    out = named(tables, counts).select(
+        "anchor_id",
+        "anchor_name",
+        F.col("co_id").alias("co_product_id"),
+        "co_product_name",
+        F.col("n").alias("number_of_product_pairs"),
     )
     return out.orderBy(F.col("number_of_product_pairs").desc(), "anchor_id", "co_product_id") if ordered else out
 
 
-def _shares(tables: Tables, min_pairs: int, level_name: str, symmetric: bool = False) -> DataFrame:
-    """Pair shares, the counts and the anchor totals built on one basket /
-    support frame; ``symmetric`` turns each counted pair into both directions."""
-    rows = baskets(tables, level_name)
-    support = item_support(rows)
+def _both_ways(pairs: DataFrame, *sides: tuple[str, str]) -> DataFrame:
+    """Each row once as it is and once with the columns of each of ``sides``
+    exchanged."""
+    kept = [c for c in pairs.columns if not any(c in s for s in sides)]
+    ways = [F.struct(*[F.col(s[i]).alias(s[0]) for s in sides], *[F.col(s[1 - i]).alias(s[1]) for s in sides]) for i in (0, 1)]
+    return pairs.select(*kept, F.inline(F.array(*ways)))
+
+
+def _shares(
+    tables: Tables, min_pairs: int, level_name: str, symmetric: bool = False, pairs: DataFrame | None = None
+) -> DataFrame:
+    """Pair shares; without stored pairs the counts and the anchor totals are
+    built on one basket / support frame. ``symmetric`` turns each counted pair
+    into both directions."""
     items = tables.catalog_rows() if level_name == "product" else tables.rows("aisles")
-    counts = pair_counts(rows, min_pairs, by_lines=False, item_bound=items, support=support)
-    totals = support.select(F.col("item").alias("anchor_id"), F.col("orders").alias("total_anchor_orders"))
-    counts = counts.withColumnRenamed("n", "number_of_co_purchases")
-    if symmetric:
-        both = [F.struct(F.col(a).alias("anchor_id"), F.col(b).alias("co_id")) for a, b in (("anchor_id", "co_id"), ("co_id", "anchor_id"))]
-        counts = counts.select("number_of_co_purchases", F.inline(F.array(*both)))
-    return counts.join(bounded_broadcast(totals, items), "anchor_id").select(
+    if pairs is None:
+        rows = baskets(tables, level_name)
+        support = item_support(rows)
+        counts = pair_counts(rows, min_pairs, by_lines=False, item_bound=items, support=support)
+        counts = counts.withColumnRenamed("n", "number_of_co_purchases")
+        if symmetric:
+            counts = _both_ways(counts, ("anchor_id", "co_id"))
+        totals = support.select(F.col("item").alias("anchor_id"), F.col("orders").alias("total_anchor_orders"))
+        counts = catalog_join(counts, totals, "anchor_id", items)
+    else:
+        counts = pairs.where(F.col("orders") >= min_pairs)
+        if symmetric:
+            counts = _both_ways(counts, ("anchor_id", "co_id"), ("anchor_orders", "co_orders"))
+        counts = counts.select(
+            "anchor_id",
+            "co_id",
+            F.col("orders").alias("number_of_co_purchases"),
+            F.col("anchor_orders").alias("total_anchor_orders"),
+        )
+    return counts.select(
         "anchor_id",
         "co_id",
         "number_of_co_purchases",
@@ -198,29 +235,31 @@ def _shares(tables: Tables, min_pairs: int, level_name: str, symmetric: bool = F
     )
 
 
-def share_counts(tables: Tables, min_pairs: int = 30, level_name: str = "product") -> DataFrame:
+def share_counts(
+    tables: Tables, min_pairs: int = 30, level_name: str = "product", pairs: DataFrame | None = None
+) -> DataFrame:
     """(anchor_id, co_id, number_of_co_purchases, total_anchor_orders,
     percentage_of_anchor_orders) for pairs in >= ``min_pairs`` orders."""
-    return _shares(tables, min_pairs, level_name)
+    return _shares(tables, min_pairs, level_name, pairs=pairs)
 
 
-def copurchase_share(tables: Tables, min_pairs: int = 30, ordered: bool = True, symmetric: bool = False) -> DataFrame:
+def copurchase_share(
+    tables: Tables,
+    min_pairs: int = 30,
+    ordered: bool = True,
+    symmetric: bool = False,
+    pairs: DataFrame | None = None,
+) -> DataFrame:
     """Q12 (step 7b); with ``symmetric`` (X3) each pair also counts for its
     larger product as anchor, with that product's order total."""
-    shares = _shares(tables, min_pairs, "product", symmetric)
-    names = _names(tables)
-    out = (
-        shares.join(names.withColumnRenamed("product_id", "anchor_id").withColumnRenamed("product_name", "anchor_name"), "anchor_id")
-        .join(names.withColumnRenamed("product_id", "co_id").withColumnRenamed("product_name", "co_product_name"), "co_id")
-        .select(
-            "anchor_id",
-            "anchor_name",
-            F.col("co_id").alias("co_product_id"),
-            "co_product_name",
-            "number_of_co_purchases",
-            "total_anchor_orders",
-            "percentage_of_anchor_orders",
-        )
+    out = named(tables, _shares(tables, min_pairs, "product", symmetric, pairs)).select(
+        "anchor_id",
+        "anchor_name",
+        F.col("co_id").alias("co_product_id"),
+        "co_product_name",
+        "number_of_co_purchases",
+        "total_anchor_orders",
+        "percentage_of_anchor_orders",
     )
     return out.orderBy(F.col("percentage_of_anchor_orders").desc(), "anchor_id", "co_product_id") if ordered else out
 

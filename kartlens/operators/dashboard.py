@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from kartlens.functions.rounding import METRIC, as_double
 from kartlens.model import Tables
-from kartlens.operators.copurchase import copurchase_share
-from kartlens.operators.ordersize import global_size, order_size_lift
+from kartlens.operators.copurchase import named, share_counts
+from kartlens.operators.ordersize import global_size, order_size_lift, order_sizes
 from kartlens.operators.repurchase import global_cycle, repurchase_lift
 
 # The Influence Index weights and quadrant names.
@@ -147,12 +147,18 @@ def behavior_quadrants(tables: Tables, **kw) -> DataFrame:
     )
 
 
-def kpi_cards(tables: Tables, **kw) -> DataFrame:
+def kpi_cards(
+    tables: Tables,
+    cycle_base: Column | None = None,
+    size_base: Column | None = None,
+    orders_with_lines: Column | None = None,
+    **kw,
+) -> DataFrame:
     """Per product, and one overall row (product_id null): Influence
     Index (overall: mean over products), Reorder Speed (mean cycle; overall:
     the global mean), Order Size (mean order size; overall: the global
     mean) and Total Orders (orders holding the product; overall: orders
-    with line items)."""
+    with line items). The three overall values may be passed in as stored."""
     scores = _scores(tables, **kw).withColumn(
         "influence", _influence(F.col("reorder_speed_score"), F.col("order_size_score"))
     )
@@ -167,7 +173,8 @@ def kpi_cards(tables: Tables, **kw) -> DataFrame:
     # Mean of two-place values, rounded half-up exactly: integer hundredths.
     hundredths = (F.col("influence") * 100).cast("long")
     n = F.count(F.lit(1))
-    total_orders = tables.lines.where(F.col("order_id").isNotNull()).agg(F.count_distinct("order_id")).scalar()
+    if orders_with_lines is None:
+        orders_with_lines = order_sizes(tables).agg(F.count("order_id")).scalar()
     overall = scores.agg(
         F.lit(None).cast(per_product.schema["product_id"].dataType).alias("product_id"),
         F.lit(OVERALL_LABEL).alias("product_name"),
@@ -176,27 +183,32 @@ def kpi_cards(tables: Tables, **kw) -> DataFrame:
         "product_id",
         "product_name",
         "influence_index",
-        as_double(global_cycle(tables)).alias("reorder_speed"),
-        as_double(global_size(tables)).alias("order_size"),
-        total_orders.alias("total_orders"),
+        as_double(global_cycle(tables) if cycle_base is None else cycle_base).alias("reorder_speed"),
+        as_double(global_size(tables) if size_base is None else size_base).alias("order_size"),
+        orders_with_lines.alias("total_orders"),
     )
     return per_product.unionByName(overall)
 
 
-def top_coproducts(tables: Tables, min_pairs: int = 30, k: int = 10) -> DataFrame:
+def top_coproducts(tables: Tables, min_pairs: int = 30, k: int = 10, pairs: DataFrame | None = None) -> DataFrame:
     """The ``k`` co-products with the highest share of each anchor's
-    orders. The pair table has at most one row per (anchor, co-product), so
-    a window group is bounded by the catalog; k is the feature (a top-k
-    report), not a cap on work."""
-    shares = copurchase_share(tables, min_pairs, ordered=False)
+    orders. Ids are ranked (Spark cuts each task's group to ``k`` rows before
+    the exchange) and names joined to what is left. The pair table has at most
+    one row per (anchor, co-product), so a window group is bounded by the
+    catalog; k is the feature (a top-k report), not a cap on work. ``pairs``
+    may be the stored pair table."""
+    shares = share_counts(tables, min_pairs, pairs=pairs)
     rank = F.row_number().over(
-        Window.partitionBy("anchor_id").orderBy(F.col("percentage_of_anchor_orders").desc(), F.col("co_product_id"))
+        Window.partitionBy("anchor_id").orderBy(F.col("percentage_of_anchor_orders").desc(), F.col("co_id"))
     )
-    return shares.withColumn("rank", rank).where(F.col("rank") <= k).select(
+    # Every id is in the catalog (baskets are built from it), so naming after
+    # ranking drops no row.
+    best = shares.withColumn("rank", rank).where(F.col("rank") <= k)
+    return named(tables, best).select(
         "anchor_id",
         "anchor_name",
         "rank",
-        "co_product_id",
+        F.col("co_id").alias("co_product_id"),
         "co_product_name",
         "number_of_co_purchases",
         "percentage_of_anchor_orders",

@@ -13,7 +13,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kartlens.functions.joins import bounded_broadcast
+from kartlens.functions.joins import bounded_broadcast, catalog_join
 from kartlens.model import Tables
 from kartlens.operators.copurchase import share_counts
 from kartlens.operators.ordersize import order_size_lift
@@ -84,29 +84,24 @@ def behavior_export(
     ordered: bool = True,
     repurchase: DataFrame | None = None,
     order_size: DataFrame | None = None,
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    pairs = share_counts(tables, min_pairs)
+    shares = share_counts(tables, min_pairs, pairs=pairs)
     profile = anchor_profile(tables, min_events, min_orders, baseline, repurchase, order_size).withColumnRenamed(
         "product_id", "anchor_id"
     )
-    names = bounded_broadcast(
-        tables.products.select(F.col("product_id").alias("co_id"), F.col("product_name").alias("co_product_name")),
-        tables.catalog_rows(),
-    )
-    out = (
-        pairs.join(bounded_broadcast(profile, tables.catalog_rows()), "anchor_id")
-        .join(names, "co_id")
-        .select(
-            *[
-                F.col("product_name").alias("anchor_name")
-                if c == "anchor_name"
-                else F.col("co_id").alias("co_product_id")
-                if c == "co_product_id"
-                else F.col("percentage_of_anchor_orders").alias("percent_anchor_orders")
-                if c == "percent_anchor_orders"
-                else F.col(c)
-                for c in COLUMNS
-            ]
-        )
+    names = tables.products.select(F.col("product_id").alias("co_id"), F.col("product_name").alias("co_product_name"))
+    bound = tables.catalog_rows()
+    out = catalog_join(catalog_join(shares, profile, "anchor_id", bound), names, "co_id", bound).select(
+        *[
+            F.col("product_name").alias("anchor_name")
+            if c == "anchor_name"
+            else F.col("co_id").alias("co_product_id")
+            if c == "co_product_id"
+            else F.col("percentage_of_anchor_orders").alias("percent_anchor_orders")
+            if c == "percent_anchor_orders"
+            else F.col(c)
+            for c in COLUMNS
+        ]
     )
     return out.orderBy(F.col("percent_anchor_orders").desc(), "anchor_id", "co_product_id") if ordered else out

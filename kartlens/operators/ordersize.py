@@ -10,7 +10,9 @@ built as: lines -> partial+final aggregate on (order_id, product_id)
 shuffle) -> a window sum of ``m`` per order. After the dedupe an order has
 at most one row per distinct product, so the window's largest group is
 bounded by the catalog, not by the data. This replaces the reference's
-aggregate + join-back with one shuffle on order_id.
+aggregate + join-back with one shuffle on order_id, and with none where the
+lines were bucketed by it at load. Means, deviations and counts of every level
+come from moments per product (``moments.py``).
 
 Baseline: ``baseline=None`` uses the computed global mean (Q6, a scalar
 subquery); a number (the reference's literal 10.09) overrides it.
@@ -23,9 +25,10 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kartlens.functions.rounding import METRIC, as_double, difference2, mean2, ratio2, stddev2, weighted_mean2
+from kartlens.functions.rounding import METRIC, as_double, difference2, mean2, ratio2
 from kartlens.model import Tables
 from kartlens.operators.levels import by_level, level
+from kartlens.operators.moments import SIZE_TYPE, deviation, mean, moments, rolled_up
 
 # Fixed value: the reference's hard-coded global average order size.
 REFERENCE_BASELINE = Decimal("10.09")
@@ -53,9 +56,22 @@ def global_size(tables: Tables) -> Column:
     return order_sizes(tables).agg(mean2(F.col("order_size"))).scalar()
 
 
-def baseline_column(tables: Tables, baseline: Decimal | float | str | None) -> Column:
+def size_moments(tables: Tables) -> DataFrame:
+    """(product_id, n, s1, s2, lines, line_s1): moments of the size of the
+    orders each product is in, its lines, and the sizes summed over them."""
+    lines, size = F.col("m").cast(SIZE_TYPE), F.col("order_size").cast(SIZE_TYPE)
+    return moments(
+        sized(tables), F.col("order_size"), SIZE_TYPE, F.sum("m").alias("lines"), F.sum(lines * size).alias("line_s1")
+    )
+
+
+def baseline_column(tables: Tables, baseline: Decimal | float | str | Column | None) -> Column:
+    """The baseline as a column: computed, a number, or a column as it is (a
+    stored global mean)."""
     if baseline is None:
         return global_size(tables)
+    if isinstance(baseline, Column):
+        return baseline
     return F.lit(Decimal(str(baseline))).cast(METRIC)
 
 
@@ -64,7 +80,17 @@ def global_order_size(tables: Tables) -> DataFrame:
     return order_sizes(tables).agg(as_double(mean2(F.col("order_size"))).alias("global_avg_order_size"))
 
 
-def order_size(tables: Tables, level_name: str = "product", min_support: int = 30, ordered: bool = True) -> DataFrame:
+def _size_sums(tables: Tables, lvl, per_product: DataFrame | None) -> DataFrame:
+    return rolled_up(tables, size_moments(tables) if per_product is None else per_product, lvl)
+
+
+def order_size(
+    tables: Tables,
+    level_name: str = "product",
+    min_support: int = 30,
+    ordered: bool = True,
+    per_product: DataFrame | None = None,
+) -> DataFrame:
     """Q7 (product) / Q8 (department, as coded) / aisle: mean size of the
     orders holding the group's products, over distinct (product, order)
     rows, so an order with three products of a department counts three
@@ -95,18 +121,16 @@ def order_size_lift(
     tables: Tables,
     level_name: str = "product",
     min_support: int = 30,
-    baseline: Decimal | float | str | None = None,
+    baseline: Decimal | float | str | Column | None = None,
     ordered: bool = True,
+    per_product: DataFrame | None = None,
 ) -> DataFrame:
     """Q9 (product) / aisle: lift = group mean - baseline (sign opposite to
     the cycle lift), population stddev and z, over distinct (product, order)
     rows."""
     lvl = level(level_name)
-    rows = by_level(tables, sized(tables), lvl)
-    stats = rows.groupBy(*lvl.keys).agg(
-        mean2(F.col("order_size")).alias("_avg"),
-        stddev2(F.col("order_size")).alias("_sd"),
-        F.count(F.lit(1)).alias("number_of_orders"),
+    stats = _size_sums(tables, lvl, per_product).select(
+        *lvl.keys, mean().alias("_avg"), deviation().alias("_sd"), F.col("n").alias("number_of_orders")
     )
     stats = lvl.attach(tables, stats.where(F.col("number_of_orders") >= min_support))
     base = baseline_column(tables, baseline)
@@ -125,17 +149,16 @@ def order_size_lift_by_lines(
     tables: Tables,
     level_name: str = "department",
     min_support: int = 30,
-    baseline: Decimal | float | str | None = None,
+    baseline: Decimal | float | str | Column | None = None,
     ordered: bool = True,
+    per_product: DataFrame | None = None,
 ) -> DataFrame:
     """Q10 (step 6e, as coded): over *raw* line items, no dedupe, so a
-    product with two lines in an order counts twice. Computed from the
-    deduped frame with the line multiplicity ``m`` as weight."""
+    product with two lines in an order counts twice: the moments'
+    ``line_s1`` over ``lines``."""
     lvl = level(level_name)
-    rows = by_level(tables, sized(tables), lvl)
-    stats = rows.groupBy(*lvl.keys).agg(
-        weighted_mean2(F.col("order_size"), F.col("m")).alias("_avg"),
-        F.sum("m").alias("number_of_orders"),
+    stats = _size_sums(tables, lvl, per_product).select(
+        *lvl.keys, mean("line_s1", "lines").alias("_avg"), F.col("lines").alias("number_of_orders")
     )
     stats = lvl.attach(tables, stats.where(F.col("number_of_orders") >= min_support))
     base = baseline_column(tables, baseline)

@@ -7,9 +7,11 @@ line items, so it is computed from ``orders`` alone.
 
 Plan shape: line items join the non-first orders on order_id (the one big
 shuffle join; orders too large for one reducer are split off and joined
-map-side, see ``cycle_events``), the catalog-sized level map is broadcast, and the per-group aggregate is
-partial + final, so a hot product never lands whole in one task. Global
-baselines are scalar subqueries, computed once, never cross-joined.
+map-side, see ``cycle_events``), and moments per product are partial + final
+sums, so a hot product never lands whole in one task; departments and aisles
+are sums of the products' moments (``moments.py``). On tables bucketed by
+order_id at load the join has no exchange. Global baselines are scalar
+subqueries, computed once, never cross-joined.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kartlens.functions.joins import HOT_ROWS, hot_key_join
-from kartlens.functions.rounding import as_double, difference2, mean2, ratio2, stddev2
+from kartlens.functions.rounding import as_double, difference2, mean2, ratio2
 from kartlens.functions.sequence import Sequence
 from kartlens.model import Tables
 from kartlens.operators.levels import by_level, level
+from kartlens.operators.moments import GAP_TYPE, deviation, mean, moments, rolled_up
 
 GAP = "days_since_prior_order"
 
@@ -54,20 +57,31 @@ def global_repurchase_cycle(tables: Tables) -> DataFrame:
     )
 
 
-def _group_stats(tables: Tables, lvl_name: str, spread: bool) -> tuple[DataFrame, object]:
+def cycle_moments(tables: Tables) -> DataFrame:
+    """(product_id, n, s1, s2) of the gaps of each product's events."""
+    return moments(cycle_events(tables), F.col(GAP), GAP_TYPE)
+
+
+def _group_stats(tables: Tables, lvl_name: str, spread: bool, per_product: DataFrame | None) -> tuple[DataFrame, object]:
     lvl = level(lvl_name)
-    events = by_level(tables, cycle_events(tables), lvl)
-    aggs = [mean2(F.col(GAP)).alias("_avg")]
+    sums = rolled_up(tables, cycle_moments(tables) if per_product is None else per_product, lvl)
+    cols = [mean().alias("_avg"), F.col("n").alias("number_of_repurchase_events")]
     if spread:
-        aggs.append(stddev2(F.col(GAP)).alias("_sd"))
-    aggs.append(F.count(F.lit(1)).alias("number_of_repurchase_events"))
-    return events.groupBy(*lvl.keys).agg(*aggs), lvl
+        cols.append(deviation().alias("_sd"))
+    return sums.select(*lvl.keys, *cols), lvl
 
 
-def repurchase_cycle(tables: Tables, level_name: str = "product", min_support: int = 30, ordered: bool = True) -> DataFrame:
+def repurchase_cycle(
+    tables: Tables,
+    level_name: str = "product",
+    min_support: int = 30,
+    ordered: bool = True,
+    per_product: DataFrame | None = None,
+) -> DataFrame:
     """Q2 (product) / Q3 (department) / aisle: mean cycle and event count of
-    each group with at least ``min_support`` events, fastest first."""
-    stats, lvl = _group_stats(tables, level_name, spread=False)
+    each group with at least ``min_support`` events, fastest first.
+    ``per_product`` may be the stored ``cycle_moments``."""
+    stats, lvl = _group_stats(tables, level_name, False, per_product)
     stats = lvl.attach(tables, stats.where(F.col("number_of_repurchase_events") >= min_support))
     avg_col = f"{lvl.prefix}_avg_repurchase_cycle"
     out = stats.select(*lvl.label(), as_double(F.col("_avg")).alias(avg_col), "number_of_repurchase_events")
@@ -80,6 +94,8 @@ def repurchase_lift(
     min_support: int = 30,
     spread: bool | None = None,
     ordered: bool = True,
+    per_product: DataFrame | None = None,
+    base: Column | None = None,
 ) -> DataFrame:
     """Q4 (product) / Q5 (department) / aisle: lift = global - group mean
     (higher = re-bought sooner than usual).
@@ -87,13 +103,14 @@ def repurchase_lift(
     With ``spread`` (default at product and aisle level, as Q4 does), also
     the population standard deviation and z = lift / stddev, null when the
     rounded deviation is 0.00. Q5 has neither, so department level defaults
-    to without.
+    to without. ``per_product`` and ``base`` may be the stored moments and
+    global cycle.
     """
     if spread is None:
         spread = level_name != "department"
-    stats, lvl = _group_stats(tables, level_name, spread=spread)
+    stats, lvl = _group_stats(tables, level_name, spread, per_product)
     stats = lvl.attach(tables, stats.where(F.col("number_of_repurchase_events") >= min_support))
-    base = global_cycle(tables)
+    base = global_cycle(tables) if base is None else base
     cols = [*lvl.label(), as_double(F.col("_avg")).alias(f"{lvl.prefix}_avg_repurchase_cycle")]
     if spread:
         cols.append(as_double(F.col("_sd")).alias("stddev_repurchase_cycle"))

@@ -2,16 +2,14 @@
 
 The reference creates ``repurchase_lift_results`` (step 5d) and
 ``order_lift_results`` (step 6d) as tables and its export reads them
-back. Here they are written as parquet (overwrite, so a rerun replaces
-them) under a work folder on shared storage, by default the session's
-checkpoint folder, and scanned back; the export and the dashboard data
-read those scans instead of recomputing both metric sets.
+back. Here they are stored once for each set of parameters they depend on
+(``stored.py``) and scanned back; the export and the dashboard data read those
+scans instead of recomputing both metric sets. ``run_reference_steps``
+publishes them with the extract as one version of an output folder.
 """
 
 from __future__ import annotations
 
-import hashlib
-import threading
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
@@ -20,52 +18,49 @@ from kartlens.model import Tables
 from kartlens.operators.export import behavior_export
 from kartlens.operators.ordersize import order_size_lift
 from kartlens.operators.repurchase import repurchase_lift
-from kartlens.session import ensure_checkpoint_dir
+from kartlens.plans import stored
+from kartlens.sources import publish
 from kartlens.sources.parquet import read_result, write_result
 
 REPURCHASE_TABLE = "repurchase_lift_results"
 ORDER_SIZE_TABLE = "order_lift_results"
 EXPORT_TABLE = "product_behavior_export"
+CSV_TABLE = f"{EXPORT_TABLE}_csv"
 
-_write_lock = threading.Lock()
+Baseline = Decimal | float | str | None
 
 
-def work_root(tables: Tables) -> str:
-    spark = tables.orders.sparkSession
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/kartlens-results/{spark.sparkContext.applicationId}/{id(tables)}"
+def repurchase_table(tables: Tables, min_events: int = 30) -> DataFrame:
+    """The Q4 table (S4): no baseline of order sizes is in it."""
 
+    def build() -> DataFrame:
+        return repurchase_lift(
+            tables,
+            "product",
+            min_events,
+            ordered=False,
+            per_product=stored.cycles(tables),
+            base=stored.baseline(tables, "global_cycle"),
+        )
 
-def _metric_paths(
-    tables: Tables,
-    min_events: int,
-    min_orders: int,
-    baseline: Decimal | float | str | None,
-    root: str | None,
-) -> tuple[str, str]:
-    key = ("metrics", min_events, min_orders, None if baseline is None else str(baseline), root)
-    cache = tables._counts
-    with _write_lock:
-        if key not in cache:
-            tag = hashlib.sha1(repr(key).encode()).hexdigest()[:10]
-            base = f"{(root or work_root(tables)).rstrip('/')}/{tag}"
-            rep_path, size_path = f"{base}/{REPURCHASE_TABLE}", f"{base}/{ORDER_SIZE_TABLE}"
-            write_result(repurchase_lift(tables, "product", min_events, ordered=False), rep_path)
-            write_result(order_size_lift(tables, "product", min_orders, baseline, ordered=False), size_path)
-            cache[key] = (rep_path, size_path)
-        return cache[key]
+    return stored.stored(tables, f"{REPURCHASE_TABLE}-{min_events}", build)
+
+
+def order_size_table(tables: Tables, min_orders: int = 30, baseline: Baseline = None) -> DataFrame:
+    """The Q9 table."""
+
+    def build() -> DataFrame:
+        base = stored.baseline(tables, "global_size") if baseline is None else baseline
+        return order_size_lift(tables, "product", min_orders, base, ordered=False, per_product=stored.sizes(tables))
+
+    return stored.stored(tables, f"{ORDER_SIZE_TABLE}-{min_orders}-{baseline}", build)
 
 
 def product_metrics(
-    tables: Tables,
-    min_events: int = 30,
-    min_orders: int = 30,
-    baseline: Decimal | float | str | None = None,
-    root: str | None = None,
+    tables: Tables, min_events: int = 30, min_orders: int = 30, baseline: Baseline = None
 ) -> tuple[DataFrame, DataFrame]:
     """(Q4 table, Q9 table): written once per ``Tables`` and parameters, then scanned."""
-    rep_path, size_path = _metric_paths(tables, min_events, min_orders, baseline, root)
-    spark = tables.orders.sparkSession
-    return read_result(spark, rep_path), read_result(spark, size_path)
+    return repurchase_table(tables, min_events), order_size_table(tables, min_orders, baseline)
 
 
 def export_from_tables(
@@ -73,12 +68,22 @@ def export_from_tables(
     min_events: int = 30,
     min_orders: int = 30,
     min_pairs: int = 30,
-    baseline: Decimal | float | str | None = None,
+    baseline: Baseline = None,
     ordered: bool = True,
 ) -> DataFrame:
-    """Q13 over the materialized Q4 / Q9 tables."""
+    """Q13 over the stored Q4, Q9 and pair tables."""
     rep, size = product_metrics(tables, min_events, min_orders, baseline)
-    return behavior_export(tables, min_events, min_orders, min_pairs, baseline, ordered, repurchase=rep, order_size=size)
+    return behavior_export(
+        tables,
+        min_events,
+        min_orders,
+        min_pairs,
+        baseline,
+        ordered,
+        repurchase=rep,
+        order_size=size,
+        pairs=stored.pairs(tables, min_pairs),
+    )
 
 
 def run_reference_steps(
@@ -87,33 +92,31 @@ def run_reference_steps(
     min_events: int = 30,
     min_orders: int = 30,
     min_pairs: int = 30,
-    baseline: Decimal | float | str | None = None,
+    baseline: Baseline = None,
     csv: bool = True,
 ) -> dict[str, str]:
-    """Steps 5d, 6d and the export end to end: writes the two metric tables
-    and the extract (parquet, plus a CSV with header for the dashboard
-    import) under ``out_root``; returns the paths written."""
-    root = out_root.rstrip("/")
-    rep_path, size_path = _metric_paths(tables, min_events, min_orders, baseline, root)
-    spark = tables.orders.sparkSession
-    extract = behavior_export(
-        tables,
-        min_events,
-        min_orders,
-        min_pairs,
-        baseline,
-        ordered=False,
-        repurchase=read_result(spark, rep_path),
-        order_size=read_result(spark, size_path),
-    )
-    paths = {REPURCHASE_TABLE: rep_path, ORDER_SIZE_TABLE: size_path, EXPORT_TABLE: f"{root}/{EXPORT_TABLE}"}
-    write_result(extract, paths[EXPORT_TABLE])
+    """Steps 5d, 6d and the export end to end: publishes the two metric tables
+    and the extract (parquet, plus a CSV with header for the dashboard import)
+    as a new version of ``out_root`` (``publish.py``); returns the paths written.
+    A reader of the version before is not disturbed, and a run that dies
+    leaves it current."""
+    root, spark = out_root.rstrip("/"), tables.orders.sparkSession
+    rep, size = product_metrics(tables, min_events, min_orders, baseline)
+    frames = {
+        REPURCHASE_TABLE: rep,
+        ORDER_SIZE_TABLE: size,
+        EXPORT_TABLE: export_from_tables(tables, min_events, min_orders, min_pairs, baseline, ordered=False),
+    }
+    made = publish.begin(root)
+    for name, df in frames.items():
+        write_result(df, made.path(name))
     if csv:
         # A sorted CSV folder for the dashboard tool; the sort is the output's
         # presentation, done once on the small final result.
-        sorted_extract = read_result(tables.orders.sparkSession, paths[EXPORT_TABLE]).orderBy(
+        sorted_extract = read_result(spark, made.path(EXPORT_TABLE)).orderBy(
             "percent_anchor_orders", "anchor_id", "co_product_id", ascending=[False, True, True]
         )
-        paths[EXPORT_TABLE + "_csv"] = f"{root}/{EXPORT_TABLE}_csv"
-        write_result(sorted_extract, paths[EXPORT_TABLE + "_csv"], fmt="csv")
-    return paths
+        write_result(sorted_extract, made.path(CSV_TABLE), fmt="csv")
+    names = [*frames, *([CSV_TABLE] if csv else [])]
+    made = publish.switch(spark, root, made.name, dict.fromkeys(frames))
+    return {name: made.path(name) for name in names}

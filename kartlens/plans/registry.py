@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kartlens.model import Tables
 from kartlens.operators import copurchase, dashboard, ordersize, repurchase, validate
+from kartlens.plans import stored
 from kartlens.plans.materialize import export_from_tables, product_metrics
 from kartlens.session import ensure_checkpoint_dir
 from kartlens.sources.testdata import ingest, read_ingested
@@ -58,6 +59,26 @@ def _metrics(t: Tables) -> dict:
     return {"min_events": T, "min_orders": T, "repurchase": rep, "order_size": size}
 
 
+def _cycle(level: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: repurchase.repurchase_cycle(t, level, T, per_product=stored.cycles(t))
+
+
+def _cycle_lift(level: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: repurchase.repurchase_lift(
+        t, level, T, per_product=stored.cycles(t), base=stored.baseline(t, "global_cycle")
+    )
+
+
+def _size(level: str) -> Callable[[Tables], DataFrame]:
+    return lambda t: ordersize.order_size(t, level, T, per_product=stored.sizes(t))
+
+
+def _size_lift(fn: Callable, level: str, baseline=None) -> Callable[[Tables], DataFrame]:
+    return lambda t: fn(
+        t, level, T, stored.baseline(t, "global_size") if baseline is None else baseline, per_product=stored.sizes(t)
+    )
+
+
 def _q(fn: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: fn(tables_for(spark, sf_dir))
 
@@ -75,25 +96,25 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "unmatched_references": validate.unmatched_references,
     # Q1-Q5
     "global_repurchase_cycle": repurchase.global_repurchase_cycle,
-    "repurchase_cycle_by_product": lambda t: repurchase.repurchase_cycle(t, "product", T),
-    "repurchase_cycle_by_department": lambda t: repurchase.repurchase_cycle(t, "department", T),
-    "repurchase_lift_by_product": lambda t: repurchase.repurchase_lift(t, "product", T),
-    "repurchase_lift_by_department": lambda t: repurchase.repurchase_lift(t, "department", T),
+    "repurchase_cycle_by_product": _cycle("product"),
+    "repurchase_cycle_by_department": _cycle("department"),
+    "repurchase_lift_by_product": _cycle_lift("product"),
+    "repurchase_lift_by_department": _cycle_lift("department"),
     # Q6-Q10
     "global_order_size": ordersize.global_order_size,
-    "order_size_by_product": lambda t: ordersize.order_size(t, "product", T),
-    "order_size_by_department": lambda t: ordersize.order_size(t, "department", T),
-    "order_size_lift_by_product": lambda t: ordersize.order_size_lift(t, "product", T),
-    "order_size_lift_by_product_fixed": lambda t: ordersize.order_size_lift(
-        t, "product", T, baseline=ordersize.REFERENCE_BASELINE
+    "order_size_by_product": _size("product"),
+    "order_size_by_department": _size("department"),
+    "order_size_lift_by_product": _size_lift(ordersize.order_size_lift, "product"),
+    "order_size_lift_by_product_fixed": _size_lift(
+        ordersize.order_size_lift, "product", ordersize.REFERENCE_BASELINE
     ),
-    "order_size_lift_by_department": lambda t: ordersize.order_size_lift_by_lines(t, "department", T),
-    "order_size_lift_by_department_fixed": lambda t: ordersize.order_size_lift_by_lines(
-        t, "department", T, baseline=ordersize.REFERENCE_BASELINE
+    "order_size_lift_by_department": _size_lift(ordersize.order_size_lift_by_lines, "department"),
+    "order_size_lift_by_department_fixed": _size_lift(
+        ordersize.order_size_lift_by_lines, "department", ordersize.REFERENCE_BASELINE
     ),
     # Q11-Q13
-    "copurchase_pairs": lambda t: copurchase.copurchase_pairs(t, PAIR_T),
-    "copurchase_share": lambda t: copurchase.copurchase_share(t, PAIR_T),
+    "copurchase_pairs": lambda t: copurchase.copurchase_pairs(t, PAIR_T, pairs=stored.pairs(t, PAIR_T)),
+    "copurchase_share": lambda t: copurchase.copurchase_share(t, PAIR_T, pairs=stored.pairs(t, PAIR_T)),
     "copurchase_pairs_by_aisle": lambda t: copurchase.copurchase_share_by_aisle(t, T),
     "product_behavior_export": lambda t: export_from_tables(t, T, T, PAIR_T),
     "product_behavior_export_fixed": lambda t: export_from_tables(
@@ -104,16 +125,24 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "relative_scores": lambda t: dashboard.relative_scores(t, **_metrics(t)),
     "influence_index": lambda t: dashboard.influence_index(t, **_metrics(t)),
     "behavior_quadrants": lambda t: dashboard.behavior_quadrants(t, **_metrics(t)),
-    "kpi_cards": lambda t: dashboard.kpi_cards(t, **_metrics(t)),
-    "top_coproducts": lambda t: dashboard.top_coproducts(t, PAIR_T, TOP_K),
+    "kpi_cards": lambda t: dashboard.kpi_cards(
+        t,
+        cycle_base=stored.baseline(t, "global_cycle"),
+        size_base=stored.baseline(t, "global_size"),
+        orders_with_lines=stored.baseline(t, "orders_with_lines"),
+        **_metrics(t),
+    ),
+    "top_coproducts": lambda t: dashboard.top_coproducts(t, PAIR_T, TOP_K, pairs=stored.pairs(t, PAIR_T)),
     # X1-X4
     "true_repurchase_cycle_by_department": lambda t: repurchase.same_product_cycle(t, "department", T),
     "order_size_by_department_once": lambda t: ordersize.order_size_once(t, "department", T),
-    "copurchase_share_symmetric": lambda t: copurchase.copurchase_share(t, PAIR_T, symmetric=True),
-    "repurchase_cycle_by_aisle": lambda t: repurchase.repurchase_cycle(t, "aisle", T),
-    "repurchase_lift_by_aisle": lambda t: repurchase.repurchase_lift(t, "aisle", T),
-    "order_size_by_aisle": lambda t: ordersize.order_size(t, "aisle", T),
-    "order_size_lift_by_aisle": lambda t: ordersize.order_size_lift(t, "aisle", T),
+    "copurchase_share_symmetric": lambda t: copurchase.copurchase_share(
+        t, PAIR_T, symmetric=True, pairs=stored.pairs(t, PAIR_T)
+    ),
+    "repurchase_cycle_by_aisle": _cycle("aisle"),
+    "repurchase_lift_by_aisle": _cycle_lift("aisle"),
+    "order_size_by_aisle": _size("aisle"),
+    "order_size_lift_by_aisle": _size_lift(ordersize.order_size_lift, "aisle"),
 }
 
 

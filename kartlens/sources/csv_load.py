@@ -11,6 +11,10 @@ as quote. The reader settings reproduce a strict SQL bulk load:
 * ``enforceSchema=False``: the header names are checked against the
   declared schema, by position.
 
+``ingest_csv`` loads all six files or none: it reads the same way, but as text
+that is checked and cast record by record, so that it can report every rejected
+record with its file and reason before anything is published.
+
 ``multiLine`` (newlines inside quoted fields) makes a file unsplittable,
 so it is only used for the text dimension files; the large numeric files
 (orders, line items) are read split across tasks.
@@ -18,10 +22,17 @@ so it is only used for the text dimension files; the large numeric files
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kartlens.model import Tables
-from kartlens.sources.parquet import read_tables, write_tables
+from kartlens.session import folder_bytes
+from kartlens.sources import publish
+from kartlens.sources.bucketed import bucket_count, has_hot_key
+from kartlens.sources.parquet import read_tables
 from kartlens.sources.schemas import TABLES
 
 TEXT_TABLES = frozenset({"products", "aisles", "departments"})
@@ -64,8 +75,129 @@ def load_csv_folder(spark: SparkSession, folder: str, with_train: bool = True) -
     )
 
 
+class LoadRejected(Exception):
+    """A load that published nothing. ``counts`` has each table's rejected
+    records, ``report`` the path of the report (file, record, reason)."""
+
+    def __init__(self, counts: dict[str, int], report: str):
+        self.counts, self.report = counts, report
+        told = ", ".join(f"{name}: {n}" for name, n in counts.items())
+        super().__init__(f"rejected records, nothing was loaded ({told}); see {report}")
+
+
+REASONS = "_reasons"
+CORRUPT = "_corrupt_record"
+FILE = "_file"
+
+
+def checked_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """One table's records with their declared types and ``_reasons``, an array
+    of what is wrong with each (empty: nothing), ``_file`` and the record's
+    text. Fields are read as text and cast here, so that a wrong one is named
+    instead of ending the read. A header with other names still ends it."""
+    schema, keys = TABLES[table]
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(CORRUPT, T.StringType())])
+    options = OPTIONS | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    reader = spark.read.schema(text).options(**options)
+    if table in TEXT_TABLES:
+        reader = reader.option("multiLine", "true")
+    raw = reader.csv(path).select("*", F.col("_metadata.file_path").alias(FILE))
+    short = F.col(CORRUPT).isNotNull()
+    reasons = [F.when(short, F.lit(f"not {len(schema.fields)} fields"))]
+    typed = []
+    for f in schema.fields:
+        value = F.col(f.name).try_cast(f.dataType)
+        typed.append(value.alias(f.name))
+        reasons.append(F.when(~short & F.col(f.name).isNotNull() & value.isNull(), F.lit(f"{f.name} is not {f.dataType.simpleString()}")))
+        if f.name in keys:
+            reasons.append(F.when(~short & F.col(f.name).isNull(), F.lit(f"{f.name} is null")))
+    record = F.coalesce(F.col(CORRUPT), F.to_csv(F.struct(*[f.name for f in schema.fields])))
+    return raw.select(
+        *typed, F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias(REASONS), FILE, record.alias("_record")
+    )
+
+
+def repeated_keys(df: DataFrame, table: str) -> DataFrame | None:
+    """The keys that more than one of ``df``'s rows have, as the declared
+    primary key forbids; None for a table without one."""
+    _, keys = TABLES[table]
+    if not keys:
+        return None
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
+
+
+def _layout(spark: SparkSession, folder: str) -> tuple[str, int] | None:
+    """Buckets by order_id for orders and prior lines; None where an order has
+    too many lines for a bucket. A line takes 8 bytes of CSV at least."""
+    path = f"{folder}/order_products__prior.csv"
+    most_rows = folder_bytes(spark, path) // 8
+    lines = checked_csv(spark, path, "order_products__prior").select("order_id")
+    if has_hot_key(lines, "order_id", most_rows):
+        return None
+    return "order_id", bucket_count(spark, most_rows // 2)
+
+
 def ingest_csv(spark: SparkSession, folder: str, out_root: str, with_train: bool = True) -> Tables:
-    """Load the CSVs (failing on malformed input) and store them as
-    parquet under ``out_root``; returns the tables scanned from parquet."""
-    write_tables(load_csv_folder(spark, folder, with_train), out_root)
+    """All tables or none. Every file is checked while it is written to a
+    new version of ``out_root``; only if no record of any file is rejected does
+    the version become the current one (``publish.py``). Otherwise the report of
+    rejected records is written to ``<out_root>/_rejects/<version>``, what was
+    written goes, the version before stays, and LoadRejected is raised.
+
+    Rejected are records with another number of fields, fields that are not of
+    the declared type, and null or repeated primary keys. Orders and prior
+    lines are bucketed by order_id. Returns the tables scanned from the
+    published version."""
+    base = folder.rstrip("/")
+    names = [n for n in TABLES if with_train or n != "order_products__train"]
+    layout = _layout(spark, base)
+    buckets = dict.fromkeys(("orders", "order_products__prior"), layout) if layout else {}
+    made = publish.begin(out_root)
+    try:
+        counts: dict[str, int] = {}
+        repeated: dict[str, DataFrame] = {}
+        for name in names:
+            seen = Observation(f"load {name}")
+            records = checked_csv(spark, f"{base}/{name}.csv", name)
+            records = records.observe(seen, F.count_if(F.size(REASONS) > 0).alias("rejected"))
+            publish.write(made, name, records.select(*TABLES[name][0].names), buckets.get(name))
+            counts[name] = seen.get["rejected"]
+            twice = repeated_keys(spark.read.parquet(made.path(name)).where(_no_null(name)), name)
+            if twice is not None and not twice.isEmpty():
+                repeated[name] = twice
+        rejected = [n for n in names if counts[n] or n in repeated]
+        if rejected:
+            report = f"{out_root.rstrip('/')}/_rejects/{made.name}"
+            written = _report(spark, base, rejected, repeated, report)
+            raise LoadRejected(written, report)
+    except BaseException:
+        publish.discard(spark, made)
+        raise
+    publish.switch(spark, made.root, made.name, {n: list(buckets[n]) if n in buckets else None for n in names})
     return read_tables(spark, out_root, with_train=with_train)
+
+
+def _no_null(table: str) -> Column:
+    keys = TABLES[table][1]
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+
+
+def _report(
+    spark: SparkSession, base: str, names: list[str], repeated: dict[str, DataFrame], path: str
+) -> dict[str, int]:
+    """Write (table, file, record, reason) for every fault; faults by table."""
+    parts = []
+    for name in names:
+        records = checked_csv(spark, f"{base}/{name}.csv", name)
+        keys = list(TABLES[name][1])
+        if name in repeated:
+            records = records.join(repeated[name].withColumn("_twice", F.lit(True)), keys, "left")
+            again = F.when(F.col("_twice"), F.array(F.lit(f"{', '.join(keys)} is repeated"))).otherwise(F.array().cast("array<string>"))
+            records = records.withColumn(REASONS, F.concat(REASONS, again))
+        parts.append(
+            records.select(
+                F.lit(name).alias("table"), F.col(FILE).alias("file"), F.col("_record").alias("record"), F.explode(REASONS).alias("reason")
+            )
+        )
+    reduce(DataFrame.unionByName, parts).write.parquet(path)
+    return {r["table"]: r["n"] for r in spark.read.parquet(path).groupBy("table").agg(F.count(F.lit(1)).alias("n")).collect()}

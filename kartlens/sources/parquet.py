@@ -1,8 +1,8 @@
 """The tables as parquet folders.
 
 ``write_tables`` stores a ``Tables`` as one parquet folder per table
-(``<root>/<table name>``); ``read_tables`` scans them back with the S1
-column names, so every query gets column pruning and filter pushdown at
+(``<root>/<table name>``); ``read_tables`` scans them, or the current version
+of a published load (``publish.py``), with the S1 column names, so every query gets column pruning and filter pushdown at
 the scan. ``write_result`` / ``read_result`` persist a metric table (the
 reference's create-table-as steps) idempotently: overwrite, never append.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from kartlens.model import Tables
+from kartlens.sources.publish import current
 from kartlens.sources.schemas import TABLES
 
 
@@ -27,8 +28,10 @@ def write_tables(tables: Tables, root: str) -> None:
 
 
 def read_tables(spark: SparkSession, root: str, with_train: bool = False) -> Tables:
+    version = current(spark, root)  # of a published load; a plain folder has none
+
     def read(name: str) -> DataFrame:
-        return spark.read.parquet(_path(root, name))
+        return spark.read.parquet(_path(root, name)) if version is None else version.read(spark, name)
 
     return Tables(
         orders=read("orders"),
