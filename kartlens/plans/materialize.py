@@ -11,8 +11,10 @@ publishes them with the extract as one version of an output folder.
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kartlens.model import Tables
 from kartlens.operators.export import behavior_export
@@ -20,7 +22,9 @@ from kartlens.operators.ordersize import order_size_lift
 from kartlens.operators.repurchase import repurchase_lift
 from kartlens.plans import stored
 from kartlens.sources import publish
+from kartlens.sources.csv_load import ingest_csv
 from kartlens.sources.parquet import read_result, write_result
+from kartlens.sources.schemas import TABLES
 
 REPURCHASE_TABLE = "repurchase_lift_results"
 ORDER_SIZE_TABLE = "order_lift_results"
@@ -108,8 +112,7 @@ def run_reference_steps(
         EXPORT_TABLE: export_from_tables(tables, min_events, min_orders, min_pairs, baseline, ordered=False),
     }
     made = publish.begin(root)
-    for name, df in frames.items():
-        write_result(df, made.path(name))
+    entries = {name: publish.write(made, name, df) for name, df in frames.items()}
     if csv:
         # A sorted CSV folder for the dashboard tool; the sort is the output's
         # presentation, done once on the small final result.
@@ -118,5 +121,38 @@ def run_reference_steps(
         )
         write_result(sorted_extract, made.path(CSV_TABLE), fmt="csv")
     names = [*frames, *([CSV_TABLE] if csv else [])]
-    made = publish.switch(spark, root, made.name, dict.fromkeys(frames))
+    made = publish.switch(spark, made, entries)
     return {name: made.path(name) for name in names}
+
+
+def published_extract(tables: Tables, min_events: int = 30, min_orders: int = 30, min_pairs: int = 30) -> DataFrame:
+    """S7 end to end: the steps published, and the extract read back from its
+    CSV files with the types it had."""
+    root, spark = f"{stored.work_root(tables)}/published", tables.orders.sparkSession
+    paths = run_reference_steps(tables, root, min_events, min_orders, min_pairs)
+    schema = read_result(spark, paths[EXPORT_TABLE]).schema
+    return spark.read.schema(schema).options(header=True, escape='"', enforceSchema=False).csv(paths[CSV_TABLE])
+
+
+def csv_round_trip(tables: Tables) -> DataFrame:
+    """S1, S2, V5 end to end: the tables written as CSV folders, loaded by the
+    all-or-nothing load, and profiled: (table_name, column_name, filled,
+    checksum) with the sum of a column's numbers (text: of its lengths) over the
+    non-null values."""
+    root, spark = f"{stored.work_root(tables)}/csv", tables.orders.sparkSession
+    names = [n for n in TABLES if tables.table(n) is not None]
+    for name in names:
+        schema = TABLES[name][0]
+        df = tables.table(name).select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        write_result(df, f"{root}/in/{name}.csv", fmt="csv")
+    loaded = ingest_csv(spark, f"{root}/in", f"{root}/loaded", with_train="order_products__train" in names)
+    parts = []
+    for name in names:
+        df = loaded.table(name)
+        aggs, stack = [], []
+        for f in TABLES[name][0].fields:
+            value = F.length(f.name) if f.dataType.simpleString() == "string" else F.col(f.name)
+            aggs += [F.count(f.name).alias(f"n_{f.name}"), F.sum(value.cast("double")).cast("long").alias(f"s_{f.name}")]
+            stack.append(F.struct(F.lit(f.name).alias("column_name"), F.col(f"n_{f.name}").alias("filled"), F.col(f"s_{f.name}").alias("checksum")))
+        parts.append(df.agg(*aggs).select(F.lit(name).alias("table_name"), F.inline(F.array(*stack))))
+    return reduce(DataFrame.unionByName, parts)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kartlens.model import Tables
 from kartlens.operators import copurchase, dashboard, ordersize, repurchase, validate
 from kartlens.plans import stored
-from kartlens.plans.materialize import export_from_tables, product_metrics
+from kartlens.plans.materialize import csv_round_trip, export_from_tables, product_metrics, published_extract
 from kartlens.session import ensure_checkpoint_dir
 from kartlens.sources.testdata import ingest, read_ingested
 
@@ -94,6 +94,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "preview_departments": lambda t: validate.preview(t, "departments"),
     "key_violations": validate.key_violations,
     "unmatched_references": validate.unmatched_references,
+    # The tables as CSV, loaded again
+    "csv_round_trip": csv_round_trip,
     # Q1-Q5
     "global_repurchase_cycle": repurchase.global_repurchase_cycle,
     "repurchase_cycle_by_product": _cycle("product"),
@@ -120,6 +122,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "product_behavior_export_fixed": lambda t: export_from_tables(
         t, T, T, PAIR_T, baseline=ordersize.REFERENCE_BASELINE
     ),
+    # The extract as published, read back from its CSV
+    "published_extract": lambda t: published_extract(t, T, T, PAIR_T),
     # D1-D6, over the materialized Q4 / Q9 tables like the export
     "behavior_scatter": lambda t: dashboard.behavior_scatter(t, **_metrics(t)),
     "relative_scores": lambda t: dashboard.relative_scores(t, **_metrics(t)),

@@ -16,6 +16,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kartlens.functions.joins import HOT_ROWS, hot_limit
 
@@ -57,11 +58,10 @@ def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> DataFram
     return spark.table(_table(path))
 
 
-def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
-    """The table that ``write_bucketed`` wrote to ``path``."""
+def read_bucketed(spark: SparkSession, path: str, schema: StructType, key: str, buckets: int) -> DataFrame:
+    """The table with this schema that ``write_bucketed`` wrote to ``path``."""
     name = _table(path)
     if not spark.catalog.tableExists(name):
-        schema = spark.read.parquet(path).schema
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
         where = path.replace("'", "\\'")
         spark.sql(

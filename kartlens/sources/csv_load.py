@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,7 +93,7 @@ FILE = "_file"
 def checked_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """One table's records with their declared types and ``_reasons``, an array
     of what is wrong with each (empty: nothing), ``_file`` and the record's
-    text. Fields are read as text and cast here, so that a wrong one is named
+    text as ``_record``. Fields are read as text and cast here, so that a wrong one is named
     instead of ending the read. A header with other names still ends it."""
     schema, keys = TABLES[table]
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField(CORRUPT, T.StringType())])
@@ -123,7 +123,7 @@ def repeated_keys(df: DataFrame, table: str) -> DataFrame | None:
     _, keys = TABLES[table]
     if not keys:
         return None
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
+    return df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select(*keys)
 
 
 def _layout(spark: SparkSession, folder: str) -> tuple[str, int] | None:
@@ -140,9 +140,11 @@ def _layout(spark: SparkSession, folder: str) -> tuple[str, int] | None:
 def ingest_csv(spark: SparkSession, folder: str, out_root: str, with_train: bool = True) -> Tables:
     """All tables or none. Every file is checked while it is written to a
     new version of ``out_root``; only if no record of any file is rejected does
-    the version become the current one (``publish.py``). Otherwise the report of
-    rejected records is written to ``<out_root>/_rejects/<version>``, what was
-    written goes, the version before stays, and LoadRejected is raised.
+    the version become the current one (``publish.py``). Otherwise all files are
+    read once more for the report of rejected records in
+    ``<out_root>/_rejects/<version>``, what was written goes, the version before
+    stays, and LoadRejected is raised. Where the report is empty, the failure
+    was another and is raised as it came.
 
     Rejected are records with another number of fields, fields that are not of
     the declared type, and null or repeated primary keys. Orders and prior
@@ -154,50 +156,50 @@ def ingest_csv(spark: SparkSession, folder: str, out_root: str, with_train: bool
     buckets = dict.fromkeys(("orders", "order_products__prior"), layout) if layout else {}
     made = publish.begin(out_root)
     try:
-        counts: dict[str, int] = {}
-        repeated: dict[str, DataFrame] = {}
-        for name in names:
-            seen = Observation(f"load {name}")
-            records = checked_csv(spark, f"{base}/{name}.csv", name)
-            records = records.observe(seen, F.count_if(F.size(REASONS) > 0).alias("rejected"))
-            publish.write(made, name, records.select(*TABLES[name][0].names), buckets.get(name))
-            counts[name] = seen.get["rejected"]
-            twice = repeated_keys(spark.read.parquet(made.path(name)).where(_no_null(name)), name)
-            if twice is not None and not twice.isEmpty():
-                repeated[name] = twice
-        rejected = [n for n in names if counts[n] or n in repeated]
-        if rejected:
+        try:
+            tables = {
+                n: publish.write(made, n, _accepted(checked_csv(spark, f"{base}/{n}.csv", n), n), buckets.get(n)) for n in names
+            }
+            twice = [repeated_keys(spark.read.schema(TABLES[n][0]).parquet(made.path(n)), n) for n in names]
+            failed = None if all(t is None or t.isEmpty() for t in twice) else LoadRejected({}, "")
+        except Exception as e:  # a rejected record, or something else that ends a job
+            failed = e
+        if failed is not None:
             report = f"{out_root.rstrip('/')}/_rejects/{made.name}"
-            written = _report(spark, base, rejected, repeated, report)
-            raise LoadRejected(written, report)
+            counts = _report(spark, base, names, report)
+            if not counts:
+                raise failed
+            raise LoadRejected(counts, report) from failed
     except BaseException:
         publish.discard(spark, made)
         raise
-    publish.switch(spark, made.root, made.name, {n: list(buckets[n]) if n in buckets else None for n in names})
+    publish.switch(spark, made, tables)
     return read_tables(spark, out_root, with_train=with_train)
 
 
-def _no_null(table: str) -> Column:
-    keys = TABLES[table][1]
-    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+def _accepted(records: DataFrame, table: str) -> DataFrame:
+    """The records' fields; the first rejected record ends the job, so that good
+    files are read once."""
+    fine = F.when(F.size(REASONS) == 0, True).otherwise(F.raise_error(F.array_join(REASONS, "; ")).cast("boolean"))
+    return records.where(fine).select(*TABLES[table][0].names)
 
 
-def _report(
-    spark: SparkSession, base: str, names: list[str], repeated: dict[str, DataFrame], path: str
-) -> dict[str, int]:
-    """Write (table, file, record, reason) for every fault; faults by table."""
+def _report(spark: SparkSession, base: str, names: list[str], path: str) -> dict[str, int]:
+    """Write (table, file, record, reason) for every fault of every file;
+    faults by table."""
     parts = []
     for name in names:
         records = checked_csv(spark, f"{base}/{name}.csv", name)
         keys = list(TABLES[name][1])
-        if name in repeated:
-            records = records.join(repeated[name].withColumn("_twice", F.lit(True)), keys, "left")
+        if keys:
+            twice = repeated_keys(records, name).withColumn("_twice", F.lit(True))
             again = F.when(F.col("_twice"), F.array(F.lit(f"{', '.join(keys)} is repeated"))).otherwise(F.array().cast("array<string>"))
-            records = records.withColumn(REASONS, F.concat(REASONS, again))
+            records = records.join(twice, keys, "left").withColumn(REASONS, F.concat(REASONS, again))
         parts.append(
             records.select(
                 F.lit(name).alias("table"), F.col(FILE).alias("file"), F.col("_record").alias("record"), F.explode(REASONS).alias("reason")
             )
         )
     reduce(DataFrame.unionByName, parts).write.parquet(path)
-    return {r["table"]: r["n"] for r in spark.read.parquet(path).groupBy("table").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = spark.read.parquet(path).groupBy("table").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["table"]: r["n"] for r in found}

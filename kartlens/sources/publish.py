@@ -22,6 +22,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from kartlens.session import ensure_checkpoint_dir
 from kartlens.sources.bucketed import forget_bucketed, read_bucketed, write_bucketed
@@ -68,22 +69,24 @@ def _get(spark: SparkSession, path: str) -> str | None:
 
 @dataclass(frozen=True)
 class Version:
-    """One published version: table name -> its key and bucket count (null:
-    a plain folder); ``history`` lists versions, newest first."""
+    """One published version: table name -> its ``schema`` as JSON and its
+    ``buckets``, key and count (null: a plain folder); ``history`` lists
+    versions, newest first."""
 
     root: str
     name: str
-    tables: dict[str, list | None]
+    tables: dict[str, dict]
     history: tuple[str, ...]
 
     def path(self, table: str) -> str:
         return f"{self.root}/{self.name}/{table}"
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        layout = self.tables[table]
+        schema = StructType.fromJson(json.loads(self.tables[table]["schema"]))
+        layout = self.tables[table]["buckets"]
         if layout is None:
-            return spark.read.parquet(self.path(table))
-        return read_bucketed(spark, self.path(table), layout[0], layout[1])
+            return spark.read.schema(schema).parquet(self.path(table))
+        return read_bucketed(spark, self.path(table), schema, *layout)
 
 
 def current(spark: SparkSession, root: str) -> Version | None:
@@ -101,12 +104,13 @@ def begin(root: str) -> Version:
     return Version(root.rstrip("/"), f"v-{int(time.time()):011d}-{uuid.uuid4().hex[:12]}", {}, ())
 
 
-def write(version: Version, table: str, df: DataFrame, layout: tuple[str, int] | None = None) -> None:
-    """Write one table of a version that is not current yet."""
+def write(version: Version, table: str, df: DataFrame, layout: tuple[str, int] | None = None) -> dict:
+    """Write one table of a version that is not current yet; its manifest entry."""
     if layout is None:
         df.write.parquet(version.path(table))
     else:
         write_bucketed(df, version.path(table), *layout)
+    return {"schema": df.schema.json(), "buckets": list(layout) if layout else None}
 
 
 def discard(spark: SparkSession, version: Version) -> None:
@@ -125,19 +129,19 @@ def publish(
     ``buckets`` a table is bucketed by (key, count). Two publications at once
     each write a whole version; the later switch is the one that counts."""
     made, buckets = begin(root), buckets or {}
-    for table, df in tables.items():
-        write(made, table, df, buckets.get(table))
-    return switch(spark, made.root, made.name, {t: list(buckets[t]) if t in buckets else None for t in tables}, keep)
-
-
-def switch(spark: SparkSession, root: str, name: str, tables: dict[str, list | None], keep: int = KEEP_VERSIONS) -> Version:
-    """Make the written version ``name`` current and remove versions that are
-    no longer kept."""
-    before = current(spark, root)
-    history = (name, *(before.history if before else ()))
-    made = Version(root, name, tables, history[:keep])
-    _put(spark, f"{root}/{MANIFEST}", json.dumps({"version": name, "tables": tables, "history": made.history}))
-    drop_old(spark, root, history[keep:])
+    entries = {table: write(made, table, df, buckets.get(table)) for table, df in tables.items()}
+    return switch(spark, made, entries, keep)
+
+
+def switch(spark: SparkSession, version: Version, tables: dict[str, dict], keep: int = KEEP_VERSIONS) -> Version:
+    """Make a written version with these manifest entries current and remove
+    versions that are no longer kept."""
+    before = current(spark, version.root)
+    history = (version.name, *(before.history if before else ()))
+    made = Version(version.root, version.name, tables, history[:keep])
+    told = {"version": made.name, "tables": tables, "history": made.history}
+    _put(spark, f"{made.root}/{MANIFEST}", json.dumps(told))
+    drop_old(spark, made.root, history[keep:])
     return made
 
 
