@@ -68,8 +68,9 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    marked = minhash.fingerprinted(docs, "text", "fingerprint")
-    pairs = minhash.with_next(marked, ["text", "fingerprint"])
+    pairs = minhash.with_next(
+        docs, ["text", "fingerprint"], lambda rows: minhash.fingerprinted(rows, "text", "fingerprint")
+    )
     pairs = pairs.select("doc_id", "text", "fingerprint", "next_fingerprint", minhash.edited(F.col("text"), F.col("next_text")).alias("edited"))
     both = minhash.fingerprinted(pairs, "edited", "edited_fingerprint")
     return both.select(
