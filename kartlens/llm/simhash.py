@@ -21,10 +21,10 @@ largest member, never as all pairs:
   three in one block, a block can be masked so that at most one of them is in
   it and the pair meets under a plain such key. Three in one block leave the
   other 48 bits alike: only where unflipped rows of different components meet,
-  those rows also flip a bit of the masked block.
+  those rows also flip a bit of the block below the masked one.
 
-Components come from repeated contraction to the smallest neighbour; each
-round is a written table, so nothing is lost with an executor and nothing
+Components come from repeated contraction to a neighbour, in an order hashed
+anew each round; each round is a written table, so nothing is lost with an executor and nothing
 passes through the driver but a row count.
 """
 
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kartlens.llm.common import keyed, map_batches, stage, texts, words_spaced
+from kartlens.llm.common import map_batches, stage, texts, words_spaced
 
 SEED = 42
 BLOCK_BITS = 16
@@ -176,8 +176,10 @@ def _deep_links(met: DataFrame, blocks: int) -> DataFrame:
             return v.bitwiseAND(F.lit(LOW & ~(1 << j)).cast("long")).bitwiseOR(F.lit(j << BLOCK_BITS).cast("long"))
 
         plain = [fixed(F.col("value"), j) for j in masks]
+        # Of three differing bits the highest is masked and each row flips one
+        # of the other two, so flips lie below the mask.
         flipped = [
-            fixed(F.col("value").bitwiseXOR(F.lit(1 << i).cast("long")), j) for j in masks for i in masks if i != j
+            fixed(F.col("value").bitwiseXOR(F.lit(1 << i).cast("long")), j) for j in masks for i in masks if i < j
         ]
         sub = (
             met.withColumn("rot", _rotated(F.col("fp"), block))
@@ -194,16 +196,23 @@ def _deep_links(met: DataFrame, blocks: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(fp, root) for every vertex of ``edges`` (u, v): root is the smallest
-    vertex of its component. Each round every vertex moves to its smallest
-    neighbour and the edges follow; a third of all edges at one vertex is a
-    map-side combined minimum and an adaptively split join."""
+    """(fp, root) for every vertex of ``edges`` (u, v): root is one vertex of
+    its component, the same for all of them. Each round orders the vertices by
+    a hash of its own, every vertex moves to the first of itself and its
+    neighbours, and the edges follow. As the order is new each round, chains
+    shrink by a constant share whatever their values, so the rounds are
+    logarithmic. A third of all edges at one vertex is a map-side combined
+    minimum and an adaptively split join."""
     edges = stage(edges, "edges")
     rounds: list[DataFrame] = []
     while edges.head(1):
+
+        def placed(vertex: str, seed: int = len(rounds)):
+            return F.struct(F.xxhash64(vertex, F.lit(seed)).alias("h"), F.col(vertex).alias("x"))
+
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        moved = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p"))
-        moved = stage(moved, "moved")
+        first = both.groupBy("u").agg(F.min(placed("v")).alias("v"))
+        moved = stage(first.select("u", F.least(placed("u"), F.col("v"))["x"].alias("p")), "moved")
         rounds.append(moved)
         edges = stage(
             edges.join(moved, "u")
@@ -250,22 +259,21 @@ def _labelled(rows: DataFrame, max_bits: int, first) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, ngram: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row
-    with the smallest id stays (of rows that repeat it the one with the
-    smallest hash of its values), and of its rows without an id, which can't
-    stand for those that have one, the one with the smallest hash. Rows are
-    told apart by a key of their own, so unrelated texts that share an id, or
-    have none, stand for their own components."""
-    rows = stage(keyed(docs), "rows")
-    key = F.struct("doc_id", "__hash", "__row").alias("__key")
-    prints = stage(fingerprints(rows.select(key, "text"), ngram, "__key"), "fingerprints")
-    named = F.col("__key.doc_id").isNotNull()
-    first = F.struct(
-        F.min(F.when(named, F.col("__key"))).alias("named"), F.min(F.when(~named, F.col("__key"))).alias("unnamed")
+    """The rows of ``docs`` without near-duplicates: of each component one row
+    stays, the one with the smallest id (of rows that repeat it the one with
+    the smallest hash of its values), or where no row has an id the one with
+    the smallest hash. Rows are told apart by a key of their own, so unrelated
+    texts that share an id, or have none, stand for their own components.
+    Other columns pass through, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = stage(
+        packed.select("doc", F.monotonically_increasing_id().alias("row"), F.xxhash64("doc").alias("hash")), "rows"
     )
-    best = _labelled(prints, max_bits, first).groupBy("root").agg(F.min("first.named").alias("a"), F.min("first.unnamed").alias("b"))
-    kept = best.select(F.explode(F.array("a.__row", "b.__row")).alias("__row")).where(F.col("__row").isNotNull())
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    # Nulls are the least of a struct's values, so a flag puts them last.
+    key = F.struct(F.col("doc.doc_id").isNull().alias("unnamed"), F.col("doc.doc_id").alias("id"), "hash", "row").alias("key")
+    prints = stage(fingerprints(rows.select(key, F.col("doc.text").alias("text")), ngram, "key"), "fingerprints")
+    best = _labelled(prints, max_bits, F.min("key")).groupBy("root").agg(F.min("first").alias("first"))
+    return rows.join(best.select(F.col("first.row").alias("row")), "row", "left_semi").select("doc.*")
 
 
 def hex_fingerprint(fp):

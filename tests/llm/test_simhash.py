@@ -95,7 +95,24 @@ def test_corner_rows(spark):
     assert got == sorted(((d, f, roots[f]) for d, f in fps), key=str)
     kept = simhash.keep_one(df)
     assert kept.columns == ["doc_id", "text", "fp"]
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 4, 7, 8, None]
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 4, 7, 8]
+
+
+def test_a_chain_takes_few_rounds(spark, monkeypatch):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1_000)], "u long, v long")
+    staged = []
+    stage = simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, name: (staged.append(name), stage(df, name))[1])
+    found = simhash.components(chain).collect()
+    assert len(found) == 1_001 and len({r["root"] for r in found}) == 1
+    assert staged.count("moved") <= 15
+
+
+def test_keep_one_passes_clashing_columns_through(spark):
+    names = ["__row", "__hash", "__key", "doc", "row", "hash", "key", "fp", "root", "first", "copy"]
+    df = spark.createDataFrame([(1, "a b c d", *names), (2, "a b c d", *names)], ["doc_id", "text", *names])
+    assert [tuple(r) for r in simhash.keep_one(df).collect()] == [(1, "a b c d", *names)]
+    assert simhash.keep_one(df).columns == df.columns
 
 
 def test_empty_table(spark):
