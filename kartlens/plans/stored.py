@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kartlens.functions.rounding import mean2
 from kartlens.model import Tables
 from kartlens.operators import pairtable
-from kartlens.operators.ordersize import global_size, order_sizes, size_moments
+from kartlens.operators.ordersize import order_sizes, size_moments
 from kartlens.operators.repurchase import cycle_moments, global_cycle
 from kartlens.session import ensure_checkpoint_dir
 from kartlens.sources.bucketed import bucket_count, has_hot_key, write_bucketed
