@@ -13,7 +13,10 @@ span.
 Everything on the data path is DataFrame expressions: regular expressions for
 the generators, sums of CASE trees for the scores, so that no document is
 shuffled. Patterns are written without backtracking (possessive parts, starts
-tied to the start of a run), so very long texts take linear time.
+tied to the start of a run); positions, overlaps and cuts come from running
+sums, running maxima and bisection over the matches, never from a pass over
+all of them for each, so very long texts take time near linear in text and
+matches.
 """
 
 from __future__ import annotations
@@ -63,6 +66,7 @@ CUES = {
     "card": r"(?i)(?:card|visa|credit|account|pay)\W{0,3}(?:\w+\W+)?$",
     "phone": r"(?i)(?:phone|tel|call|mobile|fax|dial)\W{0,3}(?:\w+\W+)?$",
 }
+BLOCK = 256  # characters of a text that are cut at a time
 CONTEXT = 24  # characters before a span that are context
 MAX_TRAIN = 4_000  # distinct candidates of a kind and verdict that may train
 TREES, DEPTH = 8, 3
@@ -101,37 +105,60 @@ def valid(kind: str, match: Column) -> Column:
     return n.between(8, 15)
 
 
+def bound(value: Column, fn) -> Column:
+    """``fn`` of ``value``, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def running(values: Column, combine) -> Column:
+    """The running ``combine`` (sum or greatest) over an array without nulls:
+    after step k every element holds that of the last 2^k up to it."""
+
+    def step(acc: Column, k: Column) -> Column:
+        return F.transform(
+            acc, lambda v, i: bound(F.get(acc, i - F.call_function("shiftleft", F.lit(1), k)), lambda e: F.when(e.isNull(), v).otherwise(combine(e, v)))
+        )
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + F.lit(1))).cast("int"))
+    return F.aggregate(steps, values, step)
+
+
+def count_below(rising: Column, x: Column) -> Column:
+    """How many elements of a sorted array are less than ``x``, by bisection."""
+    steps = F.sequence(F.ceil(F.log2(F.size(rising) + F.lit(1))).cast("int"), F.lit(0))
+
+    def step(n: Column, k: Column) -> Column:
+        ahead = n + F.call_function("shiftleft", F.lit(1), k)
+        return F.when(F.get(rising, ahead - 1) < x, ahead).otherwise(n)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
 def found(text: Column, pattern: str, hint: str) -> Column:
     """array<struct<start, match, before>> of the pattern's leftmost
     non-overlapping matches; positions in code points. What lies between the
-    matches gives their positions, so the text is read a fixed number of
-    times."""
+    matches gives their positions by a running sum, so the text is read a
+    fixed number of times."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    located = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), matches.alias("match")),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_LOCATED).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))).cast("long").alias("at"),
-            F.when(
-                x["match"].isNotNull(),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.length(x["gap"])).cast("long").alias("start"),
-                            x["match"].alias("match"),
-                            F.substring(x["gap"], -CONTEXT, CONTEXT).alias("before"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(hint), located).otherwise(F.array().cast(_LOCATED))
+
+    def located(pieces: Column) -> Column:
+        lengths = F.transform(
+            pieces, lambda x: (F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))).cast("long")
+        )
+        placed = F.zip_with(
+            pieces,
+            running(lengths, lambda a, b: a + b),
+            lambda x, end: F.struct(
+                (end - F.length(x["match"])).alias("start"),
+                x["match"].alias("match"),
+                F.substring(x["gap"], -CONTEXT, CONTEXT).alias("before"),
+            ),
+        )
+        return F.filter(placed, lambda x: x["match"].isNotNull()).cast(_LOCATED)
+
+    every = bound(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), located)
+    return F.when(text.rlike(hint), every).otherwise(F.array().cast(_LOCATED))
 
 
 _LOCATED = "array<struct<start:bigint,match:string,before:string>>"
@@ -293,32 +320,59 @@ def _span(kind: int, x: Column, base: bool) -> Column:
     )
 
 
+def _overlaps(spans: Column, fn) -> Column:
+    """``fn`` of a test whether a (start, end) overlaps one of ``spans``: of
+    those that start before its end the greatest end lies beyond its start."""
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def over(b: Column) -> Column:
+        parts = F.struct(
+            F.transform(b, lambda s: s["start"]).alias("starts"),
+            running(F.transform(b, lambda s: s["end"]), F.greatest).alias("reach"),
+        )
+        return bound(
+            parts,
+            lambda p: fn(
+                lambda start, end: F.coalesce(F.get(p["reach"], count_below(p["starts"], end) - 1) > start, F.lit(False))
+            ),
+        )
+
+    return bound(by_start, over)
+
+
 def spans(docs: DataFrame, model: Model, column: str = "__spans") -> DataFrame:
     """``docs`` with an array of (kind, start, end, base) by kind and start as
     ``column``; kind is the index in KINDS, positions are code points.
 
     Null and empty texts have no spans. Spans of different kinds may overlap;
     an added span overlaps no base span. Repeated rows are searched each;
-    other columns pass through, whatever their names; no shuffle."""
-    names = docs.columns
-    text = F.coalesce(F.col("text"), F.lit(""))
-    kept = docs.select("*", text.alias("__text"))
-    base = [found(F.col("__text"), BASE[k], HINTS[k]) for k in KINDS]
-    kept = kept.select("*", *[b.alias(f"__base{i}") for i, b in enumerate(base)])
+    other columns pass through, whatever their names, but one named
+    ``column``, in place of which the spans stand; no shuffle."""
+    packed = _searched(docs, model)
+    return packed.select(
+        *[F.col("doc")[c].alias(c) for c in docs.columns if c.lower() != column.lower()], F.col("spans").alias(column)
+    )
+
+
+def _searched(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc, spans): each row of ``docs`` as a struct, and its spans."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kept = packed.select("doc", F.coalesce(F.col("doc.text"), F.lit("")).alias("text"))
+    kept = kept.select("*", *[found(F.col("text"), BASE[k], HINTS[k]).alias(f"base{i}") for i, k in enumerate(KINDS)])
 
     def accepted(i: int, k: str) -> Column:
-        good = F.filter(F.col(f"__base{i}"), lambda x: F.coalesce(valid(k, x["match"]), F.lit(False)))
+        good = F.filter(F.col(f"base{i}"), lambda x: F.coalesce(valid(k, x["match"]), F.lit(False)))
         return F.transform(good, lambda x: _span(i, x, True))
 
-    kept = kept.select(*names, "__text", F.concat(*[accepted(i, k) for i, k in enumerate(KINDS)]).alias("__base"))
+    kept = kept.select("doc", "text", F.concat(*[accepted(i, k) for i, k in enumerate(KINDS)]).alias("base"))
     loose = [i for i in range(len(KINDS)) if model.thresholds[i] < NEVER]
     if not loose:
-        return kept.select(*names, F.col("__base").alias(column))
-    kept = kept.select("*", *[found(F.col("__text"), *LOOSE[KINDS[i]]).alias(f"__loose{i}") for i in loose])
+        return kept.select("doc", F.col("base").alias("spans"))
+    kept = kept.select("*", *[found(F.col("text"), *LOOSE[KINDS[i]]).alias(f"loose{i}") for i in loose])
 
     def added(i: int) -> Column:
         scored = F.transform(
-            F.col(f"__loose{i}"),
+            F.col(f"loose{i}"),
             lambda x: F.struct(
                 _span(i, x, False).alias("span"),
                 F.struct(
@@ -326,17 +380,13 @@ def spans(docs: DataFrame, model: Model, column: str = "__spans") -> DataFrame:
                 ).alias("values"),
             ),
         )
-        good = F.filter(
-            scored,
-            lambda y: (model.score(y["values"]) >= model.thresholds[i])
-            & ~F.exists(
-                "__base", lambda b: (b["start"] < y["span"]["end"]) & (y["span"]["start"] < b["end"])
-            ),
-        )
+        good = F.filter(scored, lambda y: model.score(y["values"]) >= model.thresholds[i])
         return F.transform(good, lambda y: y["span"])
 
-    every = F.concat("__base", *[added(i) for i in loose])
-    return kept.select(*names, F.sort_array(every).alias(column))
+    kept = kept.select("doc", "base", F.concat(*[added(i) for i in loose]).alias("added"))
+    apart = _overlaps(F.col("base"), lambda meets: F.filter("added", lambda s: ~meets(s["start"], s["end"])))
+    every = F.when(F.size("added") > 0, F.sort_array(F.concat("base", apart))).otherwise(F.sort_array("base"))
+    return kept.select("doc", every.alias("spans"))
 
 
 def listed(found_spans: Column) -> Column:
@@ -353,33 +403,51 @@ def listed(found_spans: Column) -> Column:
     )
 
 
+def cut_out(text: Column, taken: Column, tags: Column) -> Column:
+    """``text`` with its ``taken`` spans, (start, end, kind) by start, replaced
+    by their tags; of overlapping ones only the first gets a tag. The text is
+    cut into blocks of ``BLOCK`` characters once, and every piece between
+    spans is taken from the blocks it lies in."""
+
+    def joined(p: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            def part(j: Column) -> Column:
+                start = F.greatest(a - j * BLOCK, F.lit(0))
+                upto = F.least(b - j * BLOCK, F.lit(BLOCK))
+                return F.substring(F.get(p["blocks"], j.cast("int")), (start + 1).cast("int"), (upto - start).cast("int"))
+
+            blocks = F.sequence(F.floor(a / BLOCK), F.floor((b - 1) / BLOCK))
+            return F.when(a < b, F.array_join(F.transform(blocks, part), "")).otherwise("")
+
+        def replaced(s: Column, i: Column) -> Column:
+            at = F.coalesce(F.get(p["reach"], i - 1), F.lit(0).cast("long"))
+            tagged = F.concat(piece(at, s["start"]), F.element_at(tags, s["kind"] + 1))
+            return F.when(s["start"] >= at, tagged).otherwise("")
+
+        last = F.get(p["reach"], F.size(p["reach"]) - 1)
+        return F.concat(F.array_join(F.transform(taken, replaced), ""), piece(last, F.length(text).cast("long")))
+
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"),
+        running(F.transform(taken, lambda s: s["end"]), F.greatest).alias("reach"),
+    )
+    return bound(parts, joined)
+
+
 def redacted(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets
     (overlapping spans by that of the first), and ``n_chars``, if there is
-    such a column, counted anew. Texts without spans stay as they are."""
-    names = docs.columns
+    such a column, counted anew. Texts without spans stay as they are; other
+    columns pass through, whatever their names."""
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     by_start = F.array_sort(
-        F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     )
-    replaced = F.aggregate(
-        by_start,
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(
-                F.concat(
-                    acc["out"],
-                    F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                    F.element_at(tags, s["kind"] + 1),
-                ).alias("out"),
-                s["end"].alias("at"),
-            ),
-        ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text"))),
+    changed = bound(by_start, lambda taken: cut_out(F.col("doc.text"), taken, tags))
+    out = _searched(docs, model).select(
+        "doc", F.when(F.size("spans") > 0, changed).otherwise(F.col("doc.text")).alias("text")
     )
-    changed = F.when(F.size("__spans") > 0, replaced).otherwise(F.col("text"))
-    out = spans(docs, model).withColumn("text", changed)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
