@@ -13,7 +13,7 @@ BSD = words_alnum(license_scan.TEMPLATES["bsd"].encode())
 def brute_best(text: list, template: list) -> float:
     size = len(template)
     ends = [(a, b) for a in range(len(text)) for b in range(a + 1, min(len(text), a + 2 * size) + 1)]
-    return max(len(license_scan.align(text[a:b], template)) for a, b in [(0, len(text)), *ends]) / size
+    return max(len(license_scan.align(text[a:b], template)) for a, b in ends) / size if ends else 0.0
 
 
 def test_missing_word_stands_elsewhere():
@@ -49,3 +49,18 @@ def test_windows_reach_the_brute_force_best():
         assert want < 0.75 or got == want
         reached += want >= 0.75
     assert reached > 50
+
+
+def test_scattered_words_are_no_notice(spark):
+    notices = ["Released under the MIT License", "licensed under cc by 4 0", license_scan.TEMPLATES["bsd"]]
+    rows = [(i, " filler words of no meaning ".join(n.split())) for i, n in enumerate(notices)]
+    rows += [(i + 10, f"{t} and then {notices[i]} end") for i, t in rows]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: None, 1: None, 2: None, 10: "mit", 11: "cc-by-4.0", 12: "bsd"}
+
+
+def test_every_template_is_found_in_a_text_of_its_own(spark):
+    rows = [(i, f"x y z # {t} // z y x") for i, t in enumerate(license_scan.TEMPLATES.values())]
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(license_scan.TEMPLATES):
+        assert got[i]["license"] == name and got[i]["coverage"] == 1.0 and got[i]["first_word"] == 3, name
