@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -135,88 +135,106 @@ def formatted(parts: DataFrame) -> DataFrame:
     )
 
 
+def turn_patterns(template: Template) -> list[re.Pattern]:
+    """Patterns of whole turns: (opening mark)(text)closing mark. A text holds
+    openers only behind the escape character, so no turn ends early."""
+    escape, plain = re.escape(template.escape), f"[^{re.escape(template.escape + template.openers)}]*+"
+    body = f"{plain}(?:{escape}.{plain})*+"
+    before, after = template.other[0].split("{role}")
+    marks = [(re.escape(a), re.escape(b)) for a, b in template.marks.values()]
+    marks.append((re.escape(before) + body + re.escape(after), re.escape(template.other[1])))
+    return [re.compile(f"({a})({body}){b}", re.DOTALL) for a, b in marks]
+
+
 def read_back(text: str, template: Template | None = None) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted text."""
     template = template or Template()
-    roles = [(re.escape(a), re.escape(b)) for a, b in template.marks.values()]
-    before, after = template.other[0].split("{role}")
-    body = rf"((?:{re.escape(template.escape)}.|[^{re.escape(template.escape + template.openers)}])*)"
-    roles.append((re.escape(before) + body.replace("(", "(?:", 1) + re.escape(after), re.escape(template.other[1])))
-    turns, at = [], 0
-    patterns = [re.compile(f"({a}){body}{b}", re.DOTALL) for a, b in roles]
-    while at < len(text):
-        match = next(m for p in patterns if (m := p.match(text, at)))
-        turns.append((template.role_of(match[1]), template.unescaped(match[2])))
-        at = match.end()
+    reader = Reader(template)
+    turns = reader.read(text)
+    reader.finish()
     return turns
 
 
+class Reader:
+    """Reads a formatted text that comes in parts; holds one unfinished turn."""
+
+    def __init__(self, template: Template) -> None:
+        self.template, self.patterns, self.rest = template, turn_patterns(template), ""
+
+    def read(self, part: str) -> list[tuple[str, str]]:
+        """The turns that ``part`` completes."""
+        text, at, turns = self.rest + part, 0, []
+        while match := next((m for p in self.patterns if (m := p.match(text, at))), None):
+            turns.append((self.template.role_of(match[1]), self.template.unescaped(match[2])))
+            at = match.end()
+        self.rest = text[at:]
+        return turns
+
+    def finish(self) -> None:
+        if self.rest:
+            raise ValueError(f"formatted text does not read back from {self.rest[:80]!r}")
+
+
 class Digest:
-    """What a conversation's segments read back to, bit by bit."""
+    """What a conversation's formatted text reads back to, part by part."""
 
-    def __init__(self) -> None:
+    def __init__(self, template: Template) -> None:
+        self.template, self.reader = template, Reader(template)
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.chars = 0
         self.valid = True
 
-    def add(self, template: Template, place: int, text: str, loss: bool, state: str) -> None:
+    def add(self, text: str, loss: bool, state: str) -> None:
         self.chars += len(text)
-        plain = template.unescaped(text)
         if loss:
+            plain = self.template.unescaped(text)
             self.loss.update(plain.encode())
             self.loss_chars += len(plain)
-        if place == 0:
-            self.turns.update(f"{template.role_of(text)}\n".encode())
-        elif place == 1:
-            self.turns.update(f"{plain}\n".encode())
-        else:
+        for role, plain in self.reader.read(text):
+            self.turns.update(f"{role}\n{plain}\n".encode())
             self.n_turns += 1
         self.valid &= state != "invalid"
 
     def row(self, conv) -> tuple:
+        self.reader.finish()
         return (
             conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid,
         )
 
 
 def digests(parts: DataFrame, template: Template | None = None) -> DataFrame:
-    """One row a conversation, read back from its segments as they stand:
-    number of turns, digest of roles and texts, the text under the loss mask,
-    characters. ``parts`` comes from :func:`segments` as it is."""
+    """One row a conversation, read back from its formatted text as it stands
+    (turns are found by their marks, not by segment numbers): number of turns,
+    digest of roles and texts, the text under the loss mask, characters. Text
+    that does not read back is an error. ``parts`` comes from
+    :func:`segments` as it is."""
     template = template or Template()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+
+    def batch_of(rows: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+        columns = zip(zip(*rows, strict=True), (id_type, *kinds), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names)
 
-    def finished(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-        current, digest = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current, digest, id_type = None, None, None
         for batch in batches:
+            id_type = batch.schema.field("conv_id").type
             for conv, n, text, loss, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if n == 0:
                     if digest:
-                        yield digest.row(current)
-                    current, digest = conv, Digest()
-                digest.add(template, n % 3, text, loss, state)
-        if digest:
-            yield digest.row(current)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
-        held: list[tuple] = []
-
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-        for row in finished(batches):
-            held.append(row)
-            if len(held) == 10_000:
-                yield batch_of(held)
+                        held.append(digest.row(current))
+                    current, digest = conv, Digest(template)
+                digest.add(text, loss, state)
+            if len(held) >= 10_000:
+                yield batch_of(held, id_type)
                 held = []
-        if held:
-            yield batch_of(held)
+        if digest:
+            yield batch_of([*held, digest.row(current)], id_type)
 
-    id_type = parts.schema["conv_id"].dataType.simpleString()
-    conv_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
     schema = (
-        f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
-        "formatted_chars long, valid boolean"
+        f"conv_id {parts.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, "
+        "loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
     )
     return parts.select("conv_id", "segment", "text", "loss", "state").mapInArrow(run, schema)

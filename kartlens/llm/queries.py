@@ -240,6 +240,31 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
 FROM ranked
 """
 
+# The template's marks around a turn, in characters; a role without marks of
+# its own stands escaped between other marks.
+OP5_SQL = """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+turns AS (
+  SELECT *, length(regexp_replace(text, '([<\\[\\\\])', 'x\\1', 'g'))
+            + CASE role WHEN 'system' THEN length('<s><<SYS>><</SYS>>') WHEN 'user' THEN length('<s>[INST][/INST]')
+                        WHEN 'assistant' THEN length('<s>[ANS][/ANS]</s>')
+                        ELSE length('<s>[ROLE][/ROLE][/END]') + length(regexp_replace(role, '([<\\[\\\\])', 'x\\1', 'g')) END AS chars,
+         CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS mark
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) AS BIGINT) AS formatted_chars,
+       regexp_full_match(string_agg(mark, '' ORDER BY turn NULLS FIRST, role, text), 's?(ua)*u?') AS valid
+FROM turns GROUP BY conv_id
+"""
+
 OP7_SQL = f"""
 WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
 wide AS (SELECT item, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0),
@@ -353,4 +378,10 @@ WHERE rank <= 50
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that it can express."""
-    return {"op4_source_mix": OP4_SQL, "op7_decontaminate": OP7_SQL, "op11_merkle": OP11_SQL, "op12_ranked_search": OP12_SQL}
+    return {
+        "op4_source_mix": OP4_SQL,
+        "op5_chat_format": OP5_SQL,
+        "op7_decontaminate": OP7_SQL,
+        "op11_merkle": OP11_SQL,
+        "op12_ranked_search": OP12_SQL,
+    }

@@ -1,0 +1,61 @@
+"""Digests come from the marks in the formatted text."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+from pyspark.errors import PythonException
+from pyspark.sql import functions as F
+
+from kartlens.llm import chat_format, queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "smallint", "int", "bigint", "string", "date"])
+def test_any_id_type(spark, kind):
+    first = "2020-01-01" if kind == "date" else "1"
+    df = spark.createDataFrame([(first, 0, "user", "a"), (first, 1, "assistant", "b"), (None, 0, "user", "c")], "conv_id string, turn int, role string, text string")
+    parts = chat_format.segments(df.withColumn("conv_id", F.col("conv_id").cast(kind)))
+    got = {str(r["conv_id"]): r["n_turns"] for r in chat_format.digests(parts).collect()}
+    assert got == {first: 2, "None": 1}
+
+
+@pytest.mark.parametrize("broken", ["text = '[/INST]'", "text like 'a%'"])
+def test_text_that_does_not_read_back_is_an_error(spark, broken):
+    df = spark.createDataFrame([(1, 0, "user", "abc"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    parts = chat_format.segments(df)
+    assert chat_format.digests(parts).first()["n_turns"] == 2
+    wrong = parts.withColumn("text", F.when(F.expr(broken), "un[escaped").otherwise(F.col("text")))
+    with pytest.raises(PythonException, match="does not read back"):
+        chat_format.digests(wrong).collect()
+
+
+def test_long_texts_and_conversations(spark):
+    long = "\\[<" * 400_000 + "x" * 1_000_000
+    rows = [(1, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(20_000)] + [(2, 0, "user", long), (2, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_format.digests(chat_format.segments(df)).collect()}
+    assert (got[1]["n_turns"], got[2]["n_turns"], got[2]["loss_chars"]) == (20_000, 2, len(long))
+    assert got[1]["valid"] and got[2]["valid"]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
+def test_query_equals_its_sql(spark, tmp_path):
+    odd = spark.createDataFrame(
+        [
+            (9_000_001, 1, "assistant", "\\ [x] <b>"), (9_000_001, 0, "tool[<", None), (9_000_002, None, None, "\U0001f600"),
+            (9_000_003, 0, "system", "s"), (9_000_003, 1, "user", "u"), (9_000_003, 1, "user", "u"), (None, 0, "user", ""),
+        ],
+        "conv_id long, turn long, role string, text string",
+    )
+    given = spark.read.parquet(f"{SF}/conversations.parquet").select(*odd.columns)
+    given.unionByName(odd).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.op5_chat_format(spark, str(tmp_path)).toPandas()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = db.execute(queries.OP5_SQL).df()[list(got.columns)]
+    rows = lambda t: sorted(map(str, t.astype(object).where(t.notna(), None).values.tolist()))
+    assert len(got) > 10 and rows(got.astype({"conv_id": "float"})) == rows(want.astype({"conv_id": "float"}))
