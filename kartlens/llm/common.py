@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kartlens.session import ensure_checkpoint_dir
 
@@ -31,11 +32,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__row``, a number of each row's own that holds once this
-    is staged, and ``__hash``, of the row's values: rows alike in it are
-    interchangeable, so it orders rows the same in reruns."""
-    return docs.select("*", F.monotonically_increasing_id().alias("__row"), F.xxhash64(*docs.columns).alias("__hash"))
+def unused(name: str, docs: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def remove_staged(spark: SparkSession) -> None:
@@ -59,7 +61,7 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType
 ) -> DataFrame:
     """``mapInArrow`` for a function of one batch."""
 

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kartlens.llm.common import map_batches, stage, texts, words_alnum
 
@@ -177,6 +178,8 @@ FOUND = (
     "__longest array<struct<item:string,doc_word:long,item_word:long,n_words:long>>"
 )
 
+FOUND_NAMES = ("__n_words", "__items", "__spans", "__longest")
+
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list[tuple[str, bytes]], bool]]:
     """The distinct test items, at most ``BLOCK_BYTES`` of ids and text in a
@@ -213,10 +216,18 @@ def matches(
     nothing, a null item id is the empty string. Null, empty and wordless
     documents have no words and no hits. Repeated rows are judged each on
     their own; an empty table on either side gives no hits; other columns
-    pass through."""
+    pass through, but for those named like one of the four, which the new ones
+    replace."""
+    names = [c for c in docs.columns if c.lower() not in FOUND_NAMES]
+    found = _matched(docs, benchmark, window, item_col, text_col)
+    return found.select(*[F.col("doc")[c].alias(c) for c in names], *FOUND_NAMES)
+
+
+def _matched(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
+    """Each row of ``docs`` as the struct ``doc``, and what :func:`matches` finds."""
     spark = docs.sparkSession
-    columns = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + FOUND
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    schema = StructType([*packed.schema.fields, *StructType.fromDDL(FOUND).fields])
     types = {
         "__n_words": pa.int64(),
         "__items": pa.list_(pa.string()),
@@ -225,12 +236,12 @@ def matches(
             pa.struct([("item", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
         ),
     }
-    out = docs
+    out = packed
     for k, (items, last) in enumerate(_blocks(benchmark, item_col, text_col)):
         block = spark.sparkContext.broadcast(Block(items, window))
 
         def run(batch: pa.RecordBatch, block=block, k=k) -> pa.RecordBatch:
-            documents = [words_alnum(t) for t in texts(batch, text_col)]
+            documents = [words_alnum(t) for t in texts(batch)]
             found = search(block.value, documents)
             rows = {name: [] for name in types}
             for i, (words, new) in enumerate(zip(documents, found, strict=True)):
@@ -250,10 +261,10 @@ def matches(
                         for item, (n, p, o) in sorted(longest.items())
                     ]
                 )
-            arrays = [batch.column(c) for c in columns] + [pa.array(rows[n], t) for n, t in types.items()]
-            return pa.RecordBatch.from_arrays(arrays, [*columns, *types])
+            arrays = [batch.column("doc")] + [pa.array(rows[n], t) for n, t in types.items()]
+            return pa.RecordBatch.from_arrays(arrays, ["doc", *types])
 
-        out = map_batches(out, run, schema)
+        out = map_batches(out.withColumn("text", F.col("doc")[text_col]), run, schema)
         if not last:
             out = stage(out, "matches")
             block.destroy()
@@ -261,8 +272,10 @@ def matches(
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without those in which a benchmark window occurs."""
-    return matches(docs, benchmark, window).where(F.size("__spans") == 0).select(*docs.columns)
+    """``docs`` without those in which a benchmark window occurs; all columns
+    pass through, whatever their names."""
+    found = _matched(docs, benchmark, window, "item_id", "text").where(F.size("__spans") == 0)
+    return found.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def items_digest(items: list[str]) -> str:

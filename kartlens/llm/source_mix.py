@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kartlens.llm.common import keyed, stage
+from kartlens.llm.common import stage
 
 WORDS = r"[^\x20\x09-\x0D]+"
 # The contract's weights by code point order of the source, and the most
@@ -123,14 +123,21 @@ def copies(
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
-    """The rows of ``docs``, each once per copy, with ``copy`` counted from 1.
+    """The rows of ``docs``, each once per copy, with ``copy`` counted from 1
+    in place of a column of that name; other columns pass through.
 
     Rows are told apart by a key of their own, so those that repeat an id or
-    have none are taken each by its own copies. Reruns agree: rows of a size
-    and id go by a hash of their values."""
-    rows = stage(keyed(docs), "rows")
-    taken = copies(rows, weights, max_copies, keys=("doc_id", "__hash", "__row")).where(F.col("copies") > 0)
-    taken = taken.select("__row", F.col("copies").alias("__copies"))
-    return rows.join(taken, "__row").select(
-        *docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy")
+    have none are taken each by its own copies, and rows alike in source, size
+    and id spread over many partitions. Reruns agree: such rows go by a hash
+    of their values."""
+    kept = [c for c in docs.columns if c.lower() != "copy"]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"))
+    rows = packed.select("doc", F.xxhash64("doc").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    rows = stage(rows, "rows")
+    read = rows.select(*[F.col("doc")[c].alias(c) for c in ("doc_id", "source", "text")], "hash", "row")
+    taken = copies(read, weights, max_copies, keys=("doc_id", "hash", "row")).where(F.col("copies") > 0)
+    return (
+        rows.join(taken.select("row", "copies"), "row")
+        .select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+        .select(*[F.col("doc")[c].alias(c) for c in kept], "copy")
     )

@@ -21,8 +21,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from kartlens.llm.common import map_batches, stage, texts, words_alnum
+from kartlens.llm.common import map_batches, stage, texts, unused, words_alnum
 
 BITS = 20
 MAX_TRAIN_DOCS = 12_000
@@ -111,7 +112,8 @@ def train(examples: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
     """The model learned from ``docs`` and ``labels`` (doc_id, label 0 or 1).
     Rows without an id, label or document are left out; of several labels of a
-    document the higher counts. No labelled row at all gives an empty model,
+    document the higher counts, of several texts under one id the one with the
+    smallest hash, so that the sample is bounded however often an id repeats. No labelled row at all gives an empty model,
     which scores everything 0.5 and rejects nothing (:func:`learned`)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
@@ -120,6 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
     if share < 1:  # of 2^20 places of the hash
         known = known.where(F.pmod(F.col("place"), F.lit(1 << 20)) < int(share * (1 << 20)))
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    sample = sample.groupBy("doc_id", "label", "place").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("one"))
+    sample = sample.select("place", "label", "one.text")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         idx = [np.unique(feature_indexes(t)).astype("<i4").tobytes() for t in texts(batch)]
@@ -127,20 +131,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS
             [batch.column("place"), batch.column("label"), pa.array(idx, pa.binary())], ["place", "label", "idx"]
         )
 
-    examples = map_batches(sample.select("place", "label", "text"), run, "place long, label int, idx binary")
+    examples = map_batches(sample, run, "place long, label int, idx binary")
     return stage(train(examples), "toxicity-model")
 
 
 def scored(docs: DataFrame, model: DataFrame, column: str = "__score") -> DataFrame:
     """``docs`` with the probability of label 1 as ``column``. Null and empty
     texts get the score of no features (the bias alone). Other columns pass
-    through, whatever their names; repeated rows score alike."""
+    through, whatever their names, but one named ``column``, in place of which
+    the score stands; repeated rows score alike."""
     rows = model.collect()  # at most 2^20 + 1 rows; L1 leaves a few hundred
     dense = np.zeros((1 << BITS) + 1, np.float32)
     for r in rows:
         dense[r["idx"]] = r["weight"]
     shared = docs.sparkSession.sparkContext.broadcast(dense)
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() != column.lower()]
+    packed = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         weights = shared.value
@@ -149,10 +155,10 @@ def scored(docs: DataFrame, model: DataFrame, column: str = "__score") -> DataFr
             at = feature_indexes(t)
             at = np.unique(at[weights[at] != 0])
             out.append(sigmoid(float(weights[at].sum(dtype=np.float64) + weights[-1])))
-        return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(out)], [*names, column])
+        return pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out)], ["doc", "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{column}` double"
-    return map_batches(docs, run, schema)
+    made = map_batches(packed, run, StructType([packed.schema["doc"], StructField("score", DoubleType())]))
+    return made.select(*[F.col("doc")[c].alias(c) for c in names], F.col("score").alias(column))
 
 
 def learned(model: DataFrame) -> bool:
@@ -166,4 +172,5 @@ def reject_toxic(docs: DataFrame, model: DataFrame, threshold: float = 0.5) -> D
     nothing was learned."""
     if not learned(model):
         return docs
-    return scored(docs, model).where(F.col("__score") < threshold).select(*docs.columns)
+    score = unused("__score", docs)
+    return scored(docs, model, score).where(F.col(score) < threshold).drop(score)
