@@ -27,7 +27,7 @@ from kartlens.operators import pairtable
 from kartlens.operators.ordersize import order_sizes, size_moments
 from kartlens.operators.repurchase import cycle_moments, global_cycle
 from kartlens.session import ensure_checkpoint_dir
-from kartlens.sources.bucketed import bucket_count, has_hot_key, write_bucketed
+from kartlens.sources.bucketed import has_hot_key, task_count, write_bucketed
 
 # Reentrant: a stored table is built from stored tables.
 _lock = threading.RLock()
@@ -84,7 +84,7 @@ def baskets(tables: Tables) -> DataFrame:
         made = pairtable.reaching(tables)
         if has_hot_key(made, "order_id", min(rows, tables.catalog_rows())):
             return _written(tables, "baskets", made).repartition("order_id")
-        return write_bucketed(made, f"{work_root(tables)}/baskets", "order_id", bucket_count(spark, rows))
+        return write_bucketed(made, f"{work_root(tables)}/baskets", "order_id", task_count(spark, rows))
 
     with _lock:
         if "baskets" not in tables._stored:

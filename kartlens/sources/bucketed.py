@@ -24,13 +24,23 @@ from kartlens.functions.joins import HOT_ROWS, hot_limit
 # default limit of buckets.
 BUCKET_ROWS = 8_000_000
 MAX_BUCKETS = 100_000
+# Rows of a part that one task sorts, joins with itself or aggregates: pairs and
+# order sizes hold up to 1 KB a row.
+TASK_ROWS = 500_000
 PREFIX = "kartlens_bucketed_"
 
 
-def bucket_count(spark: SparkSession, rows: int) -> int:
-    """Buckets for a table of ``rows``: about ``BUCKET_ROWS`` in each, no fewer
+def bucket_count(spark: SparkSession, rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Buckets for a table of ``rows``: about ``bucket_rows`` in each, no fewer
     than the cluster's cores."""
-    return max(1, min(MAX_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))))
+    return max(1, min(MAX_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-rows // bucket_rows))))
+
+
+def task_count(spark: SparkSession, rows: int) -> int:
+    """Parts of ``rows`` small enough for a task's memory: about ``TASK_ROWS``
+    in each, however many rows there are. Asked for by number, so that adaptive
+    execution, which knows compressed bytes only, doesn't put them together."""
+    return bucket_count(spark, rows, TASK_ROWS)
 
 
 def has_hot_key(df: DataFrame, key: str, rows: int, hot_rows: int | None = None) -> bool:

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from kartlens.model import Tables
 from kartlens.session import folder_bytes
 from kartlens.sources import publish
-from kartlens.sources.bucketed import bucket_count, has_hot_key
+from kartlens.sources.bucketed import has_hot_key, task_count
 from kartlens.sources.parquet import read_tables
 from kartlens.sources.schemas import TABLES
 
@@ -134,7 +134,7 @@ def _layout(spark: SparkSession, folder: str) -> tuple[str, int] | None:
     lines = checked_csv(spark, path, "order_products__prior").select("order_id")
     if has_hot_key(lines, "order_id", most_rows):
         return None
-    return "order_id", bucket_count(spark, most_rows // 2)
+    return "order_id", task_count(spark, most_rows // 2)
 
 
 def ingest_csv(spark: SparkSession, folder: str, out_root: str, with_train: bool = True) -> Tables:

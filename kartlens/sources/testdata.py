@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from kartlens.functions.joins import HOT_ROWS, bounded_broadcast, hot_key_join
 from kartlens.functions.sequence import Sequence
 from kartlens.model import Tables
-from kartlens.sources.bucketed import bucket_count, has_hot_key
+from kartlens.sources.bucketed import has_hot_key, task_count
 from kartlens.sources.publish import current, publish
 
 
@@ -157,7 +157,7 @@ def ingest(spark: SparkSession, sf_dir: str, root: str) -> Tables:
     if hot:
         lines = _spread(lines, len(lineitem.inputFiles()))
     frames = {"orders": orders, "products": products, "aisles": aisles, "departments": departments, "lines": lines}
-    layout = ("order_id", bucket_count(spark, rows))
+    layout = ("order_id", task_count(spark, rows))
     publish(spark, root, frames, {} if hot else dict.fromkeys(BY_ORDER, layout))
     return read_ingested(spark, sf_dir, root)
 

@@ -117,6 +117,25 @@ def test_bucket_counts(spark):
     assert bucketed.bucket_count(spark, 10**15) == bucketed.MAX_BUCKETS
 
 
+def test_tasks_get_no_more_rows_on_larger_tables(spark):
+    assert bucketed.task_count(spark, 1_000) == spark.sparkContext.defaultParallelism
+    assert bucketed.task_count(spark, 10**9) == 10**9 // bucketed.TASK_ROWS
+    assert bucketed.task_count(spark, 10**15) == bucketed.MAX_BUCKETS
+
+
+def test_baskets_are_in_as_many_buckets_as_tasks_need(spark, plain, monkeypatch):
+    t = plain[0]
+    monkeypatch.setattr(bucketed, "TASK_ROWS", 100)
+    own = Tables(t.orders, t.prior, t.products, t.aisles, t.departments)
+    got = stored.baskets(own)
+    n = -(-own.line_rows() // 100)
+    assert n > spark.sparkContext.defaultParallelism
+    with no_broadcast(spark):
+        found = re.search(r"SelectedBucketsCount: (\d+) out of (\d+)", explained(got.groupBy("order_id").count()))
+    assert found and found.group(2) == str(n)
+    assert rows(got) == rows(pairtable.reaching(t))
+
+
 # ------------------------------------------------------------------- moments
 
 
