@@ -24,6 +24,9 @@ The only single-task work is over the per-partition summary (one row per
 partition of the sort), whose size is the partition count, not the data.
 No exchange is ever keyed by the user's key: rank and running sum use
 windows over (sort partition, key) plus that per-partition summary.
+
+Sort partitions, and the parts of every exchange after it, are as many as the
+rows call for (``task_count``), so a task's share doesn't grow with the data.
 """
 
 from __future__ import annotations
@@ -35,12 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kartlens.session import ensure_checkpoint_dir
+from kartlens.sources.bucketed import task_count
 
 # monotonically_increasing_id puts the partition index above bit 33.
 _ROW_BITS = 33
 
 
-def _numbered(df: DataFrame, key: str, order: Seq[str]) -> tuple[DataFrame, DataFrame]:
+def _numbered(df: DataFrame, key: str, order: Seq[str], n_parts: int) -> tuple[DataFrame, DataFrame]:
     spark = df.sparkSession
     # Fix the numbering by writing it once to the shared checkpoint folder
     # (a single pass, columnar on read; an eager RDD checkpoint would run
@@ -48,8 +52,9 @@ def _numbered(df: DataFrame, key: str, order: Seq[str]) -> tuple[DataFrame, Data
     # the range bounds are fixed for the exchange and each partition is
     # sorted on unique keys, so its rows and their order are the same.
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kartlens-sequence/{uuid.uuid4().hex}"
-    df.orderBy(key, *order).withColumn("_gid", F.monotonically_increasing_id()).write.parquet(path)
-    ordered = spark.read.parquet(path).withColumn("_pid", F.shiftright("_gid", _ROW_BITS))
+    dealt = df.repartitionByRange(n_parts, key, *order).sortWithinPartitions(key, *order)
+    dealt.withColumn("_gid", F.monotonically_increasing_id()).write.parquet(path)
+    ordered = spark.read.parquet(path).withColumn("_pid", F.shiftright("_gid", _ROW_BITS).cast("int"))
     # One row per non-empty partition of the sort.
     whole = Window.orderBy("_pid")
     parts = (
@@ -70,12 +75,14 @@ class Sequence:
 
     Rows must be unique by (key, order). The numbering is written once on
     construction, so every frame built from one ``Sequence`` agrees.
+    ``rows`` is about how many there are, counted if not known.
     """
 
-    def __init__(self, df: DataFrame, key: str, order: Seq[str]):
+    def __init__(self, df: DataFrame, key: str, order: Seq[str], rows: int | None = None):
         self.columns = list(df.columns)
         self.key = key
-        self.numbered, self.parts = _numbered(df, key, order)
+        self.n_parts = task_count(df.sparkSession, df.count() if rows is None else rows)
+        self.numbered, self.parts = _numbered(df, key, order, self.n_parts)
 
     def frame(self, carry: str | None = None, *, position: bool = False, running: str | None = None) -> DataFrame:
         """The input rows plus ``prev_<carry>`` (the previous row's value in
@@ -103,6 +110,7 @@ class Sequence:
                 F.col(key).alias("_prev_key"),
                 F.col(carry).alias(f"prev_{carry}"),
             )
+            out, prev = (side.repartition(self.n_parts, "_prev_gid") for side in (out, prev))
             out = out.join(prev, "_prev_gid", "left").withColumn(
                 f"prev_{carry}",
                 F.when(F.col("_prev_key") == F.col(key), F.col(f"prev_{carry}")),
@@ -123,6 +131,7 @@ class Sequence:
         per partition: each key run starts at the smallest local start among
         the partitions whose last key it is."""
         key = self.key
+        rows = rows.repartitionById(self.n_parts, F.col("_pid"))  # not two in one task
         by_part = Window.partitionBy("_pid")
         if col is not None:
             # Totals of earlier partitions: one row per partition of the sort.

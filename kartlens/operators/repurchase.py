@@ -138,14 +138,16 @@ def same_product_events(tables: Tables) -> DataFrame:
     orders = tables.orders.select(
         "order_id", "user_id", "order_number", F.coalesce(F.col(GAP), F.lit(0.0)).alias("gap")
     ).where(F.col("user_id").isNotNull())
-    days = Sequence(orders, key="user_id", order=("order_number", "order_id")).frame(running="gap")
+    numbered = Sequence(orders, key="user_id", order=("order_number", "order_id"), rows=tables.rows("orders"))
+    days = numbered.frame(running="gap")
     days = days.select("order_id", "user_id", "order_number", F.col("running_gap").alias("day"))
     purchases = (
         hot_key_join(tables.lines, days, "order_id", "inner", tables.line_rows(), HOT_LINES, sort_merge=True)
         .select(F.struct("user_id", "product_id").alias("_buyer_product"), "product_id", "order_number", "order_id", "day")
         .distinct()
     )
-    seq = Sequence(purchases, key="_buyer_product", order=("order_number", "order_id"))
+    # No more purchases than lines: known without joining them once more.
+    seq = Sequence(purchases, key="_buyer_product", order=("order_number", "order_id"), rows=tables.line_rows())
     return (
         seq.frame("day")
         .where(F.col("prev_day").isNotNull())

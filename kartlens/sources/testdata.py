@@ -49,6 +49,7 @@ def bind_orders(raw_orders: DataFrame) -> tuple[DataFrame, DataFrame]:
         ),
         key="user_id",
         order=("order_ts", "order_id"),
+        rows=raw_orders.count(),
     )
     gap = F.datediff(F.to_date("order_ts"), F.to_date("prev_order_ts")).cast("double").alias("days_since_prior_order")
     full = seq.frame("order_ts", position=True).select(

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 
 from kartlens.functions.sequence import Sequence
+from kartlens.sources import bucketed
 
 
 def test_hot_key_split_across_partitions(spark):
@@ -50,3 +51,17 @@ def test_hot_key_split_across_partitions(spark):
     pd.testing.assert_series_equal(got["prev_v"], exp["prev_v"], check_names=False)
     assert (got["position"].to_numpy() == exp["position"].to_numpy()).all()
     assert np.allclose(got["running_v"].to_numpy(), exp["running_v"].to_numpy())
+
+
+def test_sort_partitions_are_bounded_whatever_adaptive_execution_would_merge(spark, monkeypatch):
+    monkeypatch.setattr(bucketed, "TASK_ROWS", 250)
+    rows = [(i % 3, i // 3, i, 1.0) for i in range(3000)] + [(None, i, 3000 + i, 2.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, t long, id long, v double")
+    seq = Sequence(df, key="k", order=("t", "id"))
+    sizes = [r["count"] for r in seq.numbered.groupBy("_pid").count().collect()]
+    assert seq.n_parts == 13 and len(sizes) == 13 and max(sizes) < 3 * 250
+    got = seq.frame("t", position=True, running="v").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["k"] is not None:
+            assert (r["prev_t"], r["position"], r["running_v"]) == (r["t"] - 1 if r["t"] else None, r["t"] + 1, r["t"] + 1)
