@@ -86,17 +86,24 @@ def sigmoid(x: float) -> float:
     return 1.0 / (1.0 + math.exp(-max(-35.0, min(35.0, x))))
 
 
+def held(batches: Iterator[pa.RecordBatch]) -> list[tuple[np.ndarray, int]]:
+    """The sample's (coordinates with the bias, label), for several passes:
+    four bytes a coordinate, each row taken from Arrow by itself."""
+    bias = np.array([1 << BITS], "<i4").tobytes()
+    return [
+        (np.frombuffer(x.as_py() + bias, "<i4"), y.as_py())
+        for batch in batches
+        for x, y in zip(batch.column("idx"), batch.column("label"), strict=True)
+    ]
+
+
 def train(examples: DataFrame) -> DataFrame:
     """(idx, weight) of the non-zero weights, the bias at 2**BITS. ``examples``
     (place, label, idx as little-endian int32 bytes) is the bounded sample; it
     is read in order of place by one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [
-            (np.append(np.frombuffer(x, "<i4"), 1 << BITS), y)
-            for batch in batches
-            for x, y in zip(batch.column("idx").to_pylist(), batch.column("label").to_pylist(), strict=True)
-        ]
+        rows = held(batches)
         model = Ftrl()
         for _ in range(EPOCHS):
             for at, label in rows:

@@ -7,7 +7,9 @@ import os
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -194,6 +196,15 @@ def test_pii_learned_model_adds_spans(spark):
 # ---------------------------------------------------------------- toxicity
 
 
+def test_toxicity_learner_holds_four_bytes_a_coordinate():
+    idx = [np.arange(k, k + 1000, dtype="<i4") for k in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in idx], pa.binary()), pa.array([0, 1] * 10)], ["idx", "label"])
+    rows = toxicity.held(iter([batch, batch]))
+    assert [y for _, y in rows] == [0, 1] * 20
+    for (at, _), want in zip(rows, idx * 2, strict=True):
+        assert at.nbytes == 4 * 1001 and at[-1] == 1 << toxicity.BITS and (at[:-1] == want).all()
+
+
 def test_toxicity(spark, corners, empty):
     words = ["alpha", "beta", "gamma", "delta"]
     rows = [(i, f"{words[i % 4]} {words[i % 3]} " + ("vile insult" if i % 5 == 0 else "kind word")) for i in range(600)]
