@@ -5,12 +5,14 @@ places before and after). A priority queue holds the merge rank of each
 neighbouring pair, lowest rank and then leftmost first; a popped entry whose
 pair has changed since it was pushed is stale and skipped. A merge replaces two
 symbols by one and pushes the two pairs that it makes, so a pre-token of n
-bytes takes O(n log n). Ids of a text are those of its pre-tokens in order;
+bytes takes O(n log n); one of at most SHORT symbols is searched plainly. Ids of a text are those of its pre-tokens in order;
 decoding joins the vocabulary strings of the ids, with a space between where
 the tokenizer has no decoder, as the library does.
 
-Encoding goes row by row in Arrow batches without a shuffle. Each worker keeps
-the ids of pre-tokens that it has merged; the cache only saves work.
+Encoding goes row by row in Arrow batches without a shuffle, and passes on
+ROWS rows at a time. Each worker keeps the ids of pre-tokens that it has merged;
+the cache only saves work. Any of a task's workers may come to encode in turn,
+so each may hold a cache: it is kept small.
 
 The tokenizer file's normalizer (canonical composition, white space, lower
 case) and splitting pattern are applied here by Python's Unicode tables. Texts
@@ -26,10 +28,11 @@ import json
 import re
 import unicodedata
 import uuid
+from bisect import bisect
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,8 @@ from tokenizers import Tokenizer
 from kartlens.llm.common import map_batches
 from kartlens.llm.token_counts import byte_symbols
 
-CACHED = 250_000  # pre-tokens in a generation of a worker's cache; it keeps two
+CACHED = 100_000  # pre-tokens in a generation of a worker's cache; it keeps two
+SHORT = 24  # symbols of a pre-token that is merged without a queue
 CACHED_CHARS = 48  # longer ones aren't kept
 AT_A_TIME = 200_000  # pre-tokens held at a time
 ROWS = 1_000  # rows encoded or decoded at a time
@@ -72,6 +76,8 @@ class Merger:
         ids += [self.final[b] for b in piece[-1:]]
         if -1 in ids:
             ids = [i for i in ids if i >= 0]
+        if len(ids) <= SHORT:
+            return self.short_ids(ids)
         n, size, rank_of, made = len(ids), self.size, self.rank.get, self.made
         # An entry: the pair's rank, then the place of its left symbol.
         queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(ids[i] * size + ids[i + 1])) is not None]
@@ -94,6 +100,20 @@ class Merger:
                 heappush(queue, r << 32 | h)
         return [i for i in ids if i >= 0]
 
+    def short_ids(self, ids: list[int]) -> list[int]:
+        """The same for a few symbols, where a plain search is faster."""
+        size, rank_of, made, none = self.size, self.rank.get, self.made, len(self.made)
+        ranks = [rank_of(a * size + b, none) for a, b in pairwise(ids)]
+        while ranks and (rank := min(ranks)) < none:
+            i = ranks.index(rank)
+            ids[i] = made[rank]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank_of(ids[i] * size + ids[i + 1], none)
+            if i:
+                ranks[i - 1] = rank_of(ids[i - 1] * size + ids[i], none)
+        return ids
+
 
 def _split_pattern(config: dict) -> str:
     """The splitting pattern of a normalizer and pre-tokenizer that this
@@ -156,13 +176,13 @@ class Encoder:
     """A worker's tokenizer and its cache."""
 
     def __init__(self, tokenizer_json: str, usual: list[list[int]]):
+        self.tokenizer_json = tokenizer_json
         config = json.loads(tokenizer_json)
-        library = Tokenizer.from_str(tokenizer_json)
-        self.norm, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         pattern = regex.compile(_split_pattern(config))
         self.find_all, self.find = pattern.findall, pattern.finditer
         self.find_ascii = re.compile(ascii_pattern(pattern.pattern)).findall
-        self.usual = frozenset(chr(i) for a, b in usual for i in range(a, b + 1))
+        self.usual = [i for a, b in usual for i in (a, b + 1)]  # where a range starts, and the next gap
+        self.usual_seen: set[str] = set()
         self.merger = Merger(config["model"])
         special = sorted(((t["content"], t["id"]) for t in config["added_tokens"]), key=lambda t: -len(t[0]))
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t, _ in special) + ")") if special else None
@@ -171,6 +191,20 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_str(self.tokenizer_json)
+
+    def is_usual(self, text: str) -> bool:
+        """Whether all of the text's characters are usual ones."""
+        if self.usual_seen.issuperset(text):
+            return True
+        new = set(text).difference(self.usual_seen)
+        if not all(bisect(self.usual, ord(c)) % 2 for c in new):
+            return False
+        self.usual_seen |= new
+        return True
+
     def merged(self, piece: bytes) -> bytes:
         return np.array(self.merger.ids(piece), np.int32).tobytes()
 
@@ -191,8 +225,9 @@ class Encoder:
 
     def plain(self, text: str) -> Iterator[bytes]:
         """Ids of a text without special tokens, in parts."""
-        if not text.isascii() and not self.usual.issuperset(text):
-            yield from (self.merged(p.translate(self.bytes).encode("latin-1")) for p, _ in self.split(self.norm(text)))
+        if not text.isascii() and not self.is_usual(text):
+            found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+            yield from (self.merged(p.translate(self.bytes).encode("latin-1")) for p, _ in found)
         elif len(text) <= AT_A_TIME:
             find_all = self.find_ascii if text.isascii() else self.find_all
             yield self.pieces(find_all(normalized(text)))
@@ -233,14 +268,13 @@ def encoded(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_c
             _WORKER.clear()
             _WORKER[name] = Encoder(*shared.value)
         encode, column = _WORKER[name].ids, batch.column(text_col)
-        slices = (column.slice(k, ROWS).to_pylist() for k in range(0, len(column), ROWS))
-        made = [encode(t) if t else b"" for some in slices for t in some]
+        made = [encode(t) if t else b"" for t in column.to_pylist()]
         ends = np.cumsum([0, *(len(m) // 4 for m in made)], dtype=np.int64).astype(np.int32)
         values = pa.array(np.frombuffer(b"".join(made), np.int32))
         return pa.RecordBatch.from_arrays([batch.column(id_col), pa.ListArray.from_arrays(pa.array(ends), values)], [id_col, "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>")
+    return map_batches(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, ids array<int>", ROWS)
 
 
 def decoded(ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -256,7 +290,7 @@ def decoded(ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col
         names[i] = t
     shared = ids.sparkSession.sparkContext.broadcast(names)
 
-    def some(lists: pa.ListArray, vocabulary: pa.Array) -> pa.Array:
+    def texts(lists: pa.ListArray, vocabulary: pa.Array) -> pa.Array:
         values, ends = lists.flatten(), np.cumsum([0, *pc.fill_null(pc.list_value_length(lists), 0).to_pylist()])
         known = np.asarray(pc.fill_null(values, -1))
         known = (known >= 0) & (known < len(vocabulary))
@@ -270,10 +304,10 @@ def decoded(ids: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(ids_col)
         vocabulary = pa.array(shared.value, pa.string())
-        texts = [some(lists.slice(k, ROWS), vocabulary) for k in range(0, len(lists), ROWS)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(id_col), lists, pa.concat_arrays(texts)], [id_col, ids_col, "decoded"]
+            [batch.column(id_col), lists, texts(lists, vocabulary)], [id_col, ids_col, "decoded"]
         )
 
     kind = ids.schema[id_col].dataType.simpleString()
-    return map_batches(ids.select(id_col, ids_col), run, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded string")
+    schema = f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded string"
+    return map_batches(ids.select(id_col, ids_col), run, schema, ROWS)

@@ -7,13 +7,15 @@ import json
 import os
 import random
 import string
+import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from kartlens.llm import bpe, queries
+from kartlens.llm import bpe, common, queries
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -88,6 +90,31 @@ def test_a_cache_that_overflows_changes_nothing(library, monkeypatch):
         assert np.frombuffer(own.ids(text), np.int32).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_worker_stays_small():
+    """What an encoder holds after many distinct words, and before any character
+    that needs the library."""
+    with open(PATH, encoding="utf-8") as f:
+        js = f.read()
+    own = bpe.Encoder(js, bpe.usual_characters(js))
+    letters = string.ascii_lowercase
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters[:16]]
+    for at in range(0, len(words), 1_000):
+        own.ids("\u00e9 " + " ".join(words[at : at + 1_000]))
+    held = [*own.known.items(), *own.older.items()]
+    assert sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in held) < 25_000_000
+    assert len(own.usual_seen) < 100
+    assert "library" not in vars(own)
+
+
+def test_batches_are_passed_on_in_slices(spark):
+    def run(batch):
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([batch.num_rows] * batch.num_rows)], ["id", "n"])
+
+    found = common.map_batches(spark.range(0, 2_500, 1, 1), run, "id long, n long", bpe.ROWS).collect()
+    assert sorted(r["id"] for r in found) == list(range(2_500))
+    assert {r["n"] for r in found} == {1_000, 500}
+
+
 def test_decoding_leaves_out_unknown_ids(spark, library):
     rows = [(1, [1, 99_999, 2, -1]), (2, None), (3, []), (4, [49_407, 320])]
     found = {r["doc_id"]: r["decoded"] for r in bpe.decoded(spark.createDataFrame(rows, "doc_id int, ids array<int>"), PATH).collect()}
